@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlark.session import ship
+
 #: A word: a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,7 +47,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small: very long texts must not meet in one batch of 10,000 rows."""
+    """Keep Arrow batches small, as very long texts must not meet in one batch of 10,000 rows, and ship this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
