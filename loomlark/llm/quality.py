@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomlark.llm.shared import bounded_batches, text_or_empty, written
 
@@ -163,28 +164,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     return model
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """The columns of ``docs`` but for text, and ``score``."""
+def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with its columns as they are and ``out``, a name that they don't have."""
     bounded_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", score double"
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = model.score(np.array([statistics(t.as_py()) for t in batch.column(len(rest))]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(found)], [*rest, "score"])
+                found = model.score(np.array([statistics(t.as_py() or "") for t in batch.column(at)]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [f.name for f in schema.fields])
 
-    return docs.select(*rest, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """key, held_out, score, predicted. Labels of held-out rows are not read."""
+    model = fit(docs, labels.where(~held_out(F.col(key))), key, **how)
+    return scored(docs.select(key, "text"), model).select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", keep_text: bool = False, **how) -> DataFrame:
-    """key, held_out, score, predicted. ``keep_text``: the columns of ``docs`` first, then these but for the key.
-    Labels of held-out rows are not read."""
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", least: float = 0.5, **how) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, columns as they are."""
     model = fit(docs, labels.where(~held_out(F.col(key))), key, **how)
-    if not keep_text:
-        out = scored(docs.select(key, "text"), model, key)
-        return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-    carried = docs.withColumn("_text", F.col("text"))
-    out = scored(carried, model, key)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model, "__score").where(F.col("__score") >= least).drop("__score")

@@ -82,6 +82,16 @@ def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -
     return rows.join(known.select("digest", "spans"), "digest").select(F.col("key").alias(key), "digest", "spans")
 
 
+def redact(docs: DataFrame, key: str = "doc_id", mask: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
+    """``docs``, columns as they are, with every span of its texts replaced by ``mask``; ``n_chars`` follows where there is one."""
+    found = scan(docs, key, ledger_path).where(F.size("spans") > 0).groupBy(F.col("digest").alias("__digest")).agg(F.first("spans").alias("__spans"))
+    marked = docs.withColumn("__own", F.unhex(F.sha2(text_or_empty(F.col("text")), 256)))
+    out = marked.join(found, F.col("__own") == F.col("__digest"), "left").withColumn("text", F.when(F.col("__spans").isNotNull(), redacted(F.col("text"), F.col("__spans"), mask)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def shown(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

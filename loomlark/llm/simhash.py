@@ -210,11 +210,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = 4) -> DataFrame:
-    """key, fp, component (smallest key reachable), one row for each row of ``docs``."""
+    """key, fp, label (the component's own name), component (smallest key reachable), one row for each row of ``docs``."""
     own = written(fingerprints(docs, key, words), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     label = components(links(distinct))
     known = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     top = known.groupBy("label").agg(F.min("least").alias("component"))
-    known = known.join(top, "label").select("fp", "component")
-    return own.join(known, "fp").select(key, "fp", "component")
+    return own.join(known.join(top, "label").select("fp", "label", "component"), "fp").select(key, "fp", "label", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", words: int = 4) -> DataFrame:
+    """One row of each component of ``docs``, columns as they are: that with the smallest key. Where a key
+    occurs more than once or is null, rows are told apart by their fingerprints as well."""
+    found = written(near_duplicates(docs, key, words), "near-duplicates")
+    best = found.groupBy("label").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "fp")).alias("b")).select("b.key", "b.fp")
+    often = found.groupBy(F.col(key).alias("often")).agg(F.count("*").alias("n")).where("n > 1 or often is null").select("often")
+    often = written(best.join(often, best["key"].eqNullSafe(often["often"]), "left_semi"), "repeated")
+    once = best.join(often.select(F.col("key").alias("_o")).distinct(), F.col("key").eqNullSafe(F.col("_o")), "left_anti")
+    kept = docs.join(once.select(F.col("key").alias("__key")).hint("shuffle_hash"), F.col(key) == F.col("__key"), "left_semi")
+    if not often.head(1):
+        return kept
+    rows = docs.join(often.select(F.col("key").alias("__key")).distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    marked = rows.withColumn("__row", F.monotonically_increasing_id())
+    marked = written(marked, "repeated-rows")
+    own = fingerprints(marked, "__row", words).join(marked.select("__row", F.col(key).alias("__id")), "__row")
+    pick = own.join(often, own["__id"].eqNullSafe(often["key"]) & (own["fp"] == often["fp"]), "left_semi").groupBy("__id", "fp").agg(F.min("__row").alias("__pick")).select("__pick")
+    return kept.unionByName(marked.join(pick, F.col("__row") == F.col("__pick"), "left_semi").drop("__row"))
