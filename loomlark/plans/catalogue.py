@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomlark.plans import lines, sessions
+
+_PARTS = (sessions.R, lines.R)
+QUERIES = {k: f for r in _PARTS for k, f in r.queries.items()}
+ORACLE = {k: s for r in _PARTS for k, s in r.oracle.items()}
