@@ -22,8 +22,8 @@ def extract_lines(rows: DataFrame, key: str, limit: int = LINE_LIMIT) -> DataFra
     rows = rows.withColumn("_island", F.count("_mark").over(w)).withColumn("_open", F.last("_mark", ignorenulls=True).over(w))
     more = F.col("_mark").isNull() & (F.col("_open") == ASSISTANT) & F.col("line").rlike(r"(?U)\S")
     nth = F.sum(F.when(more, 1).otherwise(0)).over(Window.partitionBy(key, "_island").orderBy("pos"))
-    kept = F.col("_mark").isin(META, USER, ASSISTANT) | (more & (nth <= limit))
-    return rows.where(kept).drop("_mark", "_island", "_open")
+    kept = F.coalesce(F.col("_mark").isin(META, USER, ASSISTANT), F.lit(False)) | (more & (F.col("_nth") <= limit))
+    return rows.withColumn("_nth", nth).where(kept).drop("_mark", "_island", "_open", "_nth")
 
 
 def plan_calls(items: DataFrame, period: str, name: str, size: str, prompt_bytes: int, budget: int = MAX_INPUT_BYTES) -> DataFrame:
