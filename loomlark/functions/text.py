@@ -104,7 +104,7 @@ def clean_user_text(c: Column) -> Column:
 
 
 #: Openings of texts that a tool injects (fixed values).
-INJECTED_TAGS = ("<user_info>", "<git_status>", "<system-reminder>", "<project_layout>")
+INJECTED_TAGS = ("<user_info>", "<git_status>", "<rules>", "<agent_skills>")
 
 
 def user_query(c: Column) -> Column:
@@ -122,13 +122,13 @@ def queue_summary(c: Column) -> Column:
 
 
 def output_failed(c: Column) -> Column:
-    """A non-zero exit code on any line of a tool's output."""
-    return c.rlike(r"(?im)^\s*(?:exit code|last_exit_code):\s*-?0*[1-9]\d*")
+    """An exit code that is stated and not 0, on any line of a tool's output."""
+    return c.rlike(r"(?m)^[ \t]*(?:Exit code:|last_exit_code:)[ \t]*(?!0?[ \t\r]*$)\S")
 
 
 def shell_reads(command: Column) -> Column:
     """Paths that a shell command reads: the first use of each reading verb."""
-    found = [F.regexp_extract(command, rf"""(?:^|[\s;&|])(?:{verb}) +['"]?([^\s'"|>-][^\s'"|>]*)""", 1) for verb in ("cat", "less", "head", "tail", "bat")]
+    found = [F.regexp_extract(command, rf"""(?s)^.*?{verb} ['"]*([^\s'"|>]*)""", 1) for verb in ("cat", "less", "head", "tail", "bat")]
     return F.array_distinct(F.filter(F.array(*found), lambda p: p != ""))
 
 
