@@ -31,7 +31,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def balance(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: each document stands as often as the mix takes it."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlark.llm.shared import word_count, written
+from loomlark.llm.shared import unused, word_count, written
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -62,10 +62,11 @@ def copies(sizes: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2
     return out.select(key, "source", "size", "source_size", "target", F.least(up_to(row + 1) - up_to(row), F.lit(most).cast("long")).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """Documents with their number of copies, as one row per emitted copy and column ``copy`` (from 0).
+def mix(docs: DataFrame, key: str = "doc_id", copy: str | None = None, **how) -> DataFrame:
+    """One row per emitted copy, columns as they are; ``copy`` names a further column with the copy's number from 0.
     Rows with equal keys share a number of copies: that of the first in order."""
     counted = copies(docs.select(key, "source", word_count(F.col("text")).alias("size")), key, **how)
-    taken = counted.groupBy(F.col(key).alias("_key")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(taken, docs[key].eqNullSafe(taken["_key"]))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns], (F.col("copy") - 1).cast("int").alias("copy"))
+    name, many = unused(docs, "__key"), unused(docs, "__copies")
+    taken = counted.groupBy(F.col(key).alias(name)).agg(F.min("copies").alias(many)).where(F.col(many) > 0)
+    out = docs.join(taken, docs[key].eqNullSafe(taken[name])).withColumn(many, F.explode(F.sequence(F.lit(0), (F.col(many) - 1).cast("int"))))
+    return out.select(*[docs[c] for c in docs.columns], *([F.col(many).alias(copy)] if copy else []))

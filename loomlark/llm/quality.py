@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomlark.llm.shared import bounded_batches, text_or_empty, written
+from loomlark.llm.shared import bounded_batches, text_or_empty, unused, written
 
 SAMPLE = 20_000
 _SYMBOLS = re.compile(r"[#*$%&|<>\\{}\[\]=_~^]")
@@ -188,4 +188,5 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **how) ->
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", least: float = 0.5, **how) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, columns as they are."""
     model = fit(docs, labels.where(~held_out(F.col(key))), key, **how)
-    return scored(docs, model, "__score").where(F.col("__score") >= least).drop("__score")
+    name = unused(docs, "__score")
+    return scored(docs, model, name).where(F.col(name) >= least).drop(name)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlark.llm.ledger import addressed, unseen
-from loomlark.llm.shared import fresh_path, text_or_empty, written
+from loomlark.llm.shared import fresh_path, text_or_empty, unused, written
 
 #: kind, pattern, cheap necessary pattern, least length of the group that counts, that group (fixed values).
 RULES: tuple[tuple[str, str, str, int, int], ...] = (
@@ -84,11 +84,13 @@ def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -
 
 def redact(docs: DataFrame, key: str = "doc_id", mask: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
     """``docs``, columns as they are, with every span of its texts replaced by ``mask``; ``n_chars`` follows where there is one."""
-    found = scan(docs, key, ledger_path).where(F.size("spans") > 0).groupBy(F.col("digest").alias("__digest")).agg(F.first("spans").alias("__spans"))
-    marked = docs.withColumn("__own", F.unhex(F.sha2(text_or_empty(F.col("text")), 256)))
-    out = marked.join(found, F.col("__own") == F.col("__digest"), "left").withColumn("text", F.when(F.col("__spans").isNotNull(), redacted(F.col("text"), F.col("__spans"), mask)).otherwise(F.col("text")))
+    own, other, spans = (unused(docs, n) for n in ("__own", "__digest", "__spans"))
+    found = scan(docs, key, ledger_path).where(F.size("spans") > 0).groupBy(F.col("digest").alias(other)).agg(F.first("spans").alias(spans))
+    marked = docs.withColumn(own, F.unhex(F.sha2(text_or_empty(F.col("text")), 256)))
+    hit = F.col(spans).isNotNull()
+    out = marked.join(found, F.col(own) == F.col(other), "left").withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

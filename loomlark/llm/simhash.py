@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlark.llm.shared import bounded_batches, text_or_empty, written
+from loomlark.llm.shared import bounded_batches, text_or_empty, unused, written
 
 AXES, RADIUS = 8, 4
 _ONES = np.uint64(0x0101010101010101)
@@ -227,12 +227,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", words: int = 4) -> DataFrame:
     often = found.groupBy(F.col(key).alias("often")).agg(F.count("*").alias("n")).where("n > 1 or often is null").select("often")
     often = written(best.join(often, best["key"].eqNullSafe(often["often"]), "left_semi"), "repeated")
     once = best.join(often.select(F.col("key").alias("_o")).distinct(), F.col("key").eqNullSafe(F.col("_o")), "left_anti")
-    kept = docs.join(once.select(F.col("key").alias("__key")).hint("shuffle_hash"), F.col(key) == F.col("__key"), "left_semi")
+    id_, row = unused(docs, "__key"), unused(docs, "__row")
+    kept = docs.join(once.select(F.col("key").alias(id_)).hint("shuffle_hash"), docs[key] == F.col(id_), "left_semi")
     if not often.head(1):
         return kept
-    rows = docs.join(often.select(F.col("key").alias("__key")).distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    marked = rows.withColumn("__row", F.monotonically_increasing_id())
-    marked = written(marked, "repeated-rows")
-    own = fingerprints(marked, "__row", words).join(marked.select("__row", F.col(key).alias("__id")), "__row")
-    pick = own.join(often, own["__id"].eqNullSafe(often["key"]) & (own["fp"] == often["fp"]), "left_semi").groupBy("__id", "fp").agg(F.min("__row").alias("__pick")).select("__pick")
-    return kept.unionByName(marked.join(pick, F.col("__row") == F.col("__pick"), "left_semi").drop("__row"))
+    rows = docs.join(often.select(F.col("key").alias(id_)).distinct(), docs[key].eqNullSafe(F.col(id_)), "left_semi")
+    marked = written(rows.withColumn(row, F.monotonically_increasing_id()), "repeated-rows")
+    own = fingerprints(marked.select(F.col(row).alias("row"), "text"), "row", words).join(marked.select(F.col(row).alias("row"), F.col(key).alias("id")), "row")
+    pick = own.join(often, own["id"].eqNullSafe(often["key"]) & (own["fp"] == often["fp"]), "left_semi").groupBy("id", "fp").agg(F.min("row").alias(id_)).select(id_)
+    return kept.unionByName(marked.join(pick, F.col(row) == F.col(id_), "left_semi").drop(row))
