@@ -135,9 +135,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 128, co
     most, norm = radius(sample, size["norm"], projection, k, cover), float(size["norm"])
     shards = max(1, ceil(size["n"] / shard_rows))
     blocks = max(1, ceil(size["n"] / every / block_rows))
-    queries = written(rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "queries")
-    indexed = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    queries = written(rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")), "queries")
+    indexed = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
+    # both sides' keys are of one type: a cogroup compares bytes and casts nothing
     def visits(asked: DataFrame, within: int) -> DataFrame:
         left = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

@@ -143,6 +143,17 @@ def test_neighbours(spark, sf):
     assert hits / total >= 0.9
 
 
+def test_many_shards_and_blocks_lose_no_query(spark, sf):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = sorted(map(tuple, ann.search(table, every=3, bits=64, cover=1.0, shard_rows=10_000, block_rows=10_000).collect()))
+        many = sorted(map(tuple, ann.search(table, every=3, bits=64, cover=1.0, shard_rows=60, block_rows=20).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r[:3] for r in one] == [r[:3] for r in many] and len(many) == 20 * table.where("vec_id % 3 = 0").count()
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0]), (140, [1.0]), (160, []), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [-1.0, -1.0]), (0, [1.0, 0.0]), (None, [0.5, 0.5])]
