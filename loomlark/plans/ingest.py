@@ -1,0 +1,109 @@
+"""Log ingestion end to end: conversations written as log lines, read as sessions, shown as transcripts, scanned back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomlark.operators.metrics import day_metrics
+from loomlark.plans.registry import Registry, table
+from loomlark.sinks import artifacts as sinks
+from loomlark.sources import artifacts, dialects, scan
+from loomlark.streaming.incremental import windowed_counts
+
+R = Registry()
+
+
+def log_lines(spark, sf_dir):
+    """path, pos, line: each conversation as a log of one dialect; every seventh line is broken JSON."""
+    c = table(spark, sf_dir, "conversations")
+    message = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
+    blocks = F.struct(F.col("role").alias("role"), F.lit("model-1").alias("model"), F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 3600 + F.col("turn") * 7), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = [F.col("role").alias("type"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sessionId"), stamp.alias("timestamp"), F.lit("/work/area/p").alias("cwd")]
+    line = F.when(F.col("role") == "assistant", F.to_json(F.struct(*head, blocks.alias("message")))).otherwise(F.to_json(F.struct(*head, message.alias("message"))))
+    broken = F.concat(F.lit('{"type": "user", '), F.col("conv_id").cast("string"))
+    return c.select(F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), (F.col("turn") + 1).cast("int").alias("pos"), F.when((F.col("conv_id") + F.col("turn")) % 7 == 6, broken).otherwise(line).alias("line"))
+
+
+_GOOD = "g AS (SELECT * FROM conversations WHERE (conv_id + turn) % 7 <> 6)"
+_SESSIONS = f"""
+{_GOOD},
+s AS (SELECT conv_id, 'c' || conv_id AS session_id,
+  count(*) FILTER (role = 'user' AND trim(text) <> '' AND text NOT LIKE '<%') AS user_messages, count(*) FILTER (role = 'assistant' AND trim(text) <> '') AS assistant_messages,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS input_tokens, coalesce(sum(turn) FILTER (role = 'assistant'), 0)::BIGINT AS output_tokens,
+  (arg_max(turn, turn) - arg_min(turn, turn)) * 7 AS duration_seconds, coalesce(max(CASE WHEN role = 'assistant' THEN 'model-1' END), '') AS model FROM g GROUP BY conv_id)"""
+
+
+@R.add(f"WITH {_SESSIONS} SELECT session_id, user_messages, assistant_messages, input_tokens, output_tokens, duration_seconds, model FROM s")
+def ingest_sessions(spark, sf_dir):
+    s = dialects.claude(log_lines(spark, sf_dir)).sessions
+    return s.select("session_id", "user_messages", "assistant_messages", "input_tokens", "output_tokens", "duration_seconds", F.coalesce("model", F.lit("")).alias("model"))
+
+
+@R.add(f"""
+WITH {_GOOD}, m AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM g WHERE (role = 'user' AND trim(text) <> '' AND text NOT LIKE '<%') OR role = 'assistant')
+SELECT '/logs/' || conv_id || '.jsonl' AS path, seq::INT AS seq, role, CASE WHEN role = 'assistant' AND nth = 1 THEN 'model_change,text' ELSE 'text' END AS blocks FROM m""")
+def ingest_messages(spark, sf_dir):
+    m = dialects.claude(log_lines(spark, sf_dir)).messages
+    return m.select("path", "seq", "role", F.array_join(F.transform("content", lambda b: b["type"]), ",").alias("blocks"))
+
+
+@R.add(f"""
+WITH {_GOOD}, e AS (SELECT conv_id, turn, 1 AS k, role, 'message' AS event_kind, text FROM g WHERE role = 'user' OR (role = 'assistant' AND trim(text) <> '')
+  UNION ALL SELECT conv_id, min(turn), 0, 'assistant', 'model_change', NULL FROM g WHERE role = 'assistant' GROUP BY conv_id)
+SELECT '/logs/' || conv_id || '.jsonl' AS path, printf('evt-%06d', row_number() OVER (PARTITION BY conv_id ORDER BY turn, k)) AS event_id, event_kind, role, coalesce(length(trim(text)), 0) AS n FROM e""")
+def ingest_events(spark, sf_dir):
+    e = dialects.claude(log_lines(spark, sf_dir)).events
+    return e.select("path", "event_id", "event_kind", "role", F.coalesce(F.length("raw_text"), F.lit(0)).cast("long").alias("n"))
+
+
+def _transcripts(spark, sf_dir):
+    return sinks.transcripts(dialects.claude(log_lines(spark, sf_dir)))
+
+
+@R.add(f"""
+WITH {_SESSIONS}, d AS (SELECT *, to_timestamp(1767225600 + conv_id * 3600 + (SELECT min(turn) FROM g WHERE g.conv_id = s.conv_id) * 7) AS born FROM s)
+SELECT '/logs/' || conv_id || '.jsonl' AS path, strftime(born, '%Y-%m-%d') AS date, 'claude' AS tool, '/work/area/p' AS project, user_messages AS user_msgs, assistant_messages AS asst_msgs,
+  CASE WHEN user_messages + assistant_messages = 0 THEN 0 ELSE (duration_seconds // 60) * 60 + CASE WHEN duration_seconds < 60 THEN duration_seconds ELSE 0 END END AS duration_secs,
+  CASE WHEN user_messages > 2 THEN 'interactive' WHEN assistant_messages > 2 THEN 'agentic' ELSE 'abandoned' END AS kind FROM d""")
+def transcript_facts(spark, sf_dir):
+    files = _transcripts(spark, sf_dir).select("path", F.concat("stem", F.lit(".md")).alias("name"), "text")
+    facts = artifacts.session_facts(files)
+    return facts.select("path", "date", "tool", "project", F.col("user_msgs").cast("long").alias("user_msgs"), F.col("asst_msgs").cast("long").alias("asst_msgs"), "duration_secs", "kind")
+
+
+@R.add(f"""
+WITH {_SESSIONS}, b AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '👤 ' ELSE '🤖 ' END || trim(text) AS line, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM g WHERE (role = 'user' AND trim(text) <> '' AND text NOT LIKE '<%') OR role = 'assistant'),
+l AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' AND nth = 1 THEN '📋 Model: model-1' || chr(10) ELSE '' END || line, chr(10) ORDER BY turn) AS body FROM b GROUP BY conv_id)
+SELECT '/logs/' || conv_id || '.jsonl' AS path, sha256(coalesce(body, '')) AS body FROM s LEFT JOIN l USING (conv_id)""")
+def transcript_body(spark, sf_dir):
+    text = F.col("text")
+    start = F.regexp_replace(text, r"(?s)^.*?\n\n", "")
+    body = F.regexp_replace(start, r"(?s)\n?\n\x{1F4CB} --- Summary ---.*$|\n$", "")
+    return _transcripts(spark, sf_dir).select("path", F.sha2(body, 256).alias("body"))
+
+
+@R.add(f"""
+WITH {_GOOD} SELECT '/logs/' || conv_id || '.jsonl' AS path, (turn + 1)::INT AS pos, role AS type FROM g""")
+def json_line_scan(spark, sf_dir):
+    """Files of lines, numbered, blank lines counted, broken JSON dropped."""
+    rows = log_lines(spark, sf_dir)
+    files = rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("pos", "line"))).alias("m"), F.max("pos").alias("last"))
+    files = files.select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.col("last")), lambda p: F.coalesce(F.element_at("m", p), F.lit("  "))), "\n").alias("text"))
+    return scan.records(scan.numbered(files)).select("path", "pos", F.try_variant_get("v", "$.type", "string").alias("type"))
+
+
+@R.add(f"""
+WITH {_SESSIONS}, d AS (SELECT *, strftime(to_timestamp(1767225600 + conv_id * 3600 + (SELECT min(turn) FROM g WHERE g.conv_id = s.conv_id) * 7), '%Y-%m-%d') AS period FROM s)
+SELECT period, 'total' AS dimension, 'all' AS bucket, count(*) AS sessions, sum(user_messages)::BIGINT AS user_messages, sum(input_tokens)::BIGINT AS input_tokens FROM d GROUP BY period
+UNION ALL SELECT period, 'model', model, count(*), sum(user_messages)::BIGINT, sum(input_tokens)::BIGINT FROM d GROUP BY period, model""")
+def ingest_day_metrics(spark, sf_dir):
+    s = dialects.claude(log_lines(spark, sf_dir)).sessions.withColumn("day", F.to_date("started_at"))
+    return day_metrics(s, "day", {"model": F.coalesce("model", F.lit(""))}, {"sessions": F.count("*"), "user_messages": F.sum("user_messages"), "input_tokens": F.sum("input_tokens")})
+
+
+@R.add("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_counts(spark, sf_dir):
+    """The aggregation of the stream, on the whole table as a batch."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(e, "ts", "1 day", "2 days", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
