@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlark.functions.text import clean_user_text, combine_model, output_failed, percent_decoded, queue_summary, shell_reads, slug_to_path, trimmed, user_query
 from loomlark.functions.timeutil import any_timestamp, uuid7_time
-from loomlark.sources.model import Rules, Tables, assemble, items, usage
+from loomlark.sources.model import Rules, Source, Tables, assemble, items, union, usage
 from loomlark.sources.scan import records
 
 
@@ -37,10 +37,10 @@ def _json(path: str, v: str = "v") -> Column:
     return F.to_json(F.try_variant_get(F.col(v), path, "variant"))
 
 
-def _blocks(rows: DataFrame, path: str, k: str = "k", b: str = "b") -> DataFrame:
+def _blocks(rows: Source, path: str, k: str = "k", b: str = "b") -> Source:
     """One row per element of an array, from k = 1; rows without an array go."""
     array = F.try_variant_get(F.col("v"), path, "array<variant>")
-    return rows.where(_is_array(path)).select("*", F.posexplode(array).alias(k, b)).withColumn(k, F.col(k) + 1)
+    return Source(rows.where(_is_array(path)).df.select("*", F.posexplode(array).alias(k, b)).withColumn(k, F.col(k) + 1))
 
 
 def _joined_text(path: str) -> Column:
@@ -49,13 +49,9 @@ def _joined_text(path: str) -> Column:
     return F.when(_is_array(path), F.array_join(F.filter(parts, lambda t: t.isNotNull()), "\n")).when(_is_string(path), _s(path))
 
 
-def _union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _first_meta(rows: DataFrame, **columns: Column) -> DataFrame:
+def _first_meta(rows: Source, **columns: Column) -> DataFrame:
     """Metadata of the first row of each path."""
-    return rows.groupBy("path").agg(*[F.min_by(c, F.struct("pos")).alias(n) for n, c in columns.items()])
+    return rows.df.groupBy("path").agg(*[F.min_by(c, F.struct("pos")).alias(n) for n, c in columns.items()])
 
 
 def _stripped(text: Column) -> Column:
@@ -70,16 +66,16 @@ def claude(lines: DataFrame) -> Tables:
     """Lines that lack any of the five required fields are dropped; text that starts with ``<`` is not a user's."""
     required = reduce(lambda a, b: a & b, [_has(p) for p in ("$.type", "$.sessionId", "$.timestamp", "$.cwd", "$.message")])
     queue = (_s("$.type") == "queue-operation") & _has("$.content")
-    rows = records(lines).where(required).withColumn("ts", any_timestamp(_s("$.timestamp")))
+    rows = Source(records(lines).where(required).withColumn("ts", any_timestamp(_s("$.timestamp"))))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts")}
     type_, role = _s("$.type"), _s("$.message.role")
     is_meta = F.coalesce(F.try_variant_get("v", "$.isMeta", "boolean"), F.lit(False))
     user, asst = rows.where((type_ == "user") & (role == "user") & ~is_meta), rows.where((type_ == "assistant") & (role == "assistant"))
     b = lambda p: _s(p, "b")
 
-    plain = user.where(_is_string("$.message.content")).withColumn("t", _s("$.message.content"))
-    keep = ~F.startswith("t", F.lit("<")) & _stripped(F.col("t")).isNotNull()
-    plain = items(plain, **common, k=F.lit(1), kind=F.when(keep, "text").otherwise("hidden"), role=F.lit("user"), text=trimmed(F.col("t")), counts=F.when(keep, "user"), event_kind=F.lit("message"))
+    plain, said = user.where(_is_string("$.message.content")), _s("$.message.content")
+    keep = ~F.startswith(said, F.lit("<")) & _stripped(said).isNotNull()
+    plain = items(plain, **common, k=F.lit(1), kind=F.when(keep, "text").otherwise("hidden"), role=F.lit("user"), text=trimmed(said), counts=F.when(keep, "user"), event_kind=F.lit("message"))
     ub = _blocks(user, "$.message.content").withColumn("t", b("$.text"))
     keep = ~F.startswith("t", F.lit("<")) & _stripped(F.col("t")).isNotNull()
     texts = items(ub.where(b("$.type") == "text"), **common, k=F.col("k"), kind=F.when(keep, "text").otherwise("hidden"), role=F.lit("user"), text=trimmed(F.col("t")), counts=F.when(keep, "user"), event_kind=F.lit("message"))
@@ -92,11 +88,11 @@ def claude(lines: DataFrame) -> Tables:
     thought = items(ab.where((b("$.type") == "thinking") & (b("$.thinking") != "")), **common, k=F.col("k"), kind=F.lit("thinking"), role=F.lit("assistant"), text=b("$.thinking"), event_kind=F.lit("message"))
     calls = items(ab.where(b("$.type") == "tool_use"), **common, k=F.col("k"), kind=F.lit("tool_use"), role=F.lit("assistant"), name=F.coalesce(b("$.name"), F.lit("")), call_id=F.coalesce(b("$.id"), F.lit("")), input=F.coalesce(_json("$.input", "b"), F.lit("{}")), event_kind=F.lit("tool_call"))
     hidden = items(rows.where((type_ == "user") & is_meta), **common, k=F.lit(1), kind=F.lit("meta"), role=F.lit("system"), text=_json("$.message"), event_kind=F.lit("meta_record"))
-    queued = rows.where(queue).withColumn("t", queue_summary(_s("$.content")))
-    queued = items(queued.where("t <> ''"), **common, k=F.lit(1), kind=F.lit("queue_operation"), role=F.lit("system"), text=F.col("t"), event_kind=F.lit("queue_operation"))
+    queued = rows.where(queue).withColumn("_queued", queue_summary(_s("$.content")))
+    queued = items(queued.where(F.col("_queued") != ""), **common, k=F.lit(1), kind=F.lit("queue_operation"), role=F.lit("system"), text=F.col("_queued"), event_kind=F.lit("queue_operation"))
     clock = items(rows, **common, k=F.lit(-2), kind=F.lit("clock"))
     meta = _first_meta(rows, session_id=_s("$.sessionId"), project_path=_s("$.cwd"), started_at=F.col("ts"), version=_s("$.version"), git_branch=_s("$.gitBranch"), title=F.lit(None).cast("string"))
-    return assemble(_union(clock, plain, texts, results, change, spent, said, thought, calls, hidden, queued), meta, CLAUDE)
+    return assemble(union(clock, plain, texts, results, change, spent, said, thought, calls, hidden, queued), meta, CLAUDE)
 
 
 CODEX = Rules("codex", summary="codex", path_keys=("path",), read=(), write=(), edit=(), usage_summed=False)
@@ -104,7 +100,7 @@ CODEX = Rules("codex", summary="codex", path_keys=("path",), read=(), write=(),
 
 def codex(lines: DataFrame) -> Tables:
     """Token counts are cumulative: the last one stands, reasoning counts as output. A later session record replaces the metadata."""
-    rows = records(lines).where(_has("$.type") & _has("$.payload") & _has("$.timestamp")).withColumn("ts", any_timestamp(_s("$.timestamp")))
+    rows = Source(records(lines).where(_has("$.type") & _has("$.payload") & _has("$.timestamp")).withColumn("ts", any_timestamp(_s("$.timestamp"))))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts")}
     type_, kind = _s("$.type"), _s("$.payload.type")
     item, event = rows.where(type_ == "response_item"), rows.where(type_ == "event_msg")
@@ -126,9 +122,9 @@ def codex(lines: DataFrame) -> Tables:
     prompts = items(prompts, **common, k=F.lit(1), kind=F.when(kept, "text").otherwise("hidden"), role=F.lit("user"), text=F.col("t"), counts=F.when(kept, "user"), event_kind=F.lit("message"))
     change = items(rows.where((type_ == "turn_context") & _has("$.payload.model")), **common, k=F.lit(1), kind=F.lit("model_change"), role=F.lit("system"), model=_s("$.payload.model"), event_kind=F.lit("model_change"))
     clock = items(rows, **common, k=F.lit(-2), kind=F.lit("clock"))
-    m = rows.where(type_ == "session_meta")
+    m = rows.where(type_ == "session_meta").df
     meta = m.groupBy("path").agg(F.max_by(F.struct(F.coalesce(_s("$.payload.id"), F.lit("")).alias("session_id"), F.coalesce(_s("$.payload.cwd"), F.lit("")).alias("project_path"), F.coalesce(any_timestamp(_s("$.payload.timestamp")), F.col("ts")).alias("started_at"), _s("$.payload.cli_version").alias("version"), _s("$.payload.git.branch").alias("git_branch"), F.lit(None).cast("string").alias("title")), "pos").alias("m")).select("path", "m.*")
-    tables = assemble(_union(clock, said, calls, results, reasoning, counted, prompts, change), meta, CODEX)
+    tables = assemble(union(clock, said, calls, results, reasoning, counted, prompts, change), meta, CODEX)
     # a shell call that was answered reads the files its command names
     shell = records(lines).where((_s("$.payload.type") == "function_call") & (_s("$.payload.name") == "shell")).select("path", F.try_parse_json(_s("$.payload.arguments")).alias("v"), _s("$.payload.call_id").alias("id"))
     command = F.when(_is_array("$.command"), F.array_join(F.try_variant_get("v", "$.command", "array<string>"), " ")).otherwise(_s("$.command"))
@@ -143,7 +139,7 @@ PI = Rules("pi", unmatched="unknown", summary="pi", path_keys=("path", "file_pat
 
 def pi(lines: DataFrame) -> Tables:
     """A model is ``provider/model``; a file without session record yields nothing."""
-    rows = records(lines).withColumn("ts", any_timestamp(_s("$.timestamp")))
+    rows = Source(records(lines).withColumn("ts", any_timestamp(_s("$.timestamp"))))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts")}
     role = _s("$.message.role")
     said = rows.where(_s("$.type") == "message")
@@ -159,7 +155,7 @@ def pi(lines: DataFrame) -> Tables:
     spent = items(said.where((role == "assistant") & _has("$.message.usage")), **common, k=F.lit(-1), kind=F.lit("usage"), role=role, usage=usage(F.col("v"), "$.message.usage.input", "$.message.usage.output", "$.message.usage.cacheRead", "$.message.usage.cacheWrite"))
     clock = items(rows, **common, k=F.lit(-2), kind=F.lit("clock"))
     meta = _first_meta(rows.where(_s("$.type") == "session"), session_id=F.coalesce(_s("$.id"), F.lit("")), project_path=F.coalesce(_s("$.cwd"), F.lit("")), started_at=F.col("ts"), version=_s("$.version"), git_branch=F.lit(None).cast("string"), title=F.lit(None).cast("string"))
-    return assemble(_union(clock, change, texts, thought, calls, results, spent), meta, PI)
+    return assemble(union(clock, change, texts, thought, calls, results, spent), meta, PI)
 
 
 GROK = Rules("grok", unmatched="unknown", calls_at="call", summary="grok", path_keys=("path", "file_path", "filePath"), read=("Read", "read"), write=("Write", "write"), edit=("Edit", "edit", "StrReplace", "search_replace"))
@@ -178,13 +174,13 @@ def _arguments(path: str, v: str) -> Column:
 
 def grok(lines: DataFrame, updates: DataFrame | None = None, signals: DataFrame | None = None, summaries: DataFrame | None = None) -> Tables:
     """``updates``: numbered lines of the sibling files with usage; ``signals`` and ``summaries``: path, text of siblings. All join by directory."""
-    rows = records(lines)
+    rows = Source(records(lines))
     type_ = _s("$.type")
     common = {"path": F.col("path"), "pos": F.col("pos")}
-    prompts = rows.where(type_ == "user").withColumn("t", user_query(_joined_text("$.content"))).where("t is not null")
+    prompts = rows.where(type_ == "user").withColumn("t", user_query(_joined_text("$.content"))).where(F.col("t").isNotNull())
     prompts = items(prompts, **common, k=F.lit(1), kind=F.lit("text"), role=F.lit("user"), text=F.col("t"), counts=F.lit("user"), event_kind=F.lit("message"))
-    reasoning = rows.where(type_ == "reasoning").withColumn("t", _joined_text("$.summary"))
-    reasoning = items(reasoning.where(_stripped(F.col("t")).isNotNull()), **common, k=F.lit(1), kind=F.lit("thinking"), role=F.lit("assistant"), text=F.col("t"))
+    reasoning = rows.where(type_ == "reasoning").withColumn("_reason", _joined_text("$.summary"))
+    reasoning = items(reasoning.where(_stripped(F.col("_reason")).isNotNull()), **common, k=F.lit(1), kind=F.lit("thinking"), role=F.lit("assistant"), text=F.col("_reason"))
     asst = rows.where(type_ == "assistant")
     seen = items(asst.where(_has("$.model_id")), **common, k=F.lit(0), kind=F.lit("model"), model=_s("$.model_id"))
     said = items(asst.where(_stripped(_s("$.content")).isNotNull()), **common, k=F.lit(0), kind=F.lit("text"), role=F.lit("assistant"), text=_s("$.content"), model=_s("$.model_id"), counts=F.lit("assistant"))
@@ -193,7 +189,7 @@ def grok(lines: DataFrame, updates: DataFrame | None = None, signals: DataFrame
     output = F.coalesce(_s("$.content"), F.lit(""))
     results = items(rows.where(type_ == "tool_result"), **common, k=F.lit(1), kind=F.lit("tool_result"), role=F.lit("assistant"), call_id=F.coalesce(_s("$.tool_call_id"), F.lit("")), text=output, failed=output_failed(output), event_kind=F.lit("tool_result"))
     parts = [prompts, reasoning, seen, said, calls, results]
-    paths = rows.select("path").distinct().withColumn("_dir", _directory(F.col("path")))
+    paths = rows.df.select("path").distinct().withColumn("_dir", _directory(F.col("path")))
     if updates is not None:
         u = records(updates).where((_s("$.params.update.sessionUpdate") == "turn_completed") & _has("$.params.update.usage"))
         n = lambda f: F.coalesce(F.try_variant_get("v", f"$.params.update.usage.{f}", "bigint"), F.lit(0).cast("bigint"))
@@ -201,7 +197,7 @@ def grok(lines: DataFrame, updates: DataFrame | None = None, signals: DataFrame
         included = F.coalesce(n("inputTokens") + n("outputTokens") == total, F.lit(False))
         spent = F.struct(F.when(included, F.greatest(n("inputTokens") - n("cachedReadTokens"), F.lit(0).cast("bigint"))).otherwise(n("inputTokens")).alias("input_tokens"), n("outputTokens").alias("output_tokens"), n("cachedReadTokens").alias("cache_read_tokens"), n("cacheCreationTokens").alias("cache_creation_tokens"))
         u = u.select(_directory(F.col("path")).alias("_d"), F.col("pos").alias("_pos"), spent.alias("_u"))
-        parts.append(items(paths.join(u, F.col("_dir") == F.col("_d")), path=F.col("path"), pos=F.lit(0), k=F.col("_pos"), kind=F.lit("usage"), usage=F.col("_u")))
+        parts.append(items(Source(paths.join(u, F.col("_dir") == F.col("_d"))), path=F.col("path"), pos=F.lit(0), k=F.col("_pos"), kind=F.lit("usage"), usage=F.col("_u")))
     meta = paths.select("path", "_dir", F.element_at(F.split("_dir", "/"), -1).alias("_leaf"))
     if summaries is not None:
         s = summaries.select(_directory(F.col("path")).alias("_d"), F.try_parse_json("text").alias("v")).where("v is not null")
@@ -212,7 +208,7 @@ def grok(lines: DataFrame, updates: DataFrame | None = None, signals: DataFrame
     born = F.when(F.col("_leaf").rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-7"), uuid7_time(F.col("_leaf")))
     project = percent_decoded(F.element_at(F.split("_dir", "/"), -2))
     meta = meta.select("path", F.coalesce("_id", "_leaf").alias("session_id"), F.coalesce("_cwd", project).alias("project_path"), F.coalesce("_at", born).alias("started_at"), F.lit(None).cast("string").alias("version"), F.col("_branch").alias("git_branch"), F.col("_title").alias("title"))
-    tables = assemble(_union(*parts), meta, GROK)
+    tables = assemble(union(*parts), meta, GROK)
     if signals is None:
         return tables
     g = signals.select(_directory(F.col("path")).alias("_d"), F.try_parse_json("text").alias("v"))
@@ -225,18 +221,18 @@ CURSOR = Rules("cursor", calls_at="call", files_at="call", summary="grok", path_
 
 def cursor(lines: DataFrame, modified: DataFrame) -> Tables:
     """There are no timestamps and no results: a session starts when its file (``modified``: path, modified) was written, and calls are numbered."""
-    rows = records(lines)
+    rows = Source(records(lines))
     common = {"path": F.col("path"), "pos": F.col("pos")}
-    prompts = rows.where(_s("$.role") == "user").withColumn("t", user_query(_joined_text("$.message.content"))).where("t is not null")
+    prompts = rows.where(_s("$.role") == "user").withColumn("t", user_query(_joined_text("$.message.content"))).where(F.col("t").isNotNull())
     prompts = items(prompts, **common, k=F.lit(1), kind=F.lit("text"), role=F.lit("user"), text=F.col("t"), counts=F.lit("user"), event_kind=F.lit("message"))
     blocks = _blocks(rows.where(_s("$.role") == "assistant"), "$.message.content")
     b = lambda p: _s(p, "b")
     said = items(blocks.where((b("$.type") == "text") & _stripped(b("$.text")).isNotNull()), **common, k=F.col("k"), kind=F.lit("text"), role=F.lit("assistant"), text=b("$.text"), counts=F.lit("assistant"))
-    calls = blocks.where(b("$.type") == "tool_use").withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("pos", "k")))
+    calls = blocks.where(b("$.type") == "tool_use").withColumn("_n", F.count(F.when(b("$.type") == "tool_use", 1)).over(Window.partitionBy("path").orderBy("pos", "k")))
     calls = items(calls, **common, k=F.col("k"), kind=F.lit("tool_use"), role=F.lit("assistant"), name=F.coalesce(b("$.name"), F.lit("unknown")), call_id=F.concat(F.lit("cursor-tool-"), F.col("_n").cast("string")), input=F.coalesce(_json("$.input", "b"), F.lit("{}")), event_kind=F.lit("tool_call"))
     slug = F.regexp_extract("path", r"/projects/([^/]+)/", 1)
-    meta = modified.join(rows.select("path").distinct(), "path", "left_semi").select("path", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.jsonl$", "").alias("session_id"), F.when(slug != "", slug_to_path(slug)).otherwise("").alias("project_path"), F.col("modified").alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), F.lit(None).cast("string").alias("title"))
-    t = assemble(_union(prompts, said, calls), meta, CURSOR)
+    meta = modified.join(rows.df.select("path").distinct(), "path", "left_semi").select("path", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.jsonl$", "").alias("session_id"), F.when(slug != "", slug_to_path(slug)).otherwise("").alias("project_path"), F.col("modified").alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), F.lit(None).cast("string").alias("title"))
+    t = assemble(union(prompts, said, calls), meta, CURSOR)
     return Tables(t.sessions.withColumn("duration_seconds", F.lit(0).cast("long")), t.messages, t.events)
 
 
@@ -246,15 +242,15 @@ KIMI = Rules("kimi", unmatched="unknown", calls_at="success", summary="grok", pa
 def kimi(lines: DataFrame, states: DataFrame | None = None) -> Tables:
     """Times are milliseconds. Usage belongs to the last message before it and not to the session's totals; thinking counts as a
     message; injected user messages take a number in the training stream but give no event."""
-    rows = records(lines).withColumn("ts", F.timestamp_millis(F.try_variant_get("v", "$.time", "bigint")))
+    rows = Source(records(lines).withColumn("ts", F.timestamp_millis(F.try_variant_get("v", "$.time", "bigint"))))
     common = {"path": F.col("path"), "pos": F.col("pos"), "k": F.lit(1)}
     type_, event = _s("$.type"), _s("$.event.type")
     loop = rows.where(type_ == "context.append_loop_event")
     models = items(rows.where((type_ == "config.update") & _has("$.modelAlias")), **common, kind=F.lit("model"), model=_s("$.modelAlias"))
-    prompts = rows.where(type_ == "turn.prompt").withColumn("t", _stripped(_joined_text("$.input"))).where("t is not null")
+    prompts = rows.where(type_ == "turn.prompt").withColumn("t", _stripped(_joined_text("$.input"))).where(F.col("t").isNotNull())
     prompts = items(prompts, **common, kind=F.lit("text"), role=F.lit("user"), text=F.col("t"), counts=F.lit("user"), event_kind=F.lit("message"))
-    injected = rows.where((type_ == "context.append_message") & (_s("$.message.role") == "user")).withColumn("t", _stripped(_joined_text("$.message.content"))).where("t is not null")
-    injected = items(injected, **common, kind=F.lit("text"), role=F.lit("user"), text=F.col("t"), counts=F.lit("user"), event_kind=F.lit("skip"))
+    injected = rows.where((type_ == "context.append_message") & (_s("$.message.role") == "user")).withColumn("_injected", _stripped(_joined_text("$.message.content"))).where(F.col("_injected").isNotNull())
+    injected = items(injected, **common, kind=F.lit("text"), role=F.lit("user"), text=F.col("_injected"), counts=F.lit("user"), event_kind=F.lit("skip"))
     part = loop.where(event == "content.part")
     said = items(part.where((_s("$.event.part.type") == "text") & _stripped(_s("$.event.part.text")).isNotNull()), **common, ts=F.col("ts"), kind=F.lit("text"), role=F.lit("assistant"), text=_s("$.event.part.text"), counts=F.lit("assistant"))
     thought = items(part.where((_s("$.event.part.type") == "think") & _stripped(_s("$.event.part.think")).isNotNull()), **common, ts=F.col("ts"), kind=F.lit("thinking"), role=F.lit("assistant"), text=_s("$.event.part.think"), counts=F.lit("assistant"))
@@ -262,10 +258,10 @@ def kimi(lines: DataFrame, states: DataFrame | None = None) -> Tables:
     output = F.coalesce(_s("$.event.result.output"), F.lit(""))
     failed = F.coalesce(F.try_variant_get("v", "$.event.result.isError", "boolean"), F.lit(False)) | output_failed(output)
     results = items(loop.where(event == "tool.result"), **common, ts=F.col("ts"), kind=F.lit("tool_result"), role=F.lit("assistant"), call_id=F.coalesce(_s("$.event.toolCallId"), F.lit("")), text=output, failed=failed, event_kind=F.lit("tool_result"))
-    everything = _union(models, prompts, injected, said, thought, calls, results)
+    everything = union(models, prompts, injected, said, thought, calls, results)
     start = F.timestamp_millis(F.min(F.coalesce(F.try_variant_get("v", "$.created_at", "bigint"), F.try_variant_get("v", "$.time", "bigint"))))
     end = F.timestamp_millis(F.max_by(F.try_variant_get("v", "$.event.time", "bigint"), F.when((event == "step.end") & _has("$.event.time"), F.col("pos"))))
-    meta = rows.groupBy("path").agg(start.alias("started_at"), end.alias("_end")).withColumn("_dir", _directory(_directory(_directory(F.col("path")))))
+    meta = rows.df.groupBy("path").agg(start.alias("started_at"), end.alias("_end")).withColumn("_dir", _directory(_directory(_directory(F.col("path")))))
     if states is not None:
         s = states.select(_directory(F.col("path")).alias("_d"), F.try_parse_json("text").alias("v"))
         s = s.select("_d", F.coalesce(_s("$.workDir"), _s("$.cwd")).alias("_cwd"), _s("$.title").alias("_title"))
@@ -276,7 +272,7 @@ def kimi(lines: DataFrame, states: DataFrame | None = None) -> Tables:
     meta = meta.select("path", F.element_at(F.split("_dir", "/"), -1).alias("session_id"), F.coalesce("_cwd", F.lit("")).alias("project_path"), "started_at", F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), F.col("_title").alias("title"), F.when(seconds >= 0, seconds).otherwise(F.lit(0)).alias("_seconds"))
     t = assemble(everything, meta, KIMI)
     # usage of a step goes to the message before it; of several, the last stands
-    spent = loop.where((event == "step.end") & _has("$.event.usage")).select("path", "pos", usage(F.col("v"), "$.event.usage.inputOther", "$.event.usage.output", "$.event.usage.inputCacheRead", "$.event.usage.inputCacheCreation").alias("_u"))
+    spent = loop.where((event == "step.end") & _has("$.event.usage")).df.select("path", "pos", usage(F.col("v"), "$.event.usage.inputOther", "$.event.usage.output", "$.event.usage.inputCacheRead", "$.event.usage.inputCacheCreation").alias("_u"))
     line = t.messages.select("path", "pos", F.col("seq").alias("_seq")).unionByName(spent.select("path", "pos", "_u"), allowMissingColumns=True)
     owner = F.last("_seq", ignorenulls=True).over(Window.partitionBy("path").orderBy("pos"))
     spent = line.withColumn("_seq", F.when(F.col("_u").isNotNull(), owner)).where("_seq is not null").groupBy(F.col("path").alias("_p"), "_seq").agg(F.max_by("_u", "pos").alias("_u"))
@@ -297,26 +293,25 @@ def hermes(sessions: DataFrame, messages: DataFrame) -> Tables:
     m = m.withColumn("ts", any_timestamp(F.col("timestamp").cast("string"))).withColumn("v", F.try_parse_json("content"))
     parts = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$.content", "string")))
     text = F.when(F.coalesce(_is_array("$"), F.lit(False)), F.array_join(F.filter(parts, lambda t: t.isNotNull()), "\n")).otherwise(F.col("content"))
-    m = m.withColumn("t", text)
+    m = Source(m.withColumn("t", text))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts")}
     role = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("system")
     model = F.when(F.col("role") == "assistant", F.col("_model"))
     reasoning = F.coalesce("reasoning_content", "reasoning")
     thought = items(m.where((F.col("role") == "assistant") & _stripped(reasoning).isNotNull()), **common, k=F.lit(0), kind=F.lit("thinking"), role=role, text=reasoning, model=model, counts=F.lit("assistant"))
     said = items(m.where((F.col("role") != "tool") & _stripped(F.col("t")).isNotNull()), **common, k=F.lit(1), kind=F.lit("text"), role=role, text=F.col("t"), model=model, counts=F.when(role != "system", role), event_kind=F.lit("message"))
-    called = m.where("role = 'assistant'").drop("v").withColumn("v", F.try_parse_json("tool_calls"))
-    called = _blocks(called, "$")
+    called = _blocks(Source(m.where(F.col("role") == "assistant").df.withColumn("v", F.try_parse_json("tool_calls"))), "$")
     named = F.coalesce(_s("$.function.name", "b"), _s("$.name", "b"), F.lit("tool"))
     arguments = F.when(_has("$.function.arguments", "b"), _arguments("$.function.arguments", "b")).otherwise(_arguments("$.arguments", "b"))
     calls = items(called, **common, k=F.col("k") + 1, kind=F.lit("tool_use"), role=F.lit("assistant"), name=named, call_id=F.coalesce(_s("$.id", "b"), _s("$.call_id", "b"), F.lit("")), input=arguments, model=model, counts=F.lit("assistant"), event_kind=F.lit("tool_use"))
     output = F.coalesce("t", F.lit(""))
     failed = F.lower(trimmed(output)).rlike(r"^(?:error:|traceback )") | F.coalesce(F.col("finish_reason") == "error", F.lit(False))
-    results = items(m.where("role = 'tool'"), **common, k=F.lit(1), kind=F.lit("tool_result"), role=F.lit("system"), name=F.col("tool_name"), call_id=F.coalesce("tool_call_id", F.concat(F.lit("tool-result-"), (F.col("pos") - 1).cast("string"))), text=output, failed=failed, event_kind=F.lit("tool_result"))
+    results = items(m.where(F.col("role") == "tool"), **common, k=F.lit(1), kind=F.lit("tool_result"), role=F.lit("system"), name=F.col("tool_name"), call_id=F.coalesce("tool_call_id", F.concat(F.lit("tool-result-"), (F.col("pos") - 1).cast("string"))), text=output, failed=failed, event_kind=F.lit("tool_result"))
     zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint"))
-    spent = items(s, path=key, pos=F.lit(0), k=F.lit(0), kind=F.lit("usage"), model=F.col("model"), usage=F.struct(zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), zero("cache_read_tokens").alias("cache_read_tokens"), zero("cache_write_tokens").alias("cache_creation_tokens")))
+    spent = items(Source(s), path=key, pos=F.lit(0), k=F.lit(0), kind=F.lit("usage"), model=F.col("model"), usage=F.struct(zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), zero("cache_read_tokens").alias("cache_read_tokens"), zero("cache_write_tokens").alias("cache_creation_tokens")))
     start, end = any_timestamp(F.col("started_at").cast("string")), any_timestamp(F.col("ended_at").cast("string"))
     meta = s.select(key.alias("path"), F.col("sid").alias("session_id"), F.concat(F.lit("hermes:"), F.col("source")).alias("project_path"), start.alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), "title", F.coalesce("actual_cost_usd", "estimated_cost_usd").alias("cost"), (F.unix_timestamp(end) - F.unix_timestamp(start)).alias("_seconds"))
-    t = assemble(_union(spent, thought, said, calls, results), meta, HERMES)
+    t = assemble(union(spent, thought, said, calls, results), meta, HERMES)
     return Tables(t.sessions.withColumn("duration_seconds", F.coalesce("_seconds", "duration_seconds")).drop("_seconds"), t.messages, t.events)
 
 
@@ -327,7 +322,7 @@ def hermes_legacy(documents: DataFrame, known: DataFrame | None = None) -> tuple
     if known is not None:
         s = s.join(known.select("id"), "id", "left_anti").select(s.columns)
     b = lambda p: _s(p, "b")
-    m = _blocks(v.withColumn("session_id", _s("$.session_id")), "$.messages").select(
+    m = _blocks(Source(v.withColumn("session_id", _s("$.session_id"))), "$.messages").df.select(
         "path", "session_id", F.col("k").cast("bigint").alias("id"), b("$.role").alias("role"), F.when(_is_string("$.content", "b"), b("$.content")).otherwise(_json("$.content", "b")).alias("content"), b("$.tool_call_id").alias("tool_call_id"),
         _json("$.tool_calls", "b").alias("tool_calls"), b("$.name").alias("tool_name"), F.lit(None).cast("double").alias("timestamp"), b("$.finish_reason").alias("finish_reason"), b("$.reasoning").alias("reasoning"), b("$.reasoning_content").alias("reasoning_content"),
     )
@@ -345,13 +340,13 @@ def opencode(session_files: DataFrame, message_files: DataFrame, part_files: Dat
     created = F.coalesce(F.try_variant_get("v", "$.time.created", "double"), F.lit(0.0))
     m = s.join(m, "sid").withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy(created, "mid")))
     ms = lambda c: F.timestamp_millis(c.cast("bigint"))
-    m = m.withColumn("ts", ms(F.coalesce(F.try_variant_get("v", "$.time.completed", "double"), F.try_variant_get("v", "$.time.created", "double"))))
+    m = Source(m.withColumn("ts", ms(F.coalesce(F.try_variant_get("v", "$.time.completed", "double"), F.try_variant_get("v", "$.time.created", "double")))))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts")}
     change = items(m.where(_has("$.modelID")), **common, k=F.lit(0), kind=F.lit("model_change"), role=F.lit("system"), model=_s("$.modelID"), event_kind=F.lit("model_change"))
     spent = items(m.where(_has("$.tokens")), **common, k=F.lit(-1), kind=F.lit("usage"), usage=usage(F.col("v"), "$.tokens.input", "$.tokens.output", "$.tokens.cache.read", "$.tokens.cache.write"))
     clock = items(m, **common, k=F.lit(-2), kind=F.lit("clock"))
     p = part_files.select(parent().alias("_mid"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "").alias("pid"), F.try_parse_json("text").alias("b")).where("b is not null")
-    rows = m.join(p, F.col("mid") == F.col("_mid")).withColumn("k", F.row_number().over(Window.partitionBy("path", "pos").orderBy("pid")))
+    rows = Source(m.df.join(p, F.col("mid") == F.col("_mid")).withColumn("k", F.row_number().over(Window.partitionBy("path", "pos").orderBy("pid"))))
     b = lambda q: _s(q, "b")
     role = _s("$.role")
     text = rows.where((b("$.type") == "text") & b("$.text").isNotNull() & role.isin("user", "assistant"))
@@ -362,9 +357,9 @@ def opencode(session_files: DataFrame, message_files: DataFrame, part_files: Dat
     failed = F.coalesce(F.try_variant_get("b", "$.state.metadata.exit", "bigint") != 0, F.lit(False))
     title = F.coalesce(b("$.state.title"), b("$.state.metadata.description"), F.lit(""))
     results = items(tools, **common, k=F.col("k"), kind=F.lit("tool_result"), role=F.lit("assistant"), name=F.coalesce(b("$.tool"), F.lit("unknown")), call_id=F.col("pid"), input=_json("$.state.input", "b"), text=title, failed=failed, event_kind=F.lit("tool_result"))
-    cost = m.groupBy("path").agg(F.sum(F.try_variant_get("v", "$.cost", "double")).alias("_cost"))
+    cost = m.df.groupBy("path").agg(F.sum(F.try_variant_get("v", "$.cost", "double")).alias("_cost"))
     meta = s.join(cost, "path", "left").select("path", F.col("sid").alias("session_id"), F.coalesce("dir", F.lit("")).alias("project_path"), ms(F.col("born")).alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), "title", F.when(F.col("_cost") > 0, F.col("_cost")).alias("cost"))
-    t = assemble(_union(clock, change, spent, texts, results), meta, OPENCODE)
+    t = assemble(union(clock, change, spent, texts, results), meta, OPENCODE)
     seconds = F.unix_timestamp("last_at") - F.unix_timestamp("started_at")
     return Tables(t.sessions.withColumn("duration_seconds", F.when(seconds >= 0, seconds)), t.messages, t.events)
 
@@ -376,12 +371,12 @@ def chat_export(documents: DataFrame) -> Tables:
     """path, text of exported ``conversations.json`` -> one session per conversation, its path ``file/uuid``. A conversation without uuid is
     skipped; tool ids that are missing get numbers; a summary that is not blank becomes a system note."""
     c = documents.select("path", F.explode(F.try_variant_get(F.try_parse_json("text"), "$", "array<variant>")).alias("v")).withColumn("uuid", _s("$.uuid")).where("coalesce(uuid, '') <> ''")
-    c = c.withColumn("path", F.concat_ws("/", "path", "uuid"))
+    c = Source(c.withColumn("path", F.concat_ws("/", "path", "uuid")))
     note = c.where(_stripped(_s("$.summary")).isNotNull())
     summary = items(note, path=F.col("path"), pos=F.lit(0), k=F.lit(1), ts=any_timestamp(_s("$.created_at")), kind=F.lit("summary"), role=F.lit("system"), text=trimmed(_s("$.summary")), event_kind=F.lit("summary"))
-    m = _blocks(c, "$.chat_messages", "pos", "m").drop("v").withColumnRenamed("m", "v").withColumn("ts", any_timestamp(_s("$.created_at")))
+    m = _blocks(c, "$.chat_messages", "pos", "m").df.drop("v").withColumnRenamed("m", "v").withColumn("ts", any_timestamp(_s("$.created_at")))
     role = F.when(_s("$.sender") == "human", "user").when(_s("$.sender") == "assistant", "assistant").otherwise("system")
-    m = m.withColumn("role", role)
+    m = Source(m.withColumn("role", role))
     common = {"path": F.col("path"), "pos": F.col("pos"), "ts": F.col("ts"), "role": F.col("role")}
     counts = F.when(F.col("role") != "system", F.col("role"))
     filled = _is_array("$.content") & (F.size(F.try_variant_get("v", "$.content", "array<variant>")) > 0)
@@ -394,9 +389,9 @@ def chat_export(documents: DataFrame) -> Tables:
     number = F.row_number().over(Window.partitionBy("path").orderBy("pos", "k")).cast("string")
     texts = items(blocks.where((b("$.type") == "text") & (b("$.text") != "")), **common, k=F.col("k"), kind=F.lit("text"), text=b("$.text"), counts=counts, event_kind=F.lit("message"))
     thought = items(blocks.where((b("$.type") == "thinking") & (b("$.thinking") != "")), **common, k=F.col("k"), kind=F.lit("thinking"), text=b("$.thinking"), counts=counts, event_kind=F.lit("thinking"))
-    tool = blocks.where(b("$.type").isin("tool_use", "tool_result")).withColumn("_id", F.nullif(F.when(b("$.type") == "tool_use", b("$.id")).otherwise(b("$.tool_use_id")), F.lit("")))
-    tool = tool.withColumn("_id", F.coalesce("_id", F.concat(F.when(b("$.type") == "tool_use", "claude-chat-tool-").otherwise("claude-chat-tool-result-"), number)))
+    tool = Source(blocks.where(b("$.type").isin("tool_use", "tool_result")).df.withColumn("_id", F.nullif(F.when(b("$.type") == "tool_use", b("$.id")).otherwise(b("$.tool_use_id")), F.lit(""))))
+    tool = Source(tool.df.withColumn("_id", F.coalesce("_id", F.concat(F.when(b("$.type") == "tool_use", "claude-chat-tool-").otherwise("claude-chat-tool-result-"), number))))
     calls = items(tool.where(b("$.type") == "tool_use"), **common, k=F.col("k"), kind=F.lit("tool_use"), name=F.coalesce(b("$.name"), F.lit("unknown")), call_id=F.col("_id"), input=_json("$.input", "b"), counts=counts, event_kind=F.lit("tool_use"))
     results = items(tool.where(b("$.type") == "tool_result"), **common, k=F.col("k"), kind=F.lit("tool_result"), name=b("$.name"), call_id=F.col("_id"), text=_json("$.content", "b"), failed=F.coalesce(F.try_variant_get("b", "$.is_error", "boolean"), F.lit(False)), counts=counts, event_kind=F.lit("tool_result"))
-    meta = c.select("path", F.col("uuid").alias("session_id"), F.lit("claude-chat").alias("project_path"), any_timestamp(_s("$.created_at")).alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), _stripped(_s("$.name")).alias("title"))
-    return assemble(_union(summary, flat, texts, thought, calls, results), meta, CHAT)
+    meta = c.df.select("path", F.col("uuid").alias("session_id"), F.lit("claude-chat").alias("project_path"), any_timestamp(_s("$.created_at")).alias("started_at"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("git_branch"), _stripped(_s("$.name")).alias("title"))
+    return assemble(union(summary, flat, texts, thought, calls, results), meta, CHAT)

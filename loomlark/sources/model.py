@@ -7,6 +7,7 @@ are one aggregation per session. Windows partition by session file."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,10 +46,40 @@ def usage(v: Column, input_: str, output: str, read: str, write: str) -> Column:
     return F.struct(n(input_).alias("input_tokens"), n(output).alias("output_tokens"), n(read).alias("cache_read_tokens"), n(write).alias("cache_creation_tokens"))
 
 
-def items(rows: DataFrame, **columns: Column) -> DataFrame:
-    """A table of items from the given columns; the others are null."""
+class Source:
+    """Rows of a table under a condition. All sources made by ``where`` and ``withColumn`` share their table, so that the items
+    of many conditions come from one scan: each row yields an array of those items whose condition holds."""
+
+    def __init__(self, table: DataFrame | list, condition: Column | None = None):
+        self.table = table if isinstance(table, list) else [table]
+        self.condition = condition
+
+    @property
+    def df(self) -> DataFrame:
+        return self.table[0] if self.condition is None else self.table[0].where(self.condition)
+
+    def where(self, condition: Column) -> Source:
+        return Source(self.table, condition if self.condition is None else self.condition & condition)
+
+    def withColumn(self, name: str, column: Column) -> Source:
+        if name in self.table[0].columns:
+            raise ValueError(f"the shared table has a column {name}")
+        self.table[0] = self.table[0].withColumn(name, column)
+        return self
+
+
+def items(rows: Source, **columns: Column) -> tuple[Source, Column]:
+    """Items of a source; columns that are not given are null."""
     types = dict(f.strip().split(" ", 1) for f in ITEMS.replace(", ", "\n").split("\n"))
-    return rows.select(*[columns.get(c, F.lit(None)).cast(types[c]).alias(c) for c in COLUMNS])
+    return rows, F.struct(*[columns.get(c, F.lit(None)).cast(types[c]).alias(c) for c in COLUMNS])
+
+
+def union(*parts: tuple[Source, Column]) -> DataFrame:
+    """All items, with one scan per shared table."""
+    tables: dict[int, tuple[list, list[Column]]] = {}
+    for source, item in parts:
+        tables.setdefault(id(source.table), (source.table, []))[1].append(item if source.condition is None else F.when(source.condition, item))
+    return reduce(DataFrame.unionByName, [table[0].select(F.inline(F.array_compact(F.array(*own)))) for table, own in tables.values()])
 
 
 def _get(json: Column, key: str) -> Column:
@@ -175,6 +206,6 @@ class Tables:
 
 
 def assemble(rows: DataFrame, meta: DataFrame, rules: Rules) -> Tables:
-    rows = models_changed(paired(rows, rules))
+    rows = models_changed(paired(rows.repartition("path"), rules))  # every window and group below is within a path
     sessions = meta.join(statistics(rows, rules), "path")
     return Tables(sessions, messages(rows, rules).join(meta.select("path"), "path", "left_semi"), training_events(rows).join(meta.select("path"), "path", "left_semi"))
