@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlark.session import ship
+
 #: Kind, pattern, replacement, in order of application (fixed values).
 STEPS: tuple[tuple[str, str, str], ...] = (
     ("private_key", r"(?s)-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----.*?-----END(?: [A-Z0-9]+)* PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
@@ -51,16 +54,11 @@ def audit(rows: DataFrame, *by: str) -> DataFrame:
 
 def redact_json(text: Column) -> Column:
     """Strings at any depth of a JSON text redacted; keys are left alone. A text that is no JSON becomes null."""
-    from loomlark.session import ship
-    from pyspark.sql import SparkSession
-
     ship(SparkSession.active())
     return _json_udf()(text)
 
 
 def _json_udf():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         import json

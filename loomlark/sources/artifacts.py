@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ EVIDENCE = (
 def parse_evidence(blocks: DataFrame) -> DataFrame:
     """path, yaml -> path and ``e``, the block as a struct (null if it is no YAML mapping). YAML has no native reader: an Arrow UDF
     turns it into JSON, and from_json gives it types."""
-    import pandas as pd
-
     ship(SparkSession.active())
 
     @F.pandas_udf("string")

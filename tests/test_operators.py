@@ -1,0 +1,209 @@
+"""Search, index, evidence, compaction, artifacts and streaming on small fixtures."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomlark.functions.text import ASSISTANT, META, TOOL_OK, USER
+from loomlark.operators import compact, evidence, index, metrics, names, ordered, search
+from loomlark.sinks import artifacts as sinks
+from loomlark.sources import artifacts, dialects, scan
+from loomlark.streaming import incremental
+
+
+@pytest.fixture(scope="module")
+def archive(spark):
+    files = {
+        ("2026-05/2026-05-02T01-00-00-pi.md", "session", "2026-05", "2026-05-02", "pi", "/w/One"): [f"{USER} find the needle", "more needle", f"{ASSISTANT} no", f"{TOOL_OK} Read: needle"],
+        ("2026-05/2026-05-01T01-00-00-codex.md", "session", "2026-05", "2026-05-01", "codex", "/w/two"): ["x", "needle", "y", "needle z", "w"],
+        ("2026-05.monthly.md", "monthly", "2026-05", None, None, None): ["Needle of the month"],
+        ("2026-04/2026-04-30.daily.md", "daily", "2026-04", "2026-04-30", None, None): ["needle day"],
+        ("a.training.json", "training", None, None, "pi", "/w/One"): ["needle"],
+    }
+    rows = [(*k, n + 1, line) for k, lines in files.items() for n, line in enumerate(lines)]
+    return spark.createDataFrame(rows, "path string, artifact string, month string, day string, tool string, project string, pos int, line string").cache()
+
+
+def found(archive, query="needle", **o):
+    return [(r.path.split("/")[-1][:10], r.pos) for r in search.search(archive, query, search.Options(**o)).collect()]
+
+
+def test_search_order_filters_and_limit(archive):
+    everything = found(archive)
+    assert everything == [("2026-05.mo", 1), ("2026-04-30", 1), ("2026-05-02", 1), ("2026-05-02", 2), ("2026-05-02", 4), ("2026-05-01", 2), ("2026-05-01", 4)]
+    assert found(archive, oldest_first=True)[2] == ("2026-05-01", 2)
+    assert found(archive, limit=3) == everything[:3] and found(archive, limit=0) == []
+    assert found(archive, start="2026-05-02") == [("2026-05.mo", 1), *everything[2:5]]
+    assert found(archive, end="2026-04") == [("2026-04-30", 1)]
+    assert found(archive, tool="PI") == everything[2:5] and found(archive, project="one") == everything[2:5]
+    assert found(archive, speaker="user") == [("2026-05-02", 1), ("2026-05-02", 2)] and found(archive, speaker="tool") == [("2026-05-02", 4)]
+    assert found(archive, summaries_only=True) == everything[:2] and found(archive, include_training=True)[-1] == ("a.training", 1)
+    assert found(archive, "needle z") == [("2026-05-01", 4)] and found(archive, "n.{4}e z", regex=True) == [("2026-05-01", 4)]
+    assert ("2026-05.mo", 1) not in found(archive, case_sensitive=True)
+
+
+def test_search_modes(archive):
+    count = search.search(archive, "needle", search.Options(count=True)).collect()
+    assert sorted(r.hits for r in count) == [1, 1, 2, 3]
+    assert search.search(archive, "needle", search.Options(files_with_matches=True, limit=2)).count() == 2
+    context = {(r.path[8:18], r.pos): [(c.pos, c.line) for c in r.context or []] for r in search.search(archive, "needle", search.Options(context=1, tool="codex")).collect()}
+    assert context == {("2026-05-01", 2): [(1, "x"), (3, "y")], ("2026-05-01", 4): [(5, "w")]}
+    assert json.loads(search.search(archive, "needle", search.Options(json=True, limit=1)).first().json)["pos"] == 1
+    hits = archive.where(search.matches(F.col("line"), "needle")).select(F.lit(0).alias("rank"), "path", "pos")
+    assert search.file_limited(hits, 2).count() == 4  # one file with one hit, then a whole file with three
+
+
+@pytest.mark.parametrize("options", [{"semantic": True, "regex": True}, {"count": True, "files_with_matches": True}, {"context": 1, "count": True}, {"summaries_only": True, "tool": "pi"}, {"summaries_only": True, "include_training": True}])
+def test_search_conflicts(archive, options):
+    with pytest.raises(ValueError):
+        search.search(archive, "x", search.Options(**options))
+    with pytest.raises(ValueError):
+        search.matches(F.col("line"), "  ")
+
+
+def test_chunks(spark):
+    lines = ["a b", "c", "", f"{TOOL_OK} Read: x", "d", "y" * 4250, "e" * 1000, "f" * 1000]
+    rows = spark.createDataFrame([("p", "session", n + 1, line) for n, line in enumerate(lines)], "path string, artifact string, pos int, line string")
+    got = [(r.line_start, r.line_end, len(r.embedding_text), r.segment) for r in index.chunk_lines(rows).orderBy("line_start", "segment").collect()]
+    assert got == [(1, 2, 5, 0), (5, 5, 1, 0), (6, 6, 1800, 0), (6, 6, 1800, 1), (6, 6, 650, 2), (7, 7, 1000, 0), (8, 8, 1000, 0)]
+    assert index.chunk_lines(rows).select("id").distinct().count() == 7
+    assert [r.line_start for r in index.chunk_lines(rows, include_paths=True).orderBy("line_start").collect()][1] == 4
+
+
+def test_greedy_chunks_streams_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(200).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 37 % 50 + 1).alias("size"))
+        got = {(r.k, r.id): r.chunk for r in ordered.greedy_chunks(rows, ["k"], ["id"], "size", 60, separator=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        chunk = used = n = 0
+        for i in range(k, 200, 3):
+            s = i * 37 % 50 + 1
+            if n and used + n + s > 60:
+                chunk, used, n = chunk + 1, 0, 0
+            used, n = used + s, n + 1
+            assert got[k, i] == chunk
+
+
+def test_extraction_and_plan(spark):
+    lines = [f"{META} Session: 1", f"{ASSISTANT} one", "2", " ", "3", "4", "5", "6", "7", f"{TOOL_OK} x", "after", f"{USER} q", "u"]
+    rows = spark.createDataFrame([("p", n, line) for n, line in enumerate(lines)], "path string, pos int, line string")
+    assert [r.line for r in compact.extract_lines(rows, "path").orderBy("pos").collect()] == [lines[0], lines[1], "2", "3", "4", "5", "6", lines[11]]
+    items = spark.createDataFrame([("d1", "a", 10), ("d2", "a", 600), ("d2", "b", 600), ("d3", "a", 5000)], "day string, name string, size long")
+    plan = {r.day: (r.items, r.chunks, r.calls) for r in compact.plan_calls(items, "day", "name", "size", 100, budget=1000).collect()}
+    assert plan == {"d1": (1, 1, 1), "d2": (2, 2, 3), "d3": (1, 1, 2)}
+
+
+def test_pairing(spark):
+    row = "s string, id string, at int, x string"
+    calls = spark.createDataFrame([("s", "1", 1, "old"), ("s", "1", 2, "new"), ("s", "2", 9, "late")], row)
+    results = spark.createDataFrame([("s", "1", 3, "r1"), ("s", "1", 4, "r2"), ("s", "2", 5, "r3")], row)
+    got = ordered.pair_calls(calls, results, "s", "id", "at")
+    assert [(r.call.x, r.result.x) for r in got.collect()] == [("new", "r1")]
+    assert ordered.pair_calls(calls, results, "s", "id", "at", keep="keep").count() == 3
+
+
+EVIDENCE = """# Day
+
+## CaseStudyEvidence
+
+```yaml
+period: 2026-05-01
+volume: {sessions: 2, user_turns: null, corrections: 1}
+outcomes:
+  - {unit: u, result: rework, sessions: 1}
+  - {unit: v, result: first_pass}
+corrections:
+  - {type: scope, quote: "q1"}
+```
+text
+"""
+
+
+def test_evidence(spark):
+    pytest.importorskip("yaml")
+    files = spark.createDataFrame([("a", EVIDENCE), ("b", EVIDENCE.replace("rework", "hardening").replace("user_turns: null", "user_turns: 6")), ("c", "none"), ("d", EVIDENCE.replace("period: 2026-05-01", "period: ["))], "path string, text string")
+    e = artifacts.parse_evidence(artifacts.evidence_blocks(files)).where("e is not null").cache()
+    assert [r.path for r in e.orderBy("path").collect()] == ["a", "b"]
+    total = evidence.volumes(e.select("e.volume.*"), measures=("sessions", "user_turns", "decisions")).first()
+    assert (total.sessions, total.user_turns, total.decisions) == (4, 6, None)
+    outcomes = e.select("path", F.explode("e.outcomes").alias("o")).select(F.lit("w").alias("week"), "path", "o.*").withColumn("order", F.when(F.col("path") == "a", 0).otherwise(1))
+    worst = {r.unit: (r.result, r.sessions) for r in evidence.worst_wins(outcomes, ["week"], "unit", ["order"]).collect()}
+    assert worst == {"u": ("hardening", 2), "v": ("first_pass", None)}
+    q = e.select("path", F.explode("e.corrections.quote").alias("quote")).withColumn("c", F.lit(True)).withColumn("k", F.lit("w")).withColumn("n", F.lit(1))
+    assert [(r.quote, r["rank"]) for r in evidence.quotes(q, ["k"], "quote", "c", ["n"]).collect()] == [("q1", 1)]
+    empty = evidence.retention(e.select("path").limit(0), e.select("path"), "path").first()
+    assert (empty.n_expected, empty.ratio) == (0, 1.0)
+
+
+def log(n):
+    return "\n".join(json.dumps({"type": k, "sessionId": f"s{n}", "timestamp": f"2026-05-0{n}T00:00:0{i}Z", "cwd": "/w/x/y/z", "message": {"role": k, "model": "opus-1", "content": c}}) for i, (k, c) in enumerate((("user", "hello"), ("assistant", [{"type": "text", "text": "hi"}]))))
+
+
+def test_transcripts_round_trip_and_artifacts(spark, tmp_path):
+    files = spark.createDataFrame([(f"/l/{n}.jsonl", log(n)) for n in (1, 2)], "path string, text string")
+    t = dialects.claude(scan.numbered(files))
+    rows = sinks.transcripts(t).orderBy("path").collect()
+    assert rows[0].text.splitlines() == [f"{META} Session: s1", f"{META} Project: /w/x/y/z", f"{META} Started: 2026-05-01T00:00:00+00:00", f"{META} Session Kind: human", "", f"{USER} hello", f"{META} Model: opus-1", f"{ASSISTANT} hi", "", f"{META} --- Summary ---", f"{META} Duration: 1s", f"{META} Messages: 1 user, 1 assistant", f"{META} Tool calls: 0 total, 0 failed"]
+    facts = artifacts.session_facts(spark.createDataFrame([(r.path, r.stem + ".md", r.text) for r in rows], "path string, name string, text string")).orderBy("path").first()
+    assert (facts.date, facts.tool, facts.project, facts.model, facts.user_msgs, facts.asst_msgs, facts.kind, facts.duration_secs) == ("2026-05-01", "claude", "/w/x/y/z", "opus-1", 1, 1, "abandoned", 1)
+    assert all(json.loads(r.line) for r in sinks.json_lines(t).collect())
+    training = json.loads(sinks.training_json(t).orderBy("path").first().json)
+    assert training["source"]["session_id"] == "s1" and "raw_text" not in training["events"][0] and "raw_text" in json.loads(sinks.training_json(t, raw=True).first().json)["events"][0]
+    for kind in ("text", "jsonl", "training"):
+        sinks.write_artifacts(t, str(tmp_path), kind)
+        assert spark.read.parquet(f"{tmp_path}/{kind}").where("month = '2026-05'").count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_artifacts(t, str(tmp_path), "x")
+
+
+def test_metrics_maps_files_and_markdown(spark, tmp_path):
+    facts = spark.createDataFrame([("2026-05-01", "pi", 1), ("2026-05-01", "codex", 2), ("2026-05-04", "pi", 4)], "d string, tool string, n int").withColumn("d", F.to_date("d"))
+    m = metrics.day_metrics(facts, "d", {"tool": F.col("tool")}, {"n": F.sum("n")}, "2026-05-01")
+    by = metrics.as_maps(m, "n").first().by
+    assert by["total"]["all"].n == 3 and {k: v.n for k, v in by["tool"].items()} == {"codex": 2, "pi": 1}
+    week = metrics.week_metrics(facts, "d", {"tool": F.col("tool")}, {"n": F.sum("n")}, "2026-W19")
+    assert {(r.dimension, r.bucket): r.n for r in week.collect()} == {("total", "all"): 4, ("tool", "pi"): 4}
+    sinks.write_metrics(week, f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").where("month = '2026-05'").count() == 2
+    shown = sinks.markdown(spark.createDataFrame([("Total", 3), ("a", 3)], "k string, n int"))
+    assert shown.splitlines()[2:] == ["| a | 3 |", "| **Total** | **3** |"]
+
+
+def test_collisions(spark):
+    rows = spark.createDataFrame([("m", "t-pi", "b"), ("m", "t-pi", "a"), ("m", "t-x", "a"), ("m", "t-x", "b")], "f string, s string, p string")
+    got = {(r.s, r.p): r.name for r in names.without_collisions(rows, "f", "s", "p").collect()}
+    assert got["t-pi", "a"] == "t-pi" and got["t-pi", "b"].startswith("t-3e23e816") and got["t-pi", "b"].endswith("-pi") and got["t-x", "b"] == "t-x-3e23e816"
+
+
+def test_incremental_runs_read_only_new_files(spark, tmp_path):
+    logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    logs.mkdir()
+
+    def run():
+        stream = incremental.new_texts(spark, str(logs), "*.jsonl")
+        incremental.ingest(stream, lambda b: dialects.claude(scan.numbered(b)).sessions.select("session_id"), out, state)
+        return spark.read.parquet(out)
+
+    (logs / "1.jsonl").write_text(log(1))
+    assert run().count() == 1
+    (logs / "2.jsonl").write_text(log(2))
+    got = run().collect()
+    assert sorted(r.session_id for r in got) == ["s1", "s2"] and len({r.batch for r in got}) == 2
+
+    def chunks(b):
+        return b.select(F.sha2("path", 256).alias("id"), F.sha2("text", 256).alias("content_hash"))
+
+    for _ in range(2):
+        incremental.upsert_index(incremental.new_texts(spark, str(logs), "*.jsonl", 1), chunks, str(tmp_path / "index"), str(tmp_path / "state2"))
+    assert spark.read.parquet(str(tmp_path / "index" / "v1")).count() == 2
+
+
+def test_up_to_date(spark):
+    stamp = lambda t: f"timestamp'2026-01-0{t} 00:00:00'"
+    inputs = spark.sql(f"select * from values ('a', {stamp(2)}), ('b', {stamp(2)}), ('c', {stamp(2)}) t(path, modified)")
+    outputs = spark.sql(f"select * from values ('a', {stamp(3)}), ('b', {stamp(1)}) t(path, written)")
+    assert sorted(r.path for r in scan.up_to_date(inputs, outputs).collect()) == ["b", "c"]
