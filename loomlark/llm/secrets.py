@@ -79,7 +79,9 @@ def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -
     new = unseen(docs, rows, key, content, store)
     new.select("digest", F.lit(version).alias("version"), find_spans(F.col("text")).alias("spans")).write.mode("append").parquet(ledger_path)
     known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("version") == version).dropDuplicates(["digest"])
-    return rows.join(known.select("digest", "spans"), "digest").select(F.col("key").alias(key), "digest", "spans")
+    # written, so that nothing stands between the join and its exchanges and a hot blob's paths can be split
+    known = written(known.select("digest", "spans"), "findings")
+    return rows.join(known, "digest").select(F.col("key").alias(key), "digest", "spans")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", mask: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
