@@ -59,4 +59,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", cach
     new = encode_counts(unseen(docs, rows, key, content, store), tokenizer_path)
     new.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = written(counts, "counts")  # so that the join with a hot content can be split
     return rows.join(counts, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
