@@ -28,8 +28,6 @@ from loomlark.llm.shared import bounded_batches, written
 
 FOUND = "query_row long, query_id long, vec_id long, score double"
 _ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-#: (query byte, radius) -> bytes within that radius
-_BALL = [[np.flatnonzero(_ONES[q] <= r) for r in range(9)] for q in range(256)]
 
 
 def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -70,13 +68,24 @@ def radius(sample: np.ndarray, norm: float, projection: np.ndarray, k: int, cove
 
 
 class Index:
-    """Inverted indexes over the substrings of one shard's codes."""
+    """Inverted indexes over the substrings of one shard's codes. The union of a probe's buckets is kept for the next query
+    with that byte there: at most 256 row sets for each substring."""
 
     def __init__(self, own: np.ndarray):
         self.words = np.ascontiguousarray(np.pad(own, ((0, 0), (0, -own.shape[1] % 8)))).view(np.uint64)
         self.order = [np.argsort(own[:, j], kind="stable").astype(np.int32) for j in range(own.shape[1])]
-        self.bounds = [np.concatenate(([0], np.cumsum(np.bincount(own[:, j], minlength=256)))) for j in range(own.shape[1])]
+        self.sizes = [np.bincount(own[:, j], minlength=256) for j in range(own.shape[1])]
         self.n = len(own)
+        self.probed: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def probe(self, j: int, value: int, r: int) -> np.ndarray:
+        """Which rows have a byte within ``r`` bits of ``value`` in substring ``j``."""
+        found = self.probed.get((j, value, r))
+        if found is None:
+            found = np.empty(self.n, bool)
+            found[self.order[j]] = np.repeat(_ONES[value] <= r, self.sizes[j])  # the posting lists of the buckets in the ball
+            self.probed[j, value, r] = found
+        return found
 
     def within(self, query: np.ndarray, most: int) -> np.ndarray:
         """Every row whose code is within ``most`` bits of the query's."""
@@ -87,14 +96,12 @@ class Index:
         for j, value in enumerate(query.tolist()):
             r = share if j <= more else share - 1  # if none of these holds, the distance exceeds ``most``
             if r >= 0:
-                bounds, order = self.bounds[j], self.order[j]
-                ball = _BALL[value][r]
-                for s, e in zip(bounds[ball].tolist(), bounds[ball + 1].tolist()):
-                    if e > s:
-                        seen[order[s:e]] = True
-        rows = np.flatnonzero(seen)
+                seen |= self.probe(j, value, r)
         own = np.pad(query, (0, -len(query) % 8)).view(np.uint64)
-        return rows[np.bitwise_count(self.words[rows] ^ own).sum(1) <= most]
+        distance = np.bitwise_count(self.words[:, 0] ^ own[0]).astype(np.uint16)
+        for k in range(1, len(own)):
+            distance = distance + np.bitwise_count(self.words[:, k] ^ own[k])
+        return np.flatnonzero(seen & (distance <= most))
 
 
 def _visit(shard: pd.DataFrame, block: pd.DataFrame, norm: float, projection: np.ndarray, most: int, k: int) -> pd.DataFrame:
