@@ -162,8 +162,10 @@ def scrub_paths(line: Column) -> Column:
             t = F.regexp_replace(t, rf"""\Q{marker}\E[^"'`<>()\[\]{{}},;\s]*""", "")
         return t
 
+    # only a token with a slash can hold a path
+    cleaned = F.transform(tokens, lambda t: F.when(F.contains(t, F.lit("/")), cut(t)).otherwise(t))
     # leading tokens that become empty leave no space
-    return F.regexp_replace(F.array_join(F.transform(tokens, cut), " "), "^ +", "")
+    return F.regexp_replace(F.array_join(cleaned, " "), "^ +", "")
 
 
 #: Prefixes of transcript lines (fixed values).
