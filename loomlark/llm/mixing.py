@@ -40,8 +40,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
 
 
 def _offset(source: Column, seed: int) -> Column:
-    """One number in [0, 1) for each source and seed."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(source, F.lit("\x00null"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """One number in [0, 1) for each source and seed, from a digest that other engines have too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), source), F.lit("null"))))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
 
 
 def copies(sizes: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
