@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlark.llm import ann, chat, counts, mixing, packing, pseudo, quality, rules, secrets, simhash
+from loomlark.llm.oracles import ORACLE  # noqa: F401
 from loomlark.llm.shared import documents
 
 
@@ -70,4 +71,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_mix, op3_simhash, op4_chat, op5_pseudo_likelihood, op6_secrets, op7_neighbours, op8_token_counts, op9_quality_rules, op10_quality)}
-ORACLE: dict[str, str] = {}
