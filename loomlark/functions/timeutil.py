@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,3 +56,12 @@ def within(month: Column, day: Column, start: str | None, end: str | None) -> Co
             if len(bound) == 10:
                 ok = ok & (day.isNull() | keep(day, bound))
     return ok
+
+
+def bounds(month: str | None = None, start: str | None = None, end: str | None = None, days: int | None = None, today: date | None = None) -> tuple[str | None, str | None]:
+    """Start and end for ``within``: a month beats the other bounds, and a number of days before today (UTC; 0: today) beats the start."""
+    if month is not None:
+        return month, month
+    if days is not None:
+        start = ((today or datetime.now(timezone.utc).date()) - timedelta(days=days)).isoformat()
+    return start, end

@@ -29,22 +29,26 @@ NEEDS = ("private key-----", "_key", "_token", "database_url", "bearer", "sk-ant
 KINDS = ("private_key", "env_assignment", "bearer_token", "api_key")
 
 
-def redacted(text: Column) -> Column:
-    """All steps in order. A text that holds none of the literals passes unchanged and meets no pattern."""
+def suspect(text: Column) -> Column:
+    """Whether a text holds any of the literals; one that holds none matches no pattern."""
     low = F.lower(text)
-    any_step = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in NEEDS])
-    return F.when(any_step, reduce(lambda t, s: F.regexp_replace(t, s[1], s[2]), STEPS, text)).otherwise(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in NEEDS])
+
+
+def redacted(text: Column) -> Column:
+    """All steps in order. A text that is not suspect passes unchanged and meets no pattern."""
+    return F.when(suspect(text), reduce(lambda t, s: F.regexp_replace(t, s[1], s[2]), STEPS, text)).otherwise(text)
 
 
 def with_audit(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``redacted`` and one count per kind. Each stage counts in the output of the stages before it,
-    as a later pattern must not see what an earlier one replaced."""
-    rows = rows.withColumn("_t0", F.col(text))
+    as a later pattern must not see what an earlier one replaced. A text that is not suspect enters the chain as null."""
+    rows = rows.withColumn("_t0", F.when(suspect(F.col(text)), F.col(text)))
     counts: dict[str, list[Column]] = {k: [] for k in KINDS}
     for k, (kind, pattern, replacement) in enumerate(STEPS):
         rows = rows.withColumn(f"_n{k}", F.coalesce(F.regexp_count(F.col(f"_t{k}"), F.lit(pattern)), F.lit(0))).withColumn(f"_t{k + 1}", F.regexp_replace(F.col(f"_t{k}"), pattern, replacement))
         counts[kind].append(F.col(f"_n{k}"))
-    out = rows.withColumn("redacted", F.col(f"_t{len(STEPS)}"))
+    out = rows.withColumn("redacted", F.coalesce(F.col(f"_t{len(STEPS)}"), F.col(text)))
     for kind, parts in counts.items():
         out = out.withColumn(f"n_{kind}", reduce(lambda a, b: a + b, parts).cast("long"))
     return out.drop(*[f"_t{k}" for k in range(len(STEPS) + 1)], *[f"_n{k}" for k in range(len(STEPS))])

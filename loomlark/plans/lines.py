@@ -8,6 +8,7 @@ from loomlark.functions import digests, text, vectors
 from loomlark.operators import index, redact, search
 from loomlark.operators.ordered import greedy_chunks, islands
 from loomlark.plans.registry import Registry, table
+from loomlark.session import spread
 
 R = Registry()
 
@@ -18,8 +19,9 @@ lines AS (
   FROM (SELECT doc_id, source, lang, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''))"""
 
 
-def _lines(spark, sf_dir):
-    return search.line_table(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+def _lines(spark, sf_dir, heavy=False):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return search.line_table(spread(docs) if heavy else docs, "doc_id")
 
 
 @R.add(f"WITH {_LINES} SELECT doc_id, pos, line FROM lines WHERE contains(lower(line), 'the') AND contains(lower(line), 'inth')")
@@ -105,7 +107,7 @@ SELECT doc_id, pos, regexp_replace(array_to_string(l, ' '), '^ +', '') AS line F
 def path_scrub(spark, sf_dir):
     d, p = F.col("doc_id").cast("string"), F.col("pos").cast("string")
     line = F.when(F.col("pos") % 3 == 0, F.concat("line", F.lit(" /Users/me/x"), d, F.lit(" (see ~/notes/a.md) end"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("at"), d, F.lit("=/tmp/a/b, [link](http://x/"), p, F.lit(") "), "line")).otherwise(F.concat(F.lit("./run "), "line"))
-    return _lines(spark, sf_dir).select("doc_id", "pos", text.scrub_paths(line).alias("line"))
+    return _lines(spark, sf_dir, heavy=True).select("doc_id", "pos", text.scrub_paths(line).alias("line"))
 
 
 @R.add(f"""
@@ -227,7 +229,7 @@ def _with_secrets(spark, sf_dir):
         .when(k == 4, F.concat(F.lit(" -----BEGIN RSA PRIVATE KEY-----\n"), h, F.lit("\n-----END RSA PRIVATE KEY----- ")))
         .otherwise("")
     )
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select("doc_id", "source", F.concat(F.substring("text", 1, 200), secret, F.substr(F.col("text"), F.lit(201))).alias("text"))
 
 

@@ -82,6 +82,34 @@ def pending_days(spark, sf_dir):
     return compact.pending(days, done, "day", 12)
 
 
+_REPORTS = """
+WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events),
+w AS (SELECT DISTINCT strftime(day, '%G-W%V') AS week, strftime(date_trunc('week', day), '%Y-%m') AS month FROM d WHERE week(day) % 3 = 0),
+m AS (SELECT DISTINCT strftime(day, '%Y-%m') AS month FROM d WHERE month(day) % 4 <> 0)"""
+
+
+def _reports(spark, sf_dir):
+    """A daily report for each day of events, a weekly one for every third week, a monthly one for every fourth month."""
+    day = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct()
+    month = F.date_format("d", "yyyy-MM").alias("month")
+    daily = day.select(month, F.concat(F.col("d").cast("string"), F.lit(".daily.md")).alias("name"))
+    weekly = day.where(F.weekofyear("d") % 3 == 0).select(F.date_format(timeutil.monday(F.col("d")), "yyyy-MM").alias("month"), F.concat(timeutil.iso_week(F.col("d")), F.lit(".weekly.md")).alias("name")).distinct()
+    monthly = day.where(F.month("d") % 4 == 0).select(month, F.concat(F.date_format("d", "yyyy-MM"), F.lit(".monthly.md")).alias("name")).distinct()
+    return daily.unionByName(weekly).unionByName(monthly)
+
+
+@R.add(_REPORTS + " SELECT strftime(day, '%G-W%V') AS week, strftime(day, '%Y-%m-%d') || '.daily.md' AS name FROM d WHERE week(day) % 3 <> 0")
+def pending_weeks(spark, sf_dir):
+    return compact.of_pending_weeks(_reports(spark, sf_dir)).select("week", "name")
+
+
+@R.add(_REPORTS + """
+SELECT month, 'weekly' AS kind, week || '.weekly.md' AS name FROM w JOIN m USING (month)
+UNION ALL SELECT month, 'daily', strftime(day, '%Y-%m-%d') || '.daily.md' FROM d JOIN m ON month = strftime(day, '%Y-%m') WHERE month NOT IN (SELECT month FROM w)""")
+def pending_months(spark, sf_dir):
+    return compact.of_pending_months(_reports(spark, sf_dir)).select("month", "kind", "name")
+
+
 @R.add("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def semi_sessions(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -42,3 +42,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT.parent))
     context.addPyFile(path)
     context._loomlark_shipped = True
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table for work that is heavy per row, dealt over the cluster's cores where its files give tasks for a quarter of
+    them at most: one file of one row group is one task however many cores wait. A table of many files passes unchanged, so at
+    scale nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 4 * scan.rdd.getNumPartitions() <= cores else scan

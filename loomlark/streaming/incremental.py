@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlark.operators.index import changed, upserted
+from loomlark.operators.index import changed, stale, upserted
 from loomlark.operators.metrics import buckets
 
 
@@ -29,7 +29,8 @@ def ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], out:
 
 
 def upsert_index(stream: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], index_root: str, checkpoint: str) -> None:
-    """Chunks of new files merged into an index by id; each batch writes a new version beside the old one and only changed chunks are new."""
+    """Chunks of new and changed files merged into an index by id; each batch writes a new version beside the old one, only changed chunks are
+    new. Where chunks have a ``path``, those that a file read again no longer gives are gone."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
@@ -37,7 +38,7 @@ def upsert_index(stream: DataFrame, chunks_of: Callable[[DataFrame], DataFrame],
         new = chunks
         if n:
             old = spark.read.parquet(f"{index_root}/v{n - 1}")
-            new = upserted(old, changed(chunks, old))
+            new = upserted(old, changed(chunks, old), stale(chunks, old, batch) if "path" in chunks.columns else None)
         new.write.mode("overwrite").parquet(f"{index_root}/v{n}")
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

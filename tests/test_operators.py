@@ -207,3 +207,67 @@ def test_up_to_date(spark):
     inputs = spark.sql(f"select * from values ('a', {stamp(2)}), ('b', {stamp(2)}), ('c', {stamp(2)}) t(path, modified)")
     outputs = spark.sql(f"select * from values ('a', {stamp(3)}), ('b', {stamp(1)}) t(path, written)")
     assert sorted(r.path for r in scan.up_to_date(inputs, outputs).collect()) == ["b", "c"]
+
+
+def test_plans_of_weeks_and_months(spark):
+    files = [("2026-03", f"2026-03-{d:02}.daily.md", 100) for d in (2, 3, 9, 10)] + [("2026-03", "2026-03-16.compaction.md", 900), ("2026-03", "2026-W10.weekly.md", 50), ("2026-03", "notes.md", 7), ("2026-03", "2026-13-99.daily.md", 7)]
+    files += [("2026-04", "2026-04-01.daily.md", 10), ("2026-04", "2026-04.monthly.md", 10), ("2026-05", "2026-05-04.daily.md", None), ("2026-06", "2026-W23.weekly.md", 5), (None, "2026-05-05.daily.md", 3), ("2026-05", None, 1)]
+    rows = spark.createDataFrame(files, "month string, name string, bytes long")
+    weeks = {r.week: (r["items"], r.calls) for r in compact.plan_weeks(rows, 100, 1000).collect()}
+    assert weeks == {"2026-W11": (2, 1), "2026-W12": (1, 2), "2026-W14": (1, 1), "2026-W19": (2, 1)}
+    sources = {s: {r.month: r["items"] for r in compact.plan_months(rows, 100, 1000, source=s).collect()} for s in ("auto", "dailies", "weeklies")}
+    assert sources == {"auto": {"2026-03": 1, "2026-05": 1}, "dailies": {"2026-03": 6, "2026-05": 1}, "weeklies": {"2026-03": 1}}
+    with pytest.raises(ValueError):
+        compact.of_pending_months(rows, "other")
+    assert compact.plan_weeks(rows.limit(0), 100).count() == compact.plan_months(rows.limit(0), 100).count() == 0
+    planned = spark.createDataFrame([("d", 0, "h"), ("d", 1, "i")], "day string, chunk int, digest string")
+    assert [r.chunk for r in compact.uncached(planned, planned.where("chunk = 0"), "day", "chunk", "digest").collect()] == [1]
+
+
+def test_build_index_embeds_only_what_changed(spark, tmp_path):
+    def letters(texts):
+        return [[float(t.lower().count(c)) for c in "abcdefgh"] for t in texts]
+
+    def rows(*texts):
+        return search.line_table(spark.createDataFrame([(p, "session", "2026-01", t) for p, t in texts], "path string, artifact string, month string, text string"), "path")
+
+    first, report = index.build_index(rows(("p", "aaa\n\nbbb"), ("q", "ccc\n\n" + "d " * 2000)), letters, keep=("month",), batch_size=2)
+    assert report.first().asDict() == {"chunks": 6, "embedded": 6, "removed": 0}
+    first.write.parquet(str(tmp_path / "v0"))
+    old = spark.read.parquet(str(tmp_path / "v0"))
+    second, report = index.build_index(rows(("p", "aaa\n\neee\n")), letters, old, keep=("month",))
+    assert report.first().asDict() == {"chunks": 2, "embedded": 1, "removed": 0}
+    assert second.count() == old.count() and sorted(r.chunk_text for r in second.where("path = 'p'").collect()) == ["aaa", "eee"]
+    third, report = index.build_index(rows(("p", "aaa")), letters, second, keep=("month",))
+    assert report.first().asDict() == {"chunks": 1, "embedded": 0, "removed": 1} and third.where("path = 'p'").count() == 1
+    assert [r.chunk_text for r in index.semantic_search(second, "a", letters, 1).collect()] == ["aaa"]
+    assert index.semantic_search(second, "a", letters, 5, scope=F.col("month") > "2026-01").count() == 0
+    with pytest.raises(ValueError):
+        index.semantic_search(second, " ", letters)
+    with pytest.raises(Exception, match="vectors for"):
+        index.embedded(second.drop("embedding"), lambda t: []).collect()
+    empty, report = index.build_index(rows(("p", "x")).limit(0), letters)
+    assert empty.count() == 0 and report.first().asDict() == {"chunks": 0, "embedded": 0, "removed": 0}
+
+
+def test_bounds():
+    from datetime import date
+
+    from loomlark.functions.timeutil import bounds
+
+    assert bounds("2026-01", "2025-01", "2025-02", 3) == ("2026-01", "2026-01")
+    assert bounds(None, "2025-01", "2026-02", 3, date(2026, 1, 2)) == ("2025-12-30", "2026-02") and bounds(days=0, today=date(2026, 1, 2)) == ("2026-01-02", None) and bounds(start="2025-01") == ("2025-01", None)
+
+
+def test_spread_and_audit_of_harmless_texts(spark, tmp_path):
+    from loomlark.operators import redact
+    from loomlark.session import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(0, 10, 1, 4).write.parquet(str(tmp_path / "four"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 10
+    many = spark.range(0, 10, 1, 4)
+    assert spread(many) is many
+    texts = spark.createDataFrame([("plain text",), (None,), ("",), ("x sk-live-0123456789abcdef y",)], "text string")
+    assert [(r.redacted, r.n_api_key) for r in redact.with_audit(texts, "text").collect()] == [("plain text", 0), (None, 0), ("", 0), ("x [REDACTED API TOKEN] y", 1)]
