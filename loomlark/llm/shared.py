@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlark.session import ship
+from loomlark.session import ship, spread
 
 #: A word: a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,4 +71,4 @@ def word_count(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
