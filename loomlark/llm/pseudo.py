@@ -79,8 +79,8 @@ def log_probability(theta: np.ndarray, symbols: int, ids: np.ndarray) -> np.ndar
     tables, out, bias = _parts(theta, symbols)
     wide = np.concatenate((out, bias[None]))
     bounded = np.abs(wide).sum(0).max() < 80
-    near, found, ones = windows(ids), np.empty(len(ids), np.float64), np.ones(symbols, np.float32)
-    h = np.ones((min(len(ids), BLOCK), WIDTH + 1), np.float32)
+    near, found, ones = windows(ids), np.empty(len(ids), np.float64), np.ones(symbols, theta.dtype)
+    h = np.ones((min(len(ids), BLOCK), WIDTH + 1), theta.dtype)
     for s in range(0, len(ids), BLOCK):
         n = min(BLOCK, len(ids) - s)
         np.tanh(sum(tables[k][near[k, s : s + n]] for k in range(2 * SIDE)), out=h[:n, :WIDTH])
