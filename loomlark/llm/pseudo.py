@@ -5,7 +5,8 @@ either side. A document's score is the sum of the conditional log-probabilities
 
 Tokens are words mapped to ``symbols`` classes: the most frequent words of the corpus have their own, the others
 share hashed classes, so every word of any text has a probability. Word counts cover all documents. Training also covers
-all documents: each task runs gradient steps over its own texts from the same start, and the tasks' networks
+all documents, and every token of them is a target: the rounds deal a text's windows among them. Texts are turned into symbols once,
+in a table that the rounds and the scoring read. Each task runs gradient steps over its own texts from the same start, and the tasks' networks
 are averaged, weighted by tokens, through a tree of partition sums of fan-in 16, so what is gathered grows with the input while
 no task or driver holds more than 16 networks. A second round starts from the first average.
 
@@ -60,25 +61,21 @@ def _parts(theta: np.ndarray, symbols: int):
 def windows(ids: np.ndarray) -> np.ndarray:
     """Neighbours of each token: SIDE to the left, SIDE to the right."""
     n = len(ids)
-    p = np.concatenate((np.zeros(SIDE, np.int32), ids, np.zeros(SIDE, np.int32)))
+    p = np.concatenate((np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)))
     return np.stack([p[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
 
 
-def _forward(theta: np.ndarray, symbols: int, near: np.ndarray):
-    tables, out, bias = _parts(theta, symbols)
-    h = np.tanh(sum(tables[k][near[k]] for k in range(2 * SIDE)))
-    z = h @ out + bias
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    return h, z, e, e.sum(1)
+def _wide(out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The output matrix with its bias as the last row, and whether no logit can overflow ``exp``."""
+    wide = np.concatenate((out, bias[None]))
+    return wide, bool(np.abs(wide).sum(0).max() < 80)
 
 
 def log_probability(theta: np.ndarray, symbols: int, ids: np.ndarray) -> np.ndarray:
     """Of each token given both sides. The hidden units lie within 1, so a bound of the logits shows whether ``exp`` may go
     without the largest being taken off first; blocks of logits stay in the processor's cache."""
     tables, out, bias = _parts(theta, symbols)
-    wide = np.concatenate((out, bias[None]))
-    bounded = np.abs(wide).sum(0).max() < 80
+    wide, bounded = _wide(out, bias)
     near, found, ones = windows(ids), np.empty(len(ids), np.float64), np.ones(symbols, theta.dtype)
     h = np.ones((min(len(ids), BLOCK), WIDTH + 1), theta.dtype)
     for s in range(0, len(ids), BLOCK):
@@ -94,19 +91,29 @@ def log_probability(theta: np.ndarray, symbols: int, ids: np.ndarray) -> np.ndar
 
 
 def step(theta: np.ndarray, memory: np.ndarray, symbols: int, near: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step, in place."""
-    h, _, e, total = _forward(theta, symbols, near)
-    e /= total[:, None]
-    e[np.arange(len(e)), target] -= 1
-    e /= len(e)
-    tables, out, _ = _parts(theta, symbols)
-    back = (e @ out.T) * (1 - h * h)
+    """One Adagrad step, in place. A table's gradient is summed over runs of equal neighbours in sorted order."""
+    tables, out, bias = _parts(theta, symbols)
+    wide, bounded = _wide(out, bias)
+    n = len(target)
+    h = np.ones((n, WIDTH + 1), theta.dtype)
+    np.tanh(sum(tables[k][near[k]] for k in range(2 * SIDE)), out=h[:, :WIDTH])
+    e = h @ wide
+    if not bounded:
+        e -= e.max(1, keepdims=True)
+    np.exp(e, out=e)
+    e *= (1 / (n * (e @ np.ones(symbols, theta.dtype))))[:, None]
+    e[np.arange(n), target] -= 1 / n
+    back = (e @ out.T) * (1 - h[:, :WIDTH] ** 2)
     grad = np.zeros_like(theta)
     g_tables, g_out, g_bias = _parts(grad, symbols)
     for k in range(2 * SIDE):
-        np.add.at(g_tables[k], near[k], back)
-    g_out += h.T @ e
-    g_bias += e.sum(0)
+        order = np.argsort(near[k], kind="stable")
+        own = near[k][order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        g_tables[k][own[first]] = np.add.reduceat(back[order], first, axis=0)
+    both = h.T @ e
+    g_out += both[:-1]
+    g_bias += both[-1]
     memory += grad * grad
     theta -= rate * grad / (np.sqrt(memory) + 1e-6)
 
@@ -156,54 +163,77 @@ def _average(rows: DataFrame, fan: int = 16) -> np.ndarray | None:
     return sum(np.frombuffer(r["theta"], np.float32).astype(np.float64) * (r["weight"] / weight) for r in got).astype(np.float32) if got else None
 
 
-def train(docs: DataFrame, symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 16) -> tuple[np.ndarray, Vocabulary]:
-    """The averaged network. Each round steps over every ``stride``-th window of every text, from another offset."""
-    bounded_batches(docs.sparkSession)
-    vocabulary = Vocabulary(frequent_words(docs, own), symbols)
-    theta = start(symbols)
-    for r in range(rounds):
+def encoded(docs: DataFrame, vocabulary: Vocabulary, symbols: int, key: str | None = None) -> DataFrame:
+    """key (if named), ids: the symbols of each text, in the smallest type that holds them."""
+    kind = np.min_scalar_type(symbols - 1)
 
-        def run(batches: Iterator[pa.RecordBatch], theta=theta, r=r) -> Iterator[pa.RecordBatch]:
-            mine, memory, seen = theta.copy(), np.full_like(theta, 1e-6), 0
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([vocabulary.ids(t.as_buffer().to_pybytes()).astype(kind).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
+
+    keys = [key] if key else []
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keys) + "ids binary"
+    return docs.select(*keys, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
+
+
+def share(r: int, n: int, stride: int) -> slice:
+    """Which of the ``n`` windows of a text round ``r`` steps over. ``stride`` rounds in a row cover each window of any text."""
+    return slice((r + n) % min(stride, n), None, stride)
 
-            def learn():
-                near, target = np.concatenate([a for a, _ in held], 1), np.concatenate([b for _, b in held])
-                for s in range(0, len(target), 2048):
-                    step(mine, memory, symbols, near[:, s : s + 2048], target[s : s + 2048], rate)
-                held.clear()
-                return len(target)
 
+def fit(rows: DataFrame, symbols: int, rounds: int, rate: float, stride: int) -> np.ndarray:
+    """The averaged network, from a table with ``ids``."""
+    kind, theta = np.min_scalar_type(symbols - 1), start(symbols)
+    for r in range(max(rounds, stride)):
+
+        def run(batches: Iterator[pa.RecordBatch], theta=theta, r=r) -> Iterator[pa.RecordBatch]:
+            mine, memory, seen = theta.copy(), np.full_like(theta, 1e-6), 0
             for batch in batches:
-                for t in batch.column(0):
-                    ids = vocabulary.ids(t.as_buffer().to_pybytes())
-                    if len(ids):
-                        at = (r * 7 + len(ids)) % stride
-                        held.append((windows(ids)[:, at::stride], ids[at::stride]))
-                if held:
-                    seen += learn()
+                texts = [x for t in batch.column(0) if len(x := np.frombuffer(t.as_buffer(), kind))]
+                if texts:
+                    near = np.concatenate([windows(x)[:, share(r, len(x), stride)] for x in texts], 1)
+                    target = np.concatenate([x[share(r, len(x), stride)] for x in texts])
+                    for s in range(0, len(target), 2048):
+                        step(mine, memory, symbols, near[:, s : s + 2048], target[s : s + 2048], rate)
+                    seen += len(target)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([mine.tobytes()], pa.binary())], ["weight", "theta"])
 
-        found = written(docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "weight double, theta binary"), "networks")
+        found = written(rows.select("ids").mapInArrow(run, "weight double, theta binary"), "networks")
         theta = _average(found) if found.head(1) else theta
-    return theta, vocabulary
+    return theta
 
 
-def score(docs: DataFrame, theta: np.ndarray, vocabulary: Vocabulary, symbols: int = 256, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens)."""
+def train(docs: DataFrame, symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2) -> tuple[np.ndarray, Vocabulary]:
+    """The averaged network. Each round steps over every ``stride``-th window of every text, from another offset; there are
+    as many rounds as offsets at least, so that every token is a target."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    vocabulary = Vocabulary(frequent_words(docs, own), symbols)
+    return fit(written(encoded(docs, vocabulary, symbols), "symbols"), symbols, rounds, rate, stride), vocabulary
+
+
+def score_ids(rows: DataFrame, theta: np.ndarray, symbols: int, key: str) -> DataFrame:
+    """key, ids -> key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens)."""
+    symbol, kind = np.min_scalar_type(symbols - 1), rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [vocabulary.ids(t.as_buffer().to_pybytes()) for t in batch.column(1)]
+            ids = [np.frombuffer(t.as_buffer(), symbol) for t in batch.column(1)]
             total = [float(log_probability(theta, symbols, x).sum()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(total, pa.float64())], [key, "n_tokens", "log_likelihood"])
 
-    found = docs.select(key, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_likelihood double")
+    found = rows.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_likelihood double")
     return found.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
-def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", symbols: int = 256, **how) -> DataFrame:
-    return score(docs, *train(docs, symbols, **how), symbols, key)
+def score(docs: DataFrame, theta: np.ndarray, vocabulary: Vocabulary, symbols: int = 256, key: str = "doc_id") -> DataFrame:
+    """``score_ids`` of texts."""
+    bounded_batches(docs.sparkSession)
+    return score_ids(encoded(docs, vocabulary, symbols, key), theta, symbols, key)
+
+
+def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    rows = written(encoded(docs, Vocabulary(frequent_words(docs, own), symbols), symbols, key), "symbols")
+    return score_ids(rows, fit(rows, symbols, rounds, rate, stride), symbols, key)

@@ -248,6 +248,16 @@ def test_pseudo_likelihood(docs, odd, none):
     assert pseudo.pseudo_likelihood(none).count() == 0
 
 
+def test_training_covers_every_token(spark):
+    for stride in (1, 2, 3, 16):
+        for n in range(1, 40):
+            assert {k for r in range(stride) for k in range(n)[pseudo.share(r, n, stride)]} == set(range(n))
+    for text in ("word", "two words", "one two three four five six seven eight"):  # short texts alone train a network too
+        theta, vocabulary = pseudo.train(spark.createDataFrame([(text,)] * 50, "text string"))
+        ids = vocabulary.ids(text.encode())
+        assert (pseudo.log_probability(theta, 256, ids) > pseudo.log_probability(pseudo.start(256), 256, ids) + 0.5).all()
+
+
 def test_network_gradient():
     theta, symbols = pseudo.start(8).astype(np.float64), 8
     rng = np.random.default_rng(5)
