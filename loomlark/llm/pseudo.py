@@ -4,7 +4,12 @@ A small bidirectional window network, written and trained in numpy, predicts eac
 either side. A document's score is the sum of the conditional log-probabilities of its tokens, each masked in turn.
 
 Tokens are words mapped to ``symbols`` classes: the most frequent words of the corpus have their own, the others
-share hashed classes, so every word of any text has a probability. Word counts cover all documents. Training also covers
+share hashed classes. A token's probability is p(class | both sides) from the network times p(word | class) from the counts of all
+words of the corpus: n / (N + 1) for a word that occurs n times in a class of N tokens. A word that the corpus lacks counts as one
+that it has once, so every word of any text has a probability, and those of a class and its unseen words add up to 1.
+
+The counts stay a table. Of the most frequent ``held`` words, a fixed number, tasks know them; the other words of each text are
+joined with the table, which thereby meets no hot key. Words that occur once add log 1 and take no part in the join. Word counts cover all documents. Training also covers
 all documents, and every token of them is a target: the rounds deal a text's windows among them. Texts are turned into symbols once,
 in a table that the rounds and the scoring read. Each task runs gradient steps over its own texts from the same start, and the tasks' networks
 are averaged, weighted by tokens, through a tree of partition sums of fan-in 16, so what is gathered grows with the input while
@@ -118,9 +123,8 @@ def step(theta: np.ndarray, memory: np.ndarray, symbols: int, near: np.ndarray,
     theta -= rate * grad / (np.sqrt(memory) + 1e-6)
 
 
-def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The ``most`` words with the largest counts over all texts, ties by bytes. Counts are summed in
-    tasks first, in memos of bounded size."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, n over all texts. Counts are summed in tasks first, in memos of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -138,8 +142,12 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
         if held:
             yield out()
 
-    counted = docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words with the largest counts, with these, ties by bytes."""
+    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _average(rows: DataFrame, fan: int = 16) -> np.ndarray | None:
@@ -177,6 +185,57 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, symbols: int, key: str | No
     return docs.select(*keys, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
 
 
+class Held(dict):
+    """word (bytes) -> its number among the held words; others give -1 - their symbol."""
+
+    def __init__(self, words: list[bytes], vocabulary: Vocabulary):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.vocabulary[word]
+
+
+def counted(docs: DataFrame, vocabulary: Vocabulary, symbols: int, counts: DataFrame, key: str, held: int) -> DataFrame:
+    """key, ids, words, rare: the sum of log p(word | class) but for log n of the words that are not held, which are in ``rare``
+    with how often they occur in the text."""
+    top = frequent_words(counts, held)
+    size = np.zeros(symbols)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(vocabulary.shared)).alias("c")).agg(F.sum("n").alias("n")).collect():
+        size[vocabulary.first + r["c"]] = r["n"]
+    own = [w for w, s in vocabulary.items() if s < vocabulary.first]
+    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("word").isin(own)).collect()} if own else {}
+    for w, n in often.items():
+        size[vocabulary.first + zlib.crc32(w) % vocabulary.shared] -= n
+    least = -np.log(size + 1)
+    least[: vocabulary.first] = 0
+    number = Held([w for w, _ in top], vocabulary)
+    symbol = np.array([vocabulary[w] for w, _ in top], np.int64)
+    log_n = np.where(symbol < vocabulary.first, 0.0, np.log(np.array([n for _, n in top], float)))
+    kind = np.min_scalar_type(symbols - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sums, words, times, ends = [], [], [], [], [0]
+            for t in batch.column(1):
+                split = t.as_buffer().to_pybytes().lower().split()
+                at = np.fromiter(map(number.__getitem__, split), np.int64, len(split))
+                known, other = at >= 0, np.flatnonzero(at < 0)
+                own = -1 - at
+                own[known] = symbol[at[known]]
+                ids.append(own.astype(kind).tobytes())
+                sums.append(float(least[own].sum() + log_n[at[known]].sum()))
+                rare = Counter(split[k] for k in other.tolist() if own[k] >= vocabulary.first)
+                words += rare
+                times += rare.values()
+                ends.append(len(words))
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [key, "ids", "words", "rare"])
+
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary, words double, rare array<struct<word: binary, times: bigint>>"
+    return docs.select(key, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
+
+
 def share(r: int, n: int, stride: int) -> slice:
     """Which of the ``n`` windows of a text round ``r`` steps over. ``stride`` rounds in a row cover each window of any text."""
     return slice((r + n) % min(stride, n), None, stride)
@@ -209,31 +268,51 @@ def train(docs: DataFrame, symbols: int = 256, own: int = 160, rounds: int = 2,
     """The averaged network. Each round steps over every ``stride``-th window of every text, from another offset; there are
     as many rounds as offsets at least, so that every token is a target."""
     bounded_batches(docs.sparkSession)
-    vocabulary = Vocabulary(frequent_words(docs, own), symbols)
+    vocabulary = Vocabulary([w for w, _ in frequent_words(count_words(docs), own)], symbols)
     return fit(written(encoded(docs, vocabulary, symbols), "symbols"), symbols, rounds, rate, stride), vocabulary
 
 
-def score_ids(rows: DataFrame, theta: np.ndarray, symbols: int, key: str) -> DataFrame:
-    """key, ids -> key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens)."""
-    symbol, kind = np.min_scalar_type(symbols - 1), rows.schema[key].dataType.simpleString()
+def score_ids(rows: DataFrame, theta: np.ndarray, symbols: int) -> DataFrame:
+    """``rows`` with n_tokens and log_likelihood (the sum of log p(class | both sides)) for ids, which stand last."""
+    symbol, kept = np.min_scalar_type(symbols - 1), rows.drop("ids").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(t.as_buffer(), symbol) for t in batch.column(1)]
+            ids = [np.frombuffer(t.as_buffer(), symbol) for t in batch.column(batch.num_columns - 1)]
             total = [float(log_probability(theta, symbols, x).sum()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(total, pa.float64())], [key, "n_tokens", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(total, pa.float64())], [*batch.schema.names[:-1], "n_tokens", "log_likelihood"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_tokens long, log_likelihood double"
+    return rows.select(*kept.names, "ids").mapInArrow(run, schema)
+
+
+def _with_mean(scored: DataFrame, key: str) -> DataFrame:
+    return scored.select(key, "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
+
 
-    found = rows.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_likelihood double")
-    return found.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+def score_words(rows: DataFrame, counts: DataFrame, theta: np.ndarray, symbols: int, key: str) -> DataFrame:
+    """As ``score`` with ``counts``, for a ``counted`` table that is written with a number ``_row``."""
+    pairs = rows.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.times")
+    rare = pairs.join(counts.where("n > 1"), "word").groupBy(F.col("_row").alias("_of")).agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("_rare"))
+    scored = score_ids(rows.select("_row", key, "words", "ids"), theta, symbols)
+    whole = F.col("log_likelihood") + F.col("words") + F.coalesce("_rare", F.lit(0.0))
+    return _with_mean(scored.join(rare, F.col("_row") == F.col("_of"), "left").withColumn("log_likelihood", whole), key)
 
 
-def score(docs: DataFrame, theta: np.ndarray, vocabulary: Vocabulary, symbols: int = 256, key: str = "doc_id") -> DataFrame:
-    """``score_ids`` of texts."""
+def score(docs: DataFrame, theta: np.ndarray, vocabulary: Vocabulary, symbols: int = 256, key: str = "doc_id", counts: DataFrame | None = None, held: int = 20_000) -> DataFrame:
+    """key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens): of the tokens where ``counts``
+    (word, n of the corpus) is given, else of their classes alone."""
     bounded_batches(docs.sparkSession)
-    return score_ids(encoded(docs, vocabulary, symbols, key), theta, symbols, key)
+    if counts is None:
+        return _with_mean(score_ids(encoded(docs, vocabulary, symbols, key), theta, symbols), key)
+    rows = written(counted(docs, vocabulary, symbols, counts, key, held).withColumn("_row", F.monotonically_increasing_id()), "symbols")
+    return score_words(rows, counts, theta, symbols, key)
 
 
-def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2, held: int = 20_000) -> DataFrame:
+    """``score`` of the tokens, by a network and counts from the same documents."""
     bounded_batches(docs.sparkSession)
-    rows = written(encoded(docs, Vocabulary(frequent_words(docs, own), symbols), symbols, key), "symbols")
-    return score_ids(rows, fit(rows, symbols, rounds, rate, stride), symbols, key)
+    counts = written(count_words(docs), "words")
+    vocabulary = Vocabulary([w for w, _ in frequent_words(counts, own)], symbols)
+    rows = written(counted(docs, vocabulary, symbols, counts, key, held).withColumn("_row", F.monotonically_increasing_id()), "symbols")
+    return score_words(rows, counts, fit(rows, symbols, rounds, rate, stride), symbols, key)

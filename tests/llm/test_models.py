@@ -258,6 +258,33 @@ def test_training_covers_every_token(spark):
         assert (pseudo.log_probability(theta, 256, ids) > pseudo.log_probability(pseudo.start(256), 256, ids) + 0.5).all()
 
 
+def test_each_word_has_its_own_probability(spark, docs):
+    theta, vocabulary = pseudo.train(docs)
+    n = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
+    size = Counter()
+    for w, k in n.items():
+        size[vocabulary[w]] += k
+    log_p = lambda w: math.log(n.get(w, 1) / (size[vocabulary[w]] + 1)) if vocabulary[w] >= vocabulary.first else 0.0
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "qqunseen zzunseen the qqunseen"), (-2, None)], "doc_id long, text string"))
+    classes = {r.doc_id: r.log_likelihood for r in pseudo.score(more, theta, vocabulary).collect()}
+    texts = {r.doc_id: r.text for r in more.collect()}
+    for held in (0, 200, 20_000):  # all words that have no symbol of their own joined, some, none
+        rows = pseudo.score(more, theta, vocabulary, counts=pseudo.count_words(docs), held=held).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            words = (texts[r.doc_id] or "").encode().lower().split()
+            assert r.n_tokens == len(words) and math.isclose(r.log_likelihood - classes[r.doc_id], sum(map(log_p, words)), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_garbled_words_score_below_words_of_their_class(spark, docs):
+    n = Counter(w for r in docs.collect() for w in (r.text or "").lower().split())
+    real = n.most_common(400)[-1][0]
+    garbled = next(w for w in (f"zq{k}" for k in range(10_000)) if zlib.crc32(w.encode()) % 95 == zlib.crc32(real.encode()) % 95)
+    more = spark.createDataFrame([(-1, f"{real} of the {real}"), (-2, f"{garbled} of the {garbled}")], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(docs.select("doc_id", "text").unionByName(more)).where("doc_id < 0").collect()}
+    assert got[-2] < got[-1] - 1
+
+
 def test_network_gradient():
     theta, symbols = pseudo.start(8).astype(np.float64), 8
     rng = np.random.default_rng(5)
