@@ -45,10 +45,12 @@ def _offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
 
 
-def copies(sizes: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """key, source, size -> key, source, size, source_size, target, copies."""
-    sizes = written(sizes.select(key, "source", F.col("size").cast("long").alias("size")), "sizes")
-    at = sizes.withColumn("_row", F.monotonically_increasing_id())
+def copies(sizes: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 17, row: str | None = None) -> DataFrame:
+    """key, source, size -> key, source, size, source_size, target, copies. ``row`` names a further column, a number unique to
+    each row, which tells rows with equal keys apart and is returned last."""
+    rows = [row] if row else []
+    sizes = written(sizes.select(key, "source", F.col("size").cast("long").alias("size"), *rows), "sizes")
+    at = sizes.withColumn("_row", F.col(row) if row else F.monotonically_increasing_id())
     at = at.repartitionByRange(F.col("source").asc_nulls_last(), "size", key, "_row").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", key, "_row")
     at = written(at.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)).drop("_row"), "ordered")
     runs = at.groupBy("_part", "source").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
@@ -60,14 +62,15 @@ def copies(sizes: DataFrame, key: str, weights: tuple[float, ...] = (3.0, 1.0, 2
     row = F.col("_pos") + F.col("_shift")
     up_to = lambda n: F.floor(rate * n + _offset(F.col("source"), seed))
     out = at.join(runs, (at["_part"] == runs["_part"]) & at["source"].eqNullSafe(runs["_source"]))
-    return out.select(key, "source", "size", "source_size", "target", F.least(up_to(row + 1) - up_to(row), F.lit(most).cast("long")).cast("long").alias("copies"))
+    return out.select(key, "source", "size", "source_size", "target", F.least(up_to(row + 1) - up_to(row), F.lit(most).cast("long")).cast("long").alias("copies"), *rows)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", copy: str | None = None, **how) -> DataFrame:
     """One row per emitted copy, columns as they are; ``copy`` names a further column with the copy's number from 0.
-    Rows with equal keys share a number of copies: that of the first in order."""
-    counted = copies(docs.select(key, "source", word_count(F.col("text")).alias("size")), key, **how)
-    name, many = unused(docs, "__key"), unused(docs, "__copies")
-    taken = counted.groupBy(F.col(key).alias(name)).agg(F.min("copies").alias(many)).where(F.col(many) > 0)
-    out = docs.join(taken, docs[key].eqNullSafe(taken[name])).withColumn(many, F.explode(F.sequence(F.lit(0), (F.col(many) - 1).cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns], *([F.col(many).alias(copy)] if copy else []))
+    Each row has its own number of copies, also where keys repeat or are null: rows are numbered as they are written once."""
+    row, name, many = unused(docs, "__row"), unused(docs, "__taken"), unused(docs, "__copies")
+    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    counted = copies(marked.select(key, "source", word_count(F.col("text")).alias("size"), row), key, row=row, **how)
+    taken = counted.where("copies > 0").select(F.col(row).alias(name), F.col("copies").alias(many))
+    out = marked.join(taken, marked[row] == taken[name]).withColumn(many, F.explode(F.sequence(F.lit(0), (F.col(many) - 1).cast("int"))))
+    return out.select(*[marked[c] for c in docs.columns], *([F.col(many).alias(copy)] if copy else []))

@@ -139,6 +139,20 @@ def test_mix_emits_whole_rows(odd):
     assert max(Counter((r.doc_id, r.text, r.n) for r in out).values()) <= 2  # the repeated row stands twice
 
 
+def test_mix_counts_rows_with_repeated_and_null_keys_on_their_own(spark):
+    rows = [(k % 7 if kind == "repeated" else None, f"{source}{k} " + "word " * (k % 5), source) for source, n in (("a", 100), ("b", 100), ("c", 100)) for kind in ("repeated", "null") for k in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = mixing.copies(table.select("doc_id", "source", word_count(F.col("text")).alias("size")), "doc_id").collect()
+    assert {r.copies for r in counted} >= {0, 1, 2} and any(r.target < r.source_size for r in counted)
+    target, taken = {r.source: r.target for r in counted}, Counter()
+    out = mixing.mix(table).collect()
+    for r in out:
+        taken[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - target[s]) <= 1.01 * 5 for s in target)
+    size = lambda r: len(r.text.split())
+    assert Counter((r.doc_id, r.source, size(r)) for r in out) == sum((Counter({(r.doc_id, r.source, r.size): r.copies}) for r in counted), Counter())
+
+
 def spans_of(text):
     rules = ((r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0))
     found = [(m.start(), k, m.end()) for k, (p, least, g) in enumerate(rules) for m in re.finditer(p, text) if len(m[g]) >= least]
