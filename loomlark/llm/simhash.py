@@ -2,16 +2,19 @@
 
 A fingerprint is embedded as the bit counts of ``SEGMENTS`` segments of two bits. The Manhattan distance of two
 embeddings is at most their Hamming distance, so fingerprints that link (``radius`` bits or fewer) lie within
-``radius`` of each other in the embedding too. Segments are grouped into ``AXES`` axes; a Manhattan
-distance of ``radius`` can touch at most ``radius`` axes, so the pair shares a grid cell on some choice of
-AXES - radius axes. Every choice is one grid. Within a cell, pairs are filtered by the Manhattan lower bound
-and then verified exactly by Hamming distance.
+``radius`` of each other in the embedding too. Segments are grouped into axes; a Manhattan distance of ``radius`` can touch at
+most ``radius`` axes, so the pair shares a grid cell on some choice of all axes but ``radius``. Every choice is one grid: the range
+join is the union of these joins by cell. Within a cell, pairs are filtered by the Manhattan lower bound and then verified
+exactly by Hamming distance. The links are the same for any number of axes; it follows the number of fingerprints (``axes_for``),
+so that a cell holds few by chance.
 
 Plan: fingerprints are computed where texts are read and written once (id, fingerprint); copies collapse
 to one row by fingerprint with map-side combining. The grid rows are 16 bytes each, 70 per distinct
-fingerprint, in one exchange; sorted by cell within partitions they are streamed through numpy. A cell emits
+fingerprint up to 268 million of them, in one exchange; sorted by cell within partitions they are streamed through numpy. A cell emits
 the edges of a spanning forest, never its pairs, so a large group of near copies costs rows in proportion to its
-size. Components come from alternating star contraction over written edge tables. Nothing is collected.
+size. Components come from alternating star contraction over written edge tables. The least neighbour of each node, and of each
+component the least key, are written before they are joined: both sides of these joins are scans, so that Spark can split
+a node or component that holds a third of all rows. Nothing is collected.
 
 Cases: null and empty texts have fingerprint 0 and link like any other; under ``words`` words the whole sequence
 is one shingle; null ids are nodes by their fingerprint and are never the smallest; empty tables give empty results.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomlark.llm.shared import bounded_batches, text_or_empty, unused, written
 
-AXES, RADIUS = 8, 4
+AXES, RADIUS, SEGMENTS = 8, 4, 32
 _ONES = np.uint64(0x0101010101010101)
 _PAIR = np.uint64(0x5555555555555555)
 
@@ -88,9 +91,18 @@ def _unary(e: np.ndarray) -> np.ndarray:
     return (e & ~(high << np.uint64(1))) | high | (high << np.uint64(1))
 
 
-def _grids() -> list[tuple[int, np.uint64]]:
-    width = 64 // AXES
-    return [(k, np.uint64(sum(((1 << width) - 1) << (width * a) for a in axes))) for k, axes in enumerate(combinations(range(AXES), AXES - RADIUS))]
+def axes_for(fingerprints: int, by_chance: int = 16) -> int:
+    """The fewest axes, ``AXES`` at least, at which a cell holds at most ``by_chance`` of random fingerprints: a segment's count tells 1.5 bits."""
+    axes = AXES
+    while axes < SEGMENTS and fingerprints > by_chance * 2 ** (1.5 * SEGMENTS * (axes - RADIUS) / axes):
+        axes += 1
+    return axes
+
+
+def _grids(axes: int) -> list[tuple[int, np.uint64]]:
+    ends = [2 * (SEGMENTS * a // axes) for a in range(axes + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    return [(k, np.uint64(sum(chosen))) for k, chosen in enumerate(combinations(masks, axes - RADIUS))]
 
 
 def _forest(fp: np.ndarray, edges: list[np.ndarray]) -> None:
@@ -136,11 +148,12 @@ def _cell_edges(cell: np.ndarray, grid: np.ndarray, fp: np.ndarray) -> np.ndarra
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, axes: int | None = None) -> DataFrame:
     """fp (distinct) -> edges a < b whose components are those of all pairs within the radius."""
+    axes = axes or axes_for(distinct.count())
 
     def grid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grids = _grids()
+        grids = _grids(axes)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             e = embed(fp)
@@ -193,12 +206,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        small = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        low = small.groupBy("u").agg(F.min("v").alias("m"))
-        new = small.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        new = written(new, "edges")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct(), "edges")
+        low = written(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
+        new = written(large.join(low, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "edges")
         # a star forest, each node below one centre that is below none: nothing moves any more
         tangled = new.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).unionByName(new.join(new.select(F.col("b").alias("_b")).distinct(), F.col("a") == F.col("_b"), "left_semi").select("b", F.lit(1).cast("long").alias("n")).limit(1))
         edges = new
@@ -214,8 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = 4) -> Dat
     own = written(fingerprints(docs, key, words), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     label = components(links(distinct))
-    known = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    top = known.groupBy("label").agg(F.min("least").alias("component"))
+    known = written(distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "classes")
+    top = written(known.groupBy("label").agg(F.min("least").alias("component")), "components")
     return own.join(known.join(top, "label").select("fp", "label", "component"), "fp").select(key, "fp", "label", "component")
 
 
