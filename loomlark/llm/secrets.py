@@ -30,13 +30,15 @@ RULES: tuple[tuple[str, str, str, int, int], ...] = (
 #: A maximal run is matched by either form, and the second makes no short matches.
 _LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 _OPEN, _SPARE = "\ue000", "\ue001"
+#: Raised with any change of how ``find_spans`` works beside the patterns: findings of earlier versions are not served.
+SCANNER = 1
 LEDGER = "digest binary, version string, spans array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
 def rule_version() -> str:
     import hashlib
 
-    return hashlib.sha256(repr(RULES).encode()).hexdigest()
+    return hashlib.sha256(repr((RULES, _LONG, _OPEN, _SPARE, SCANNER)).encode()).hexdigest()
 
 
 def _spans(text: Column, rank: int) -> Column:
@@ -63,9 +65,8 @@ def find_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_spans(text, k) for k in range(len(RULES))]))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -> DataFrame:
-    """key, digest, spans for every row of ``docs`` (key, text). ``ledger_path``: a Parquet folder of earlier
-    findings, appended to; without one, a new ledger in the shared folder serves this call."""
+def _ledger(docs: DataFrame, key: str, ledger_path: str | None) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``key`` and digest of every row of ``docs``, and digest and spans of every distinct content."""
     spark = docs.sparkSession
     content = text_or_empty(F.col("text"))
     version = rule_version()
@@ -79,15 +80,23 @@ def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -
     new = unseen(docs, rows, key, content, store)
     new.select("digest", F.lit(version).alias("version"), find_spans(F.col("text")).alias("spans")).write.mode("append").parquet(ledger_path)
     known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("version") == version).dropDuplicates(["digest"])
-    # written, so that nothing stands between the join and its exchanges and a hot blob's paths can be split
-    known = written(known.select("digest", "spans"), "findings")
+    # written, so that nothing stands between a join and its exchanges and a hot blob's paths can be split
+    return rows, written(known.select("digest", "spans"), "findings")
+
+
+def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -> DataFrame:
+    """key, digest, spans for every row of ``docs`` (key, text). ``ledger_path``: a Parquet folder of earlier
+    findings, appended to; without one, a new ledger in the shared folder serves this call."""
+    rows, known = _ledger(docs, key, ledger_path)
     return rows.join(known, "digest").select(F.col("key").alias(key), "digest", "spans")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", mask: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
-    """``docs``, columns as they are, with every span of its texts replaced by ``mask``; ``n_chars`` follows where there is one."""
+    """``docs``, columns as they are, with every span of its texts replaced by ``mask``; ``n_chars`` follows where there is one.
+    Only contents with findings are joined; Spark broadcasts these where their table is small, and the texts then stay in place."""
     own, other, spans = (unused(docs, n) for n in ("__own", "__digest", "__spans"))
-    found = scan(docs, key, ledger_path).where(F.size("spans") > 0).groupBy(F.col("digest").alias(other)).agg(F.first("spans").alias(spans))
+    _, known = _ledger(docs, key, ledger_path)
+    found = written(known.where(F.size("spans") > 0).select(F.col("digest").alias(other), F.col("spans").alias(spans)), "secrets")
     marked = docs.withColumn(own, F.unhex(F.sha2(text_or_empty(F.col("text")), 256)))
     hit = F.col(spans).isNotNull()
     out = marked.join(found, F.col(own) == F.col(other), "left").withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
