@@ -4,12 +4,19 @@ Base rules count words, symbols, repeated lines and repeated three-word windows
 that pass them, a two-state chain labels each line content or boilerplate: Viterbi decoding of a conditional
 random field over line features. A document is kept if its content lines hold at least ``share`` of its words.
 
-Plan: the field is fit by gradient ascent on at most ``SAMPLE`` labelled documents (documented bound, chosen by hash; each line
-takes its document's label; documents of at most ``LINES`` lines are used for fitting). Their ids are broadcast, as the bound holds at
-any size. Labelling is one narrow pass over whole texts, with one document in memory.
-
-Cases: null text has no words and is not kept; without labels of both kinds every line counts as content; repeated rows
-are judged each; an empty table gives an empty result.
+Lines have no labels of their own. They start from weak ones: all lines of a document labelled bad are boilerplate, and so are those of
+a good one that repeat an earlier line or hold a cue of boilerplate. A field without transitions is fit and labels each line of its sample
+by itself; the chain is fit to these lines, labels them anew, and so on, ``ROUNDS`` times; where the new lines contradict their document's label (the share of content of a good one must reach
+``share``, that of a bad one must not), the document keeps its weak ones. So transitions between content and boilerplate within a
+document are learnt, while documents hold the labels together.
+
+Plan: the field is fit by gradient ascent on at most ``SAMPLE`` labelled documents, chosen by hash, and in that order until they have
+``LINES`` lines with words (documented bounds). Long documents are cut into chains of ``CHAIN`` lines for the fit, and all their lines take
+part. The sample's ids are broadcast, as the bound holds at any size. Labelling is one narrow pass over whole texts, with one
+document in memory.
+
+Cases: null text has no words and is not kept; without labels of both kinds every line counts as content; of several labelled
+documents with one id, one is fit on; repeated rows are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,16 +28,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlark.llm.shared import bounded_batches, text_or_empty, written
 
-SAMPLE, LINES = 4000, 200
+SAMPLE, LINES, CHAIN, ROUNDS = 4000, 1_000_000, 64, 2
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 _BOILER = re.compile(r"(?i)\b(?:all rights reserved|copyright|cookies?|subscribe|sign in|log in|terms of|privacy policy|licen[sc]ed?|click here|read more)\b|©")
 N_FEATURES = 12
+_REPEATED, _CUE = 7, 9  # features that mark a line as boilerplate to begin with
 
 
 def counts(text: str) -> tuple[int, int, int, int, int]:
@@ -101,34 +109,34 @@ class Field:
         return np.array(states[::-1])
 
 
-def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood of a linear-chain field by gradient ascent (Adam), forward-backward over all documents at once."""
+def fit_field(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3, transitions: bool = True) -> Field:
+    """Maximum likelihood of a linear-chain field, from (features, states) of chains of lines, by gradient ascent (Adam), forward-backward over
+    all chains at once. Without ``transitions`` each line stands alone."""
     field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    docs = [(x, y) for x, y in docs if len(x)]
-    if len({y for _, y in docs}) < 2:
+    chains = [(x[s : s + CHAIN], y[s : s + CHAIN]) for x, y in chains for s in range(0, len(x), CHAIN)]
+    if len({int(v) for _, y in chains for v in np.unique(y)}) < 2:
         field.weight[0, 0] = 1.0
         return field
-    docs.sort(key=lambda d: -len(d[0]))
-    n = np.array([len(x) for x, _ in docs])
-    y = np.array([v for _, v in docs])
+    chains.sort(key=lambda c: -len(c[0]))
+    n = np.array([len(x) for x, _ in chains])
     T = n[0]
-    X = np.zeros((T, len(docs), N_FEATURES))
-    for k, (x, _) in enumerate(docs):
-        X[: len(x), k] = x
-    live = [int((n > t).sum()) for t in range(T)]  # documents stand by length, so those with a line t come first
+    X, Y = np.zeros((T, len(chains), N_FEATURES)), np.zeros((T, len(chains)), int)
+    for k, (x, y) in enumerate(chains):
+        X[: len(x), k], Y[: len(x), k] = x, y
+    live = [int((n > t).sum()) for t in range(T)]  # chains stand by length, so those with a line t come first
     total = n.sum()
     eye = np.eye(2)
     want_w = np.zeros((N_FEATURES, 2))
     want_s = np.zeros((2, 2))
     for t in range(T):
-        want_w += X[t, : live[t]].T @ eye[y[: live[t]]]
+        want_w += X[t, : live[t]].T @ eye[Y[t, : live[t]]]
         if t:
-            want_s += np.diag(np.bincount(y[: live[t]], minlength=2))
+            want_s += eye[Y[t - 1, : live[t]]].T @ eye[Y[t, : live[t]]]
     theta = [field.weight, field.step]
     m, v = [0 * p for p in theta], [0 * p for p in theta]
     for i in range(1, steps + 1):
         emit = X @ field.weight
-        f, z = np.zeros((T, len(docs), 2)), np.zeros((T, len(docs)))
+        f, z = np.zeros((T, len(chains), 2)), np.zeros((T, len(chains)))
         trans = np.exp(field.step)
         for t in range(T):  # forward, scaled
             e = np.exp(emit[t, : live[t]] - emit[t, : live[t]].max(1, keepdims=True))
@@ -136,7 +144,7 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float
             z[t, : live[t]] = g.sum(1)
             f[t, : live[t]] = g / z[t, : live[t], None]
         got_w, got_s = np.zeros_like(want_w), np.zeros_like(want_s)
-        b = np.ones((len(docs), 2))
+        b = np.ones((len(chains), 2))
         for t in range(T - 1, -1, -1):  # backward
             k = live[t]
             p = f[t, :k] * b[:k]
@@ -148,7 +156,7 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float
                 got_s += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
                 new = e @ trans.T
                 b[:k] = new / new.sum(1, keepdims=True)
-        for p, want, got, a, c in zip(theta, (want_w, want_s), (got_w, got_s), m, v):
+        for p, want, got, a, c in list(zip(theta, (want_w, want_s), (got_w, got_s), m, v))[: 1 + transitions]:
             grad = (want - got) / total - decay * p
             a *= 0.9
             a += 0.1 * grad
@@ -158,20 +166,44 @@ def fit_field(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Field:
+def content_share(states: np.ndarray, sizes: np.ndarray) -> float:
+    """The share of the words that stand in lines of content."""
+    return float(sizes[states == 0].sum() / sizes.sum()) if len(sizes) else 0.0
+
+
+def fit_documents(docs: list[tuple[np.ndarray, np.ndarray, int]], share: float = 0.5, rounds: int = ROUNDS) -> Field:
+    """The field from (features, words of each line, whether labelled bad) of documents."""
+    weak = [np.ones(len(x), int) if bad else ((x[:, _REPEATED] > 0) | (x[:, _CUE] > 0)).astype(int) for x, _, bad in docs]
+    weak = [y if bad or content_share(y, n) >= share else np.zeros(len(y), int) for y, (_, n, bad) in zip(weak, docs)]
+    if len({bad for _, _, bad in docs}) < 2:
+        return fit_field([])
+    field = fit_field([(x, y) for (x, _, _), y in zip(docs, weak)], transitions=False)
+    for _ in range(rounds):
+        found = [field.viterbi(x) for x, _, _ in docs]
+        found = [y if (content_share(y, n) < share) == bool(bad) else w for y, w, (_, n, bad) in zip(found, weak, docs)]
+        field = fit_field([(x, y) for (x, _, _), y in zip(docs, found)])
+    return field
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, most_lines: int = LINES) -> Field:
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where(F.col("_key").isNotNull() & F.col("_y").isin(0, 1))
     known = known.orderBy(F.xxhash64("_key"), "_key", "_y").limit(sample)
-    rows = docs.select(F.col(key).alias("_key"), text_or_empty(F.col("text")).alias("text")).join(F.broadcast(known), "_key").select("_y", "text")
+    rows = docs.select(F.col(key).alias("_key"), text_or_empty(F.col("text")).alias("text")).join(F.broadcast(known), "_key").select(F.xxhash64("_key").alias("_at"), "_y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_features(t.as_py())[0] for t in batch.column(1)]
-            use = [k for k, x in enumerate(found) if 0 < len(x) <= LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py() for k in use], pa.int32()), pa.array([found[k].tobytes() for k in use], pa.binary())], ["y", "x"])
+            blobs = [np.column_stack(line_features(t.as_py())).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["at", "y", "x"])
 
-    got = written(rows.mapInArrow(run, "y int, x binary"), "lines").collect()
-    return fit_field([(np.frombuffer(r["x"]).reshape(-1, N_FEATURES), 1 - r["y"]) for r in sorted(got, key=lambda r: (r["y"], bytes(r["x"])))])
+    # one row for each label, however often its id repeats in ``docs``
+    got = written(rows.mapInArrow(run, "at long, y int, x binary").where(F.octet_length("x") > 0).groupBy("at", "y").agg(F.min("x").alias("x")), "lines")
+    before = F.sum(F.octet_length("x")).over(Window.orderBy("at", "y").rowsBetween(Window.unboundedPreceding, -1))
+    found = []
+    for r in got.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) < most_lines * 8 * (N_FEATURES + 1)).orderBy("at", "y").collect():
+        x = np.frombuffer(r["x"]).reshape(-1, N_FEATURES + 1)
+        found.append((x[:, :N_FEATURES], x[:, N_FEATURES].astype(np.int64), 1 - r["y"]))
+    return fit_documents(found)
 
 
 def judge(docs: DataFrame, field: Field, key: str = "doc_id", share: float = 0.5, with_lines: bool = False) -> DataFrame:
@@ -192,7 +224,7 @@ def judge(docs: DataFrame, field: Field, key: str = "doc_id", share: float = 0.5
                 failed = own[0] < 50 or 100 * own[4] > 50 * own[0]
                 x, sizes = line_features(text)
                 states = field.viterbi(x) if len(x) else np.zeros(0, int)
-                content = float(sizes[states == 0].sum() / sizes.sum()) if len(x) else 0.0
+                content = content_share(states, sizes)
                 out.append((*own, failed, not failed and content >= share, content, states.tolist()))
             columns = list(zip(*out)) or [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], [*names, "line_states"][: 9 + with_lines])
