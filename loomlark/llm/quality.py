@@ -9,7 +9,7 @@ because that bound holds at any size. Scoring is one narrow pass over whole text
 
 Cases: null and empty texts get the statistics of a text without words and a score like any other; without labels of
 both kinds every score is the share of label 1 among those known, or 0.5 without any; a document with several labels uses
-each; null labels are ignored; repeated rows are scored each; an empty table gives an empty result.
+each; of several documents with one id, the one with the smallest statistics is fit on; null labels are ignored; repeated rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y")).where(F.col("_key").isNotNull() & F.col("_y").isin(0.0, 1.0))
     known = known.orderBy(F.xxhash64("_key"), "_key", "_y").limit(sample)
     train = docs.select(F.col(key).alias("_key"), "text").join(F.broadcast(known), "_key").select("_key", "_y", "text")
-    train = written(with_statistics(train, "_key"), "statistics")
+    # one row for each label, so that an id that repeats in ``docs`` brings no more rows than its labels
+    train = written(with_statistics(train, "_key").groupBy("_key", "_y").agg(F.min("stats").alias("stats")), "statistics")
     moments = train.agg(F.count("*").alias("n"), F.sum("_y").alias("ones"), *[f(F.col("stats")[k]).alias(f"{name}{k}") for k in range(N_STATS) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     rng = np.random.default_rng(seed)
     mean = np.array([moments[f"m{k}"] or 0.0 for k in range(N_STATS)])
