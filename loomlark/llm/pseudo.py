@@ -1,126 +1,51 @@
 """Operator 5, language-model scoring by masked pseudo-likelihood.
 
-A small bidirectional window network, written and trained in numpy, predicts each token from the ``SIDE`` tokens on
-either side. A document's score is the sum of the conditional log-probabilities of its tokens, each masked in turn.
-
-Tokens are words mapped to ``symbols`` classes: the most frequent words of the corpus have their own, the others
-share hashed classes. A token's probability is p(class | both sides) from the network times p(word | class) from the counts of all
-words of the corpus: n / (N + 1) for a word that occurs n times in a class of N tokens. A word that the corpus lacks counts as one
-that it has once, so every word of any text has a probability, and those of a class and its unseen words add up to 1.
-
-The counts stay a table. Of the most frequent ``held`` words, a fixed number, tasks know them; the other words of each text are
-joined with the table, which thereby meets no hot key. Words that occur once add log 1 and take no part in the join. Word counts cover all documents. Training also covers
-all documents, and every token of them is a target: the rounds deal a text's windows among them. Texts are turned into symbols once,
-in a table that the rounds and the scoring read. Each task runs gradient steps over its own texts from the same start, and the tasks' networks
-are averaged, weighted by tokens, through a tree of partition sums of fan-in 16, so what is gathered grows with the input while
-no task or driver holds more than 16 networks. A second round starts from the first average.
+A bidirectional window network (``network``), written and trained in numpy, predicts each token from the tokens on either side. A
+document's score is the sum of the conditional log-probabilities of its tokens, each masked in turn.
+
+Tokens are words. The most frequent ``OWN`` words of the corpus have a symbol each; any other word has the symbol of its shape, its last
+two letters, and its own probability within that from a spelling model (``spelling``). So each word of any text has a probability
+of its own: p(symbol | both sides) times p(word | symbol).
+
+What is seen elsewhere in the corpus counts as well. For each window (four neighbour symbols) that occurs more than once, the network's p is
+the lower order of an absolute discount: of the n words seen in it, *without the masked token itself*, w holds n(w), and
+p(w | window) = (max(n(w) - D, 0) + D * kinds * p_network(w)) / n. A window that occurs once has the network's p alone. These
+counts are of all windows of all texts and grow with the corpus. In them a word without a symbol goes by a digest of 16 bits, and its
+p(word | symbol) is kept to 1/128 nat.
+
+Plan: words are counted, texts are turned into symbols once and written in pages of about ``PAGE`` tokens. For training, texts are dealt by a
+digest of their symbols into blocks of about ``TOKENS``, copies once; each block trains from the same start, in two rounds that
+step over alternate windows, and the blocks' networks are averaged through a tree of partition sums. Blocks depend on the texts alone, so
+the model is the same however a table is partitioned. For the windows, each page asks, in one blob of sorted distinct keys for each
+bucket of keys, how often they occur; a window that holds a third of all tokens costs one key a page. A bucket answers
+each page for windows that occur elsewhere. No task holds more than a page, a block or a bucket.
 
 Cases: null and empty texts have no tokens and score 0; a missing neighbour is the edge symbol; repeated rows are scored each
-and count each; an empty table gives an empty result.
+and count each as windows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, islice, repeat
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlark.llm.shared import bounded_batches, text_or_empty, written
-
-SIDE, WIDTH = 2, 16
-BLOCK = 1 << 10
+from loomlark.llm import network
+from loomlark.llm.shared import bounded_batches, discard, text_or_empty, written
+from loomlark.llm.spelling import LETTERS, SHAPES, Spelling, counts as spelled_counts
 
-
-class Vocabulary(dict):
-    """word (bytes) -> symbol; words without their own go to a hashed class. 0 is the edge."""
-
-    def __init__(self, own: list[bytes], symbols: int):
-        super().__init__((w, k + 1) for k, w in enumerate(own))
-        self.first, self.shared = len(own) + 1, symbols - len(own) - 1
-
-    def __missing__(self, word: bytes) -> int:
-        return self.first + zlib.crc32(word) % self.shared
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
-def start(symbols: int, seed: int = 3) -> np.ndarray:
-    """Parameters as one vector: a table per neighbour position, the output matrix and its bias."""
-    rng = np.random.default_rng(seed)
-    return np.concatenate((rng.standard_normal(2 * SIDE * symbols * WIDTH) * 0.1, rng.standard_normal(WIDTH * symbols) * 0.1, np.zeros(symbols))).astype(np.float32)
-
-
-def _parts(theta: np.ndarray, symbols: int):
-    n = 2 * SIDE * symbols * WIDTH
-    return theta[:n].reshape(2 * SIDE, symbols, WIDTH), theta[n : n + WIDTH * symbols].reshape(WIDTH, symbols), theta[n + WIDTH * symbols :]
-
-
-def windows(ids: np.ndarray) -> np.ndarray:
-    """Neighbours of each token: SIDE to the left, SIDE to the right."""
-    n = len(ids)
-    p = np.concatenate((np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)))
-    return np.stack([p[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
-
-
-def _wide(out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The output matrix with its bias as the last row, and whether no logit can overflow ``exp``."""
-    wide = np.concatenate((out, bias[None]))
-    return wide, bool(np.abs(wide).sum(0).max() < 80)
-
-
-def log_probability(theta: np.ndarray, symbols: int, ids: np.ndarray) -> np.ndarray:
-    """Of each token given both sides. The hidden units lie within 1, so a bound of the logits shows whether ``exp`` may go
-    without the largest being taken off first; blocks of logits stay in the processor's cache."""
-    tables, out, bias = _parts(theta, symbols)
-    wide, bounded = _wide(out, bias)
-    near, found, ones = windows(ids), np.empty(len(ids), np.float64), np.ones(symbols, theta.dtype)
-    h = np.ones((min(len(ids), BLOCK), WIDTH + 1), theta.dtype)
-    for s in range(0, len(ids), BLOCK):
-        n = min(BLOCK, len(ids) - s)
-        np.tanh(sum(tables[k][near[k, s : s + n]] for k in range(2 * SIDE)), out=h[:n, :WIDTH])
-        z = h[:n] @ wide
-        if not bounded:
-            z -= z.max(1, keepdims=True)
-        own = z[np.arange(n), ids[s : s + n]]
-        np.exp(z, out=z)
-        found[s : s + n] = own - np.log(z @ ones)
-    return found
-
-
-def step(theta: np.ndarray, memory: np.ndarray, symbols: int, near: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One Adagrad step, in place. A table's gradient is summed over runs of equal neighbours in sorted order."""
-    tables, out, bias = _parts(theta, symbols)
-    wide, bounded = _wide(out, bias)
-    n = len(target)
-    h = np.ones((n, WIDTH + 1), theta.dtype)
-    np.tanh(sum(tables[k][near[k]] for k in range(2 * SIDE)), out=h[:, :WIDTH])
-    e = h @ wide
-    if not bounded:
-        e -= e.max(1, keepdims=True)
-    np.exp(e, out=e)
-    e *= (1 / (n * (e @ np.ones(symbols, theta.dtype))))[:, None]
-    e[np.arange(n), target] -= 1 / n
-    back = (e @ out.T) * (1 - h[:, :WIDTH] ** 2)
-    grad = np.zeros_like(theta)
-    g_tables, g_out, g_bias = _parts(grad, symbols)
-    for k in range(2 * SIDE):
-        order = np.argsort(near[k], kind="stable")
-        own = near[k][order]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        g_tables[k][own[first]] = np.add.reduceat(back[order], first, axis=0)
-    both = h.T @ e
-    g_out += both[:-1]
-    g_bias += both[-1]
-    memory += grad * grad
-    theta -= rate * grad / (np.sqrt(memory) + 1e-6)
+OWN = network.SYMBOLS - SHAPES - 1
+PAGE, TOKENS, BUCKET = 1 << 21, 1 << 20, 1 << 23
+DISCOUNT = 0.5
+_SYMBOL_BITS, _NAME_BITS, _UNIT = 12, 16, 128
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -145,22 +70,161 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The ``most`` words with the largest counts, with these, ties by bytes."""
-    return [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+class Vocabulary:
+    """Symbols in order of frequency: the edge of a text, the own words, the shapes."""
+
+    def __init__(self, own: list[tuple[bytes, int]], triples: np.ndarray, shapes: np.ndarray):
+        words = [w for w, _ in own]
+        n = np.full(network.SYMBOLS, 0.5)
+        n[1 : 1 + len(own)] += [k for _, k in own]
+        n[1 + OWN :] += shapes
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(network.SYMBOLS, np.uint16)
+        place[order] = np.arange(network.SYMBOLS)
+        self.frequency, self.edge, self.shapes = n[order], int(place[0]), place[1 + OWN :]
+        self.own = {w: int(place[k + 1]) for k, w in enumerate(words)}
+        self.spelling = Spelling(triples, words)
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, log p(word | symbol), and names: of an own word its symbol, of any other a digest."""
+        own = np.fromiter(map(self.own.get, words, repeat(-1)), np.int64, len(words))
+        shape, log_p = self.spelling.read(words)
+        digest = np.fromiter(map(crc32, words), np.int64, len(words)) % ((1 << _NAME_BITS) - network.SYMBOLS) + network.SYMBOLS
+        return np.where(own >= 0, own, self.shapes[shape]).astype(np.uint16), np.where(own >= 0, 0.0, log_p), np.where(own >= 0, own, digest).astype(np.uint16)
+
+
+class Coder(dict):
+    """A task's memo: word -> its place in what ``Vocabulary.read`` gave. It starts anew beyond ``most`` words."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+        self.held = (np.empty(0, np.uint16), np.empty(0), np.empty(0, np.uint16))
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        if len(self) > self.most:
+            self.clear()
+            self.held = tuple(x[:0] for x in self.held)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = list(islice(self, len(self.held[0]), None))
+        if new:
+            self.held = tuple(map(np.concatenate, zip(self.held, self.vocabulary.read(new))))
+        return tuple(x[at] for x in self.held)
+
+
+def vocabulary_of(words: DataFrame) -> Vocabulary:
+    """From a written table of words with counts. What is collected are the own words and sums for each triple of letters and each shape."""
+    own = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(OWN).collect()]
+    known = {w for w, _ in own}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LETTERS**3 + SHAPES)
+        for batch in batches:
+            rest = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in known]
+            if rest:
+                total += np.concatenate(spelled_counts([w for w, _ in rest], np.array([n for _, n in rest])))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+
+    total = np.zeros(LETTERS**3 + SHAPES)
+    for r in words.select("word", "n").mapInArrow(run, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        total[r["k"]] = r["n"]
+    return Vocabulary(own, total[: LETTERS**3], total[LETTERS**3 :])
+
+
+def pages(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
+    """keys, tokens, lengths (int32), words (float64: each text's sum of log p(word | symbol)), and of each token ids (symbols), names and
+    costs (-log p(word | symbol) in 128ths), all uint16: a page a row."""
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, held, tokens = Coder(vocabulary), [], 0
+
+        def out():
+            keys = pa.concat_arrays([h[0] for h in held])
+            blobs = [np.concatenate([h[k] for h in held]) for k in range(1, 6)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(blobs[2])]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["keys", "tokens", "lengths", "words", "ids", "names", "costs"])
+
+        for batch in batches:
+            texts = [t.as_buffer().to_pybytes().lower().split() for t in batch.column(1)]
+            lengths = np.array([len(t) for t in texts], np.int32)
+            ids, logs, names = coder.read(list(chain.from_iterable(texts)))
+            ends = np.cumsum(lengths, dtype=np.int64)
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            costs = np.minimum(np.round(-logs * _UNIT), 0xFFFF).astype(np.uint16)
+            held.append((batch.column(0), lengths, sums[ends] - sums[ends - lengths], ids, names, costs))
+            tokens += len(ids)
+            if tokens >= PAGE:
+                yield out()
+                held, tokens = [], 0
+        if sum(len(h[0]) for h in held):
+            yield out()
+
+    return docs.select(key, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, f"keys array<{kind.simpleString()}>, tokens long, lengths binary, words binary, ids binary, names binary, costs binary")
+
+
+def _arrays(lengths: pa.Scalar, *tokens: pa.Scalar) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(lengths.as_buffer(), np.int32), *(np.frombuffer(x.as_buffer(), np.uint16) for x in tokens)
+
+
+def blocks(rows: DataFrame, tokens: int) -> DataFrame:
+    """shard, lengths, ids: the distinct texts of pages in blocks that depend on the texts alone."""
+    shards = max(1, ceil(tokens / TOKENS))
+    spark = rows.sparkSession
+    parts = min(shards, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        sent: set[bytes] = set()  # a text with many copies leaves a task once or so
+        for batch in batches:
+            for lengths, ids in zip(batch.column(0), batch.column(1)):
+                own = {}
+                ends = 2 * np.cumsum(np.frombuffer(lengths.as_buffer(), np.int32), dtype=np.int64)
+                raw = ids.as_buffer().to_pybytes()
+                for a, b in zip(chain((0,), ends[:-1].tolist()), ends.tolist()):
+                    if a < b:
+                        own.setdefault(xxh3_128_digest(raw[a:b]), raw[a:b])
+                new = own.keys() - sent
+                yield pa.RecordBatch.from_arrays([pa.array([own[d] for d in sorted(new)], pa.binary())], ["ids"])
+                sent = new if len(sent) > 1_000_000 else sent | new
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def out():
+            lengths = np.array([len(x) // 2 for x in held], np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lengths.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["shard", "lengths", "ids"])
+
+        for batch in batches:
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s != shard and held:
+                    yield out()
+                    held = []
+                shard, x = s, x.as_buffer().to_pybytes()
+                if not held or held[-1] != x:
+                    held.append(x)
+        if held:
+            yield out()
+
+    found = rows.select("lengths", "ids").mapInArrow(texts, "ids binary").select(F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"), "ids")
+    return found.repartition(parts, "shard").sortWithinPartitions("shard", "ids").mapInArrow(join, "shard int, lengths binary, ids binary")
 
-def _average(rows: DataFrame, fan: int = 16) -> np.ndarray | None:
-    """Weighted mean of networks (weight double, theta binary) through levels of partition sums."""
+
+def _average(rows: DataFrame, fan: int = 8) -> np.ndarray | None:
+    """Weighted mean of networks (weight double, theta binary of float64) through levels of partition sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = 0.0, None
+        weight, total = 0.0, 0.0
         for batch in batches:
             for w, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(t.as_buffer(), np.float32).astype(np.float64) * w
-                weight, total = weight + w, own if total is None else total + own
+                weight, total = weight + w, total + np.frombuffer(t.as_buffer()) * w
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["weight", "theta"])
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], ["weight", "theta"])
 
     n = rows.count()
     while n > fan:
@@ -168,151 +232,199 @@ def _average(rows: DataFrame, fan: int = 16) -> np.ndarray | None:
         rows = written(rows.repartition(n).mapInArrow(add, "weight double, theta binary"), "networks")
     got = rows.collect()
     weight = sum(r["weight"] for r in got)
-    return sum(np.frombuffer(r["theta"], np.float32).astype(np.float64) * (r["weight"] / weight) for r in got).astype(np.float32) if got else None
+    return sum(np.frombuffer(r["theta"]) * (r["weight"] / weight) for r in got).astype(np.float32) if got else None
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, symbols: int, key: str | None = None) -> DataFrame:
-    """key (if named), ids: the symbols of each text, in the smallest type that holds them."""
-    kind = np.min_scalar_type(symbols - 1)
+def fit(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 0.4, batch_size: int = 8192) -> np.ndarray:
+    """The averaged network of written blocks. Every window is stepped over in one of the rounds; a block takes 64 steps a round at least."""
+    theta, edge = network.start(vocabulary.frequency), vocabulary.edge
+    for r in range(rounds):
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array([vocabulary.ids(t.as_buffer().to_pybytes()).astype(kind).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
+        def run(batches: Iterator[pa.RecordBatch], theta=theta, r=r) -> Iterator[pa.RecordBatch]:
+            weight, total = 0.0, 0.0
+            for batch in batches:
+                for scalars in zip(batch.column(0), batch.column(1)):
+                    lengths, ids = _arrays(*scalars)
+                    near, mine = network.windows(ids, lengths, edge)[:, r::rounds], ids[r::rounds]
+                    size = max(256, min(batch_size, len(mine) // 64))
+                    weight, total = weight + len(ids), total + network.trained(theta, near, mine, rate, size).astype(np.float64) * len(ids)
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).tobytes()], pa.binary())], ["weight", "theta"])
+
+        found = written(rows.select("lengths", "ids").mapInArrow(run, "weight double, theta binary"), "networks")
+        mean = _average(found)
+        theta = theta if mean is None else mean
+        discard(found)
+    return theta
 
-    keys = [key] if key else []
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keys) + "ids binary"
-    return docs.select(*keys, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
 
+def window_keys(ids: np.ndarray, names: np.ndarray, lengths: np.ndarray, edge: int, bits: int) -> np.ndarray:
+    """One number for each token: a digest of its neighbours, of which the first ``bits`` name the bucket and 32 more the window within it,
+    then the token's name."""
+    near = network.windows(ids, lengths, edge).astype(np.uint64)
+    key = near[0]
+    for other in near[1:]:
+        key = key << np.uint64(_SYMBOL_BITS) | other
+    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        key = key * np.uint64(odd)
+        key ^= key >> np.uint64(32)
+    return key >> np.uint64(32 - bits) << np.uint64(_NAME_BITS) | names
 
-class Held(dict):
-    """word (bytes) -> its number among the held words; others give -1 - their symbol."""
 
-    def __init__(self, words: list[bytes], vocabulary: Vocabulary):
-        super().__init__((w, k) for k, w in enumerate(words))
-        self.vocabulary = vocabulary
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Byte by byte: sorted and small numbers then compress well."""
+    return b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - self.vocabulary[word]
-
-
-def counted(docs: DataFrame, vocabulary: Vocabulary, symbols: int, counts: DataFrame, key: str, held: int) -> DataFrame:
-    """key, ids, words, rare: the sum of log p(word | class) but for log n of the words that are not held, which are in ``rare``
-    with how often they occur in the text."""
-    top = frequent_words(counts, held)
-    size = np.zeros(symbols)
-    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(vocabulary.shared)).alias("c")).agg(F.sum("n").alias("n")).collect():
-        size[vocabulary.first + r["c"]] = r["n"]
-    own = [w for w, s in vocabulary.items() if s < vocabulary.first]
-    often = {bytes(r["word"]): r["n"] for r in counts.where(F.col("word").isin(own)).collect()} if own else {}
-    for w, n in often.items():
-        size[vocabulary.first + zlib.crc32(w) % vocabulary.shared] -= n
-    least = -np.log(size + 1)
-    least[: vocabulary.first] = 0
-    number = Held([w for w, _ in top], vocabulary)
-    symbol = np.array([vocabulary[w] for w, _ in top], np.int64)
-    log_n = np.where(symbol < vocabulary.first, 0.0, np.log(np.array([n for _, n in top], float)))
-    kind = np.min_scalar_type(symbols - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sums, words, times, ends = [], [], [], [], [0]
-            for t in batch.column(1):
-                split = t.as_buffer().to_pybytes().lower().split()
-                at = np.fromiter(map(number.__getitem__, split), np.int64, len(split))
-                known, other = at >= 0, np.flatnonzero(at < 0)
-                own = -1 - at
-                own[known] = symbol[at[known]]
-                ids.append(own.astype(kind).tobytes())
-                sums.append(float(least[own].sum() + log_n[at[known]].sum()))
-                rare = Counter(split[k] for k in other.tolist() if own[k] >= vocabulary.first)
-                words += rare
-                times += rare.values()
-                ends.append(len(words))
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [key, "ids", "words", "rare"])
-
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary, words double, rare array<struct<word: binary, times: bigint>>"
-    return docs.select(key, text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
-
-
-def share(r: int, n: int, stride: int) -> slice:
-    """Which of the ``n`` windows of a text round ``r`` steps over. ``stride`` rounds in a row cover each window of any text."""
-    return slice((r + n) % min(stride, n), None, stride)
-
-
-def fit(rows: DataFrame, symbols: int, rounds: int, rate: float, stride: int) -> np.ndarray:
-    """The averaged network, from a table with ``ids``."""
-    kind, theta = np.min_scalar_type(symbols - 1), start(symbols)
-    for r in range(max(rounds, stride)):
+def _unplanes(raw: bytes, n: int, *kinds: type) -> Iterator[np.ndarray]:
+    at = 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        yield np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+        at += n * size
 
-        def run(batches: Iterator[pa.RecordBatch], theta=theta, r=r) -> Iterator[pa.RecordBatch]:
-            mine, memory, seen = theta.copy(), np.full_like(theta, 1e-6), 0
-            for batch in batches:
-                texts = [x for t in batch.column(0) if len(x := np.frombuffer(t.as_buffer(), kind))]
-                if texts:
-                    near = np.concatenate([windows(x)[:, share(r, len(x), stride)] for x in texts], 1)
-                    target = np.concatenate([x[share(r, len(x), stride)] for x in texts])
-                    for s in range(0, len(target), 2048):
-                        step(mine, memory, symbols, near[:, s : s + 2048], target[s : s + 2048], rate)
-                    seen += len(target)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([mine.tobytes()], pa.binary())], ["weight", "theta"])
-
-        found = written(rows.select("ids").mapInArrow(run, "weight double, theta binary"), "networks")
-        theta = _average(found) if found.head(1) else theta
-    return theta
 
+def asked(rows: DataFrame, edge: int, bits: int) -> DataFrame:
+    """page, bucket, n, request: the distinct keys of each page's windows with how often they occur in it."""
+    shift = np.uint64(32 + _NAME_BITS)
 
-def train(docs: DataFrame, symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2) -> tuple[np.ndarray, Vocabulary]:
-    """The averaged network. Each round steps over every ``stride``-th window of every text, from another offset; there are
-    as many rounds as offsets at least, so that every token is a target."""
-    bounded_batches(docs.sparkSession)
-    vocabulary = Vocabulary([w for w, _ in frequent_words(count_words(docs), own)], symbols)
-    return fit(written(encoded(docs, vocabulary, symbols), "symbols"), symbols, rounds, rate, stride), vocabulary
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, *scalars in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
+                lengths, ids, names = _arrays(*scalars)
+                keys, n = np.unique(window_keys(ids, names, lengths, edge, bits), return_counts=True)
+                buckets, first = np.unique(keys >> shift, return_index=True)
+                ends = np.append(first[1:], len(keys))
+                window, name, n = (keys >> np.uint64(_NAME_BITS)).astype(np.uint32), keys.astype(np.uint16), n.astype(np.uint32)
+                blobs = [_planes(window[a:b], name[a:b], n[a:b]) for a, b in zip(first, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(buckets), pa.int64()), pa.array(buckets.astype(np.int32)), pa.array(ends - first), pa.array(blobs, pa.binary())], ["page", "bucket", "n", "request"])
+
+    return rows.select("page", "lengths", "ids", "names").mapInArrow(run, "page long, bucket int, n long, request binary")
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """page, bucket, answer: which of the keys' windows occur more than once in the corpus, and for these the occurrences of the key, of its
+    window, and the number of words seen in that."""
+
+    def reply(held: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[list[int], list[bytes]]:
+        every = np.sort(np.concatenate([k for _, k, _ in held]))
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        keys, n = every[first], np.diff(first, append=len(every))
+        for _, own, times in held:
+            often = times > 1
+            n[np.searchsorted(keys, own[often])] += times[often] - 1
+        window = keys >> np.uint64(_NAME_BITS)
+        first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+        kinds, whole = np.diff(first, append=len(keys)), np.add.reduceat(n, first)
+        run = np.repeat(np.arange(len(first)), kinds)
+        pages, answers = [], []
+        for page, own, _ in held:
+            at = np.searchsorted(keys, own)
+            again = whole[run[at]] > 1
+            if again.any():
+                at = at[again]
+                pages.append(page)
+                answers.append(np.packbits(again).tobytes() + _planes(*(x.astype(np.uint32) for x in (n[at], whole[run[at]], kinds[run[at]]))))
+        return pages, answers
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
 
-def score_ids(rows: DataFrame, theta: np.ndarray, symbols: int) -> DataFrame:
-    """``rows`` with n_tokens and log_likelihood (the sum of log p(class | both sides)) for ids, which stand last."""
-    symbol, kept = np.min_scalar_type(symbols - 1), rows.drop("ids").schema
+        def out():
+            pages, answers = reply(held)
+            return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array([bucket] * len(pages), pa.int32()), pa.array(answers, pa.binary())], ["page", "bucket", "answer"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(t.as_buffer(), symbol) for t in batch.column(batch.num_columns - 1)]
-            total = [float(log_probability(theta, symbols, x).sum()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in ids], pa.int64()), pa.array(total, pa.float64())], [*batch.schema.names[:-1], "n_tokens", "log_likelihood"])
+            for page, b, n, request in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if b != bucket and held:
+                    yield out()
+                    held = []
+                bucket = b
+                window, name, times = _unplanes(request.as_buffer(), n, np.uint32, np.uint16, np.uint32)
+                held.append((page, window.astype(np.uint64) << np.uint64(_NAME_BITS) | name, times.astype(np.int64)))
+        if held:
+            yield out()
+
+    return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "page long, bucket int, answer binary")
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "n_tokens long, log_likelihood double"
-    return rows.select(*kept.names, "ids").mapInArrow(run, schema)
 
+def with_memory(log_p: np.ndarray, keys: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """Log-probabilities of words with what the corpus holds elsewhere, each token's own occurrence taken off."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    shift = np.uint64(32 + _NAME_BITS)
+    n, whole, kinds = (np.zeros(len(own)) for _ in range(3))
+    for bucket, raw in answers:
+        a, b = np.searchsorted(own, [np.uint64(bucket) << shift, np.uint64(bucket + 1) << shift])
+        mask = (b - a + 7) // 8
+        at = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, mask), count=b - a))
+        n[at], whole[at], kinds[at] = _unplanes(raw[mask:], len(at), np.uint32, np.uint32, np.uint32)
+    at = np.flatnonzero(whole[inverse] > 1)
+    n, whole, kinds = (x[inverse[at]] for x in (n, whole, kinds))
+    log_p = log_p.copy()
+    log_p[at] = np.log((np.maximum(n - 1 - DISCOUNT, 0) + DISCOUNT * (kinds - (n == 1)) * np.exp(log_p[at])) / (whole - 1))
+    return log_p
 
-def _with_mean(scored: DataFrame, key: str) -> DataFrame:
-    return scored.select(key, "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_probability"))
 
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    theta: np.ndarray
 
-def score_words(rows: DataFrame, counts: DataFrame, theta: np.ndarray, symbols: int, key: str) -> DataFrame:
-    """As ``score`` with ``counts``, for a ``counted`` table that is written with a number ``_row``."""
-    pairs = rows.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.times")
-    rare = pairs.join(counts.where("n > 1"), "word").groupBy(F.col("_row").alias("_of")).agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("_rare"))
-    scored = score_ids(rows.select("_row", key, "words", "ids"), theta, symbols)
-    whole = F.col("log_likelihood") + F.col("words") + F.coalesce("_rare", F.lit(0.0))
-    return _with_mean(scored.join(rare, F.col("_row") == F.col("_of"), "left").withColumn("log_likelihood", whole), key)
 
+def _scored(rows: DataFrame, model: Model, key: str, bits: int = 0) -> DataFrame:
+    """key, n_tokens, log_likelihood, mean_log_probability from pages; ``answers`` where they have them."""
+    theta, edge = model.theta, model.vocabulary.edge
+    remembered = "answers" in rows.columns
 
-def score(docs: DataFrame, theta: np.ndarray, vocabulary: Vocabulary, symbols: int = 256, key: str = "doc_id", counts: DataFrame | None = None, held: int = 20_000) -> DataFrame:
-    """key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens): of the tokens where ``counts``
-    (word, n of the corpus) is given, else of their classes alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths, ids = _arrays(batch.column(1)[i], batch.column(2)[i])
+                log_p = network.log_probability(theta, network.windows(ids, lengths, edge), ids)
+                answers = [(a["bucket"], a["answer"]) for a in batch.column(6)[i].as_py() or []] if remembered else []
+                if answers:
+                    _, names, costs = _arrays(*(batch.column(k)[i] for k in (1, 4, 5)))
+                    word = log_p - costs / _UNIT
+                    log_p += with_memory(word, window_keys(ids, names, lengths, edge, bits), answers) - word
+                ends, sums = np.cumsum(lengths, dtype=np.int64), np.concatenate(([0.0], np.cumsum(log_p)))
+                total = sums[ends] - sums[ends - lengths] + np.frombuffer(batch.column(3)[i].as_buffer())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(lengths.astype(np.int64)), pa.array(np.minimum(np.where(lengths > 0, total, 0.0), 0.0))], [key, "n_tokens", "log_likelihood"])
+
+    kind = rows.schema["keys"].dataType.elementType.simpleString()
+    found = rows.select("keys", "lengths", "ids", "words", *(["names", "costs", "answers"] if remembered else [])).mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_likelihood double")
+    return found.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+
+
+def _learnt(docs: DataFrame, key: str, **how) -> tuple[Model, DataFrame, int]:
+    """The model of a corpus, its written pages with a number each, and how many tokens they hold."""
     bounded_batches(docs.sparkSession)
-    if counts is None:
-        return _with_mean(score_ids(encoded(docs, vocabulary, symbols, key), theta, symbols), key)
-    rows = written(counted(docs, vocabulary, symbols, counts, key, held).withColumn("_row", F.monotonically_increasing_id()), "symbols")
-    return score_words(rows, counts, theta, symbols, key)
+    words = written(count_words(docs), "words")
+    vocabulary = vocabulary_of(words)
+    discard(words)
+    rows = written(pages(docs, vocabulary, key).withColumn("page", F.monotonically_increasing_id()), "pages", "zstd")
+    tokens = rows.agg(F.sum("tokens")).first()[0] or 0
+    dealt = written(blocks(rows, tokens), "blocks", "zstd")
+    theta = fit(dealt, vocabulary, **how)
+    discard(dealt)
+    return Model(vocabulary, theta), rows, tokens
 
 
-def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", symbols: int = 256, own: int = 160, rounds: int = 2, rate: float = 0.1, stride: int = 2, held: int = 20_000) -> DataFrame:
-    """``score`` of the tokens, by a network and counts from the same documents."""
+def train(docs: DataFrame, **how) -> Model:
+    """The model of ``docs``; ``how``: rounds, rate, batch_size."""
+    return _learnt(docs.select("text", F.lit(0).alias("_key")), "_key", **how)[0]
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """key, n_tokens, log_likelihood (the sum), mean_log_probability (null without tokens) of any texts, by the network alone."""
     bounded_batches(docs.sparkSession)
-    counts = written(count_words(docs), "words")
-    vocabulary = Vocabulary([w for w, _ in frequent_words(counts, own)], symbols)
-    rows = written(counted(docs, vocabulary, symbols, counts, key, held).withColumn("_row", F.monotonically_increasing_id()), "symbols")
-    return score_words(rows, counts, fit(rows, symbols, rounds, rate, stride), symbols, key)
+    return _scored(pages(docs, model.vocabulary, key), model, key)
+
+
+def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """As ``score``, of a corpus by its own model: each token by the network and by what the rest of the corpus holds in its window."""
+    model, rows, tokens = _learnt(docs, key, **how)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    bits = max(ceil(tokens / BUCKET), 2 * cores).bit_length()
+    answers = written(answered(asked(rows, model.vocabulary.edge, bits)), "answers")
+    answers = answers.groupBy(F.col("page").alias("_page")).agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    return _scored(rows.join(answers, F.col("page") == F.col("_page"), "left"), model, key, bits)

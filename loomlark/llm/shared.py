@@ -38,19 +38,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table that is read no more, and let the driver drop the shuffle files of queries that are gone."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, as very long texts must not meet in one batch of 10,000 rows, and ship this package."""
+    """Ship this package, and keep Arrow batches of the session small where they are larger, as very long texts must not meet in one
+    batch of 10,000 rows. The plans that follow are executed by the caller, so the session keeps these bounds."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        held = spark.conf.get(name)
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
 
 
 def unused(df: DataFrame, name: str) -> str:
