@@ -25,7 +25,7 @@ from loomlark.llm.shared import unused, word_count, written
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, size -> per source: source_size, target. ``share`` of all words is dealt by weight; no target
     exceeds ``most`` times its source, and what is cut off goes to the others by weight. In order of
-    cap / weight that water level is found with two running sums over the table of sources."""
+    cap / weight that water level is found with two running sums over the table of sources, one row each, which one task sorts."""
     per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))).withColumn("_cap", F.lit(most) * F.col("source_size"))

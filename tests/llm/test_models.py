@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from loomlark.llm import ann, chat, pseudo, quality, rules, simhash
+from loomlark.llm import ann, chat, network, pseudo, quality, rules, simhash, spelling
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,13 +72,23 @@ def test_links_equal_brute_force_on_dense_and_sparse_groups(spark):
             fps.append(f)
     fps = sorted(set(fps))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    label = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()
-    got = {r.node: r.label for r in label}
     roots = classes(fps)
     groups = {}
     for f, c in zip(signed, roots):
         groups.setdefault(c, set()).add(f)
-    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in got if got[n] == c) for c in set(got.values())}
+    for axes in (None, 9, 10):  # more axes, the same links
+        label = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), axes)).collect()
+        got = {r.node: r.label for r in label}
+        assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in got if got[n] == c) for c in set(got.values())}
+
+
+def test_axes_follow_the_number_of_fingerprints():
+    assert [simhash.axes_for(n) for n in (0, 10**8, 10**9, 5 * 10**9)] == [8, 8, 9, 10] and len(simhash._grids(8)) == 70
+    for axes in (8, 9, 11):
+        whole = 0
+        for _, mask in simhash._grids(axes):
+            whole |= int(mask)
+        assert whole == 2**64 - 1
 
 
 def test_manhattan_is_a_lower_bound():
@@ -124,6 +134,48 @@ def test_index_retrieves_every_code_within_the_radius():
             assert index.within(q, most).tolist() == np.flatnonzero(distance <= most).tolist()
 
 
+def clustered(n, rng, spread=0.25):
+    x = rng.standard_normal((60, 64))[rng.integers(0, 60, n)] + spread * rng.standard_normal((n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_index_compares_few_codes_where_vectors_cluster():
+    rng = np.random.default_rng(8)
+    x = clustered(6000, rng)
+    norm = np.linalg.norm(x, axis=1).max()
+    projection = ann.fit(x[:2000], norm)
+    most = ann.radius(x[:2000], norm, projection, 20, 0.97)
+    index, codes = ann.Index(ann.codes(ann._lifted(x, norm), projection)), ann._query_codes(x[:100], projection)
+    hits = 0
+    for k in range(100):
+        near = index.within(codes[k], most)
+        score = x @ x[k]
+        score[k] = -np.inf
+        hits += len(set(near.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.9 * 2000 and index.compared < 0.3 * 100 * len(x)
+
+
+def test_recall_beyond_the_sample_with_unequal_lengths(spark):
+    rng = np.random.default_rng(9)
+    for x in (rng.standard_normal((12_000, 24)) * rng.uniform(0.2, 3, (12_000, 1)), clustered(12_000, rng) * rng.uniform(0.5, 2, (12_000, 1))):
+        table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(table, every=200, sample_rows=2000, shard_rows=3000).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, 12_000, 200):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+        assert hits >= 0.9 * 20 * 60
+
+
+def test_equal_scores_across_shards(spark):
+    table = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(500)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, ann.search(table, every=250, shard_rows=7).collect()))
+    assert [r[2] for r in got if r[0] == 0] == list(range(1, 21)) and [r[2] for r in got if r[0] == 250] == list(range(20))
+
+
 def test_neighbours(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = table.collect()
@@ -188,12 +240,38 @@ def test_quality_rules(docs, labels, odd, none):
         assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
         for r in got:
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
-    kept = rules.judge(docs, field).join(labels, "doc_id").where("not base_failed")
-    assert kept.where("quality = 1 and not kept").count() == 0 and kept.where("quality = 0 and kept").count() <= 1
     assert rules.judge(none, rules.train(none, labels)).count() == 0
     assert rules.judge(docs, rules.train(docs, labels.limit(0))).where("not base_failed and not kept").count() == 0
 
 
+def test_lines_judge_documents_that_were_not_fit_on(spark, sf):
+    big = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    more = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    apart = quality.held_out(F.col("doc_id"))
+    kept = rules.judge(big, rules.train(big, more.where(~apart))).join(more.where(apart), "doc_id").where("not base_failed").collect()
+    assert all(r.kept for r in kept if r.quality == 1) and sum(r.kept for r in kept if r.quality == 0) <= 0.1 * len(kept)
+
+
+def test_long_and_repeated_documents_are_fit_on(spark, labels):
+    good = "\n".join(f"The river of the north runs by the old town {k}." for k in range(3000))
+    bad = "\n".join(f"Buy $$$ NOW!!! {k} ###" for k in range(3000))
+    table = spark.createDataFrame([(1, good), (2, bad), *[(1, good)] * 3], "doc_id long, text string")
+    own = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in rules.judge(table, rules.train(table, own), with_lines=True).collect()}
+    assert got[1].content_share > 0.9 and got[2].content_share < 0.1 and len(got[1].line_states) == 3000
+    only = rules.train(table, own, most_lines=1)  # the bound ends the sample after its first document
+    assert (only.weight[0] == [1.0, 0.0]).all()
+
+
+def test_lines_within_a_document_differ(spark):
+    text = [f"A quiet sentence about the hills and rivers number {k}." for k in range(12)]
+    junk = [f"### BUY {k} $$$ NOW !!!" for k in range(12)]
+    rows = [(k, "\n".join(text[:8] + junk[:4]), 1) for k in range(40)] + [(100 + k, "\n".join(junk), 0) for k in range(40)]
+    x = [(*rules.line_features(t), 1 - y) for _, t, y in rows]
+    states = rules.fit_documents(x).viterbi(x[0][0])
+    assert states[:8].sum() == 0 and states[8:].all()
+
+
 def test_viterbi_and_gradient():
     rng = np.random.default_rng(4)
     field = rules.Field(rng.standard_normal((rules.N_FEATURES, 2)), rng.standard_normal((2, 2)))
@@ -202,10 +280,29 @@ def test_viterbi_and_gradient():
         best = max(range(64), key=lambda s: sum((x[t] @ field.weight)[s >> t & 1] for t in range(6)) + sum(field.step[s >> t & 1, s >> (t + 1) & 1] for t in range(5)))
         assert field.viterbi(x).tolist() == [best >> t & 1 for t in range(6)]
     x = [(np.eye(rules.N_FEATURES)[[k % 3] * 4], k % 3 == 0) for k in range(30)]
-    learned = rules.fit_field([(a, int(b)) for a, b in x])
+    learned = rules.fit_field([(a, np.full(4, int(b))) for a, b in x])
     assert all(set(learned.viterbi(a).tolist()) == {int(b)} for a, b in x)
 
 
+def test_field_gradient_is_that_of_the_likelihood():
+    """At the maximum, expected and observed counts agree but for the decay: so no small step raises the regularised likelihood."""
+    rng = np.random.default_rng(6)
+    chains = [(rng.standard_normal((5, rules.N_FEATURES)), rng.integers(0, 2, 5)) for _ in range(12)]
+
+    def likelihood(w, s, decay=1e-3):
+        total = 0.0
+        for x, y in chains:
+            scores = [sum((x[t] @ w)[p >> t & 1] for t in range(5)) + sum(s[p >> t & 1, p >> (t + 1) & 1] for t in range(4)) for p in range(32)]
+            own = sum(int(v) << t for t, v in enumerate(y))
+            total += scores[own] - np.logaddexp.reduce(scores)
+        return total / 60 - decay / 2 * ((w**2).sum() + (s**2).sum())
+
+    field = rules.fit_field(chains, steps=3000, rate=0.02)
+    best = likelihood(field.weight, field.step)
+    for _ in range(20):
+        assert likelihood(field.weight + 0.02 * rng.standard_normal(field.weight.shape), field.step + 0.02 * rng.standard_normal((2, 2))) < best + 1e-6
+
+
 def test_quality_classifier(spark, sf, labels, odd, none):
     big = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
     more = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
@@ -224,79 +321,166 @@ def test_quality_classifier(spark, sf, labels, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def test_ridge_equals_a_direct_solution(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    labels = spark.read.parquet(sf.replace("0.001", "0.01") + "/labels.parquet")
+    more = docs.unionByName(docs.limit(50)).repartition(7)  # repeated rows, other partitions
+    model = quality.fit(docs, labels, waves=60)
+    again = quality.fit(more, labels, waves=60)
+    assert np.allclose(model.weight, again.weight, atol=1e-6)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(5)) == 0).alias("kept_out")).collect()
+    stats = np.array([quality.statistics(r.text or "") for r in rows])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.maximum(stats.std(0), 1e-6) + (stats.std(0) == 0))
+    use = np.array([not r.kept_out for r in rows])
+    z = model.features(stats)
+    y = np.array([float(r.quality) for r in rows])
+    direct = np.linalg.solve(z[use].T @ z[use] + 0.3 * np.eye(61), z[use].T @ y[use])
+    assert np.allclose(model.weight, direct, atol=1e-6)
+    x, k = (stats - model.mean) / model.scale, rng_pairs(len(rows))
+    near = np.exp(-((np.clip(x[k[0]], -4, 4) - np.clip(x[k[1]], -4, 4)) ** 2).sum(1) / 32)  # the Gaussian kernel of width 4
+    wide = quality.fit(docs, labels, waves=4000).features(stats)[:, :-1]
+    assert np.abs((wide[k[0]] * wide[k[1]]).sum(1) - near).max() < 0.12
+
+
+def rng_pairs(n):
+    return np.random.default_rng(1).integers(0, n, (2, 200))
+
+
 def test_isotonic_is_monotone_and_pools():
     x, y = quality.isotonic(np.array([1.0, 2.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0]))
     assert (np.diff(y) > 0).all() and len(x) == 3 and x[1] == 2.5
 
 
-def test_pseudo_likelihood(docs, odd, none):
-    theta, vocabulary = pseudo.train(docs, stride=4)
-    rows = {r.doc_id: r for r in pseudo.score(docs, theta, vocabulary).collect()}
-    tables, out, bias = pseudo._parts(theta, 256)
-    for r in docs.limit(5).collect():
-        words = [vocabulary[w] for w in r.text.encode().lower().split()]
+def test_spelling_is_a_distribution():
+    words = [w.encode() for w in "a an the they river rivers über naïve x1 x2 don't café".split()]
+    n = np.arange(1, len(words) + 1)
+    triples, shapes = spelling.counts(words, n)
+    assert triples.sum() == sum((len(w) + 1) * k for w, k in zip(words, n)) and shapes.sum() == n.sum()
+    model = spelling.Spelling(triples, words[:3])
+    assert abs(model.ends.sum() - 1) < 1e-9
+    shape, log_p = model._read(words)
+    for w, s, p in zip(words, shape, log_p):  # letter by letter
+        x = y = 0
         total = 0.0
-        for i, w in enumerate(words):
-            near = [words[j] if 0 <= j < len(words) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
-            z = np.tanh(sum(tables[k][n] for k, n in enumerate(near))) @ out + bias
-            total += float(z[w] - np.log(np.exp(z - z.max()).sum()) - z.max())
-        assert rows[r.doc_id].n_tokens == len(words) and math.isclose(rows[r.doc_id].log_likelihood, total, rel_tol=1e-4)
-    untrained = pseudo.score(docs, pseudo.start(256), vocabulary).agg(F.sum("log_likelihood")).first()[0]
-    assert sum(r.log_likelihood for r in rows.values()) > 0.95 * untrained
+        for b in [*w, 10]:
+            z = int(spelling._CODE[b])
+            total += model.log_p[x, y, z] + model.log_byte[b]
+            x, y = (y, z) if z else (x, y)
+        assert math.isclose(total, p) and s == spelling._SHAPE[x, y]
+    # all words of a shape: its mass is that of the pairs of letters that end there, less the own words
+    mass = np.bincount(spelling._SHAPE.ravel(), model.ends.ravel(), spelling.SHAPES)
+    own, p = model._read(words[:3])
+    assert np.allclose(np.exp(model.log_mass), np.maximum(mass - np.bincount(own, np.exp(p), spelling.SHAPES), 1e-300))
+
+
+def windows_of(ids, edge):
+    return [tuple(int(ids[j]) if 0 <= j < len(ids) else edge for j in (i - 2, i - 1, i + 1, i + 2)) for i in range(len(ids))]
+
+
+def plain_log_p(theta, near, target):
+    tables, first, second = network.parts(theta.astype(np.float64))
+    h = np.tanh(sum(tables[k][v] for k, v in enumerate(near)))
+    h[-1] = 1
+    soft = lambda z: z - np.logaddexp.reduce(z)
+    return soft(h @ first)[target // 64] + soft(h @ second[target // 64])[target % 64]
+
+
+def test_pseudo_likelihood_equals_brute_force(spark, docs, odd, none):
+    from pyspark.sql import DataFrame
+
+    some = docs.select("doc_id", "text").limit(60)
+    table = some.unionByName(some.limit(8)).unionByName(odd.select("doc_id", "text").where("doc_id <> 6"))
+    rows = table.collect()
+    table = spark.createDataFrame(rows, table.schema)
+    model = pseudo.train(table)
+    texts = [(r.text or "").encode().lower().split() for r in rows]
+    read = [model.vocabulary.read(t) if t else (np.empty(0, int),) * 3 for t in texts]
+    seen, whole = Counter(), Counter()
+    kinds = {}
+    for ids, _, names in read:
+        for near, name in zip(windows_of(ids, model.vocabulary.edge), names.tolist()):
+            seen[near, name] += 1
+            whole[near] += 1
+            kinds.setdefault(near, set()).add(name)
+    want, alone = [], []
+    for r, (ids, logs, names) in zip(rows, read):
+        total = net = 0.0
+        for i, near in enumerate(windows_of(ids, model.vocabulary.edge)):
+            p = plain_log_p(model.theta, near, int(ids[i])) + logs[i]
+            net += p
+            n, of = seen[near, int(names[i])], whole[near]
+            if of > 1:
+                p = math.log((max(n - 1.5, 0) + 0.5 * (len(kinds[near]) - (n == 1)) * math.exp(p)) / (of - 1))
+            total += p
+        want.append((r.doc_id, len(ids), total))
+        alone.append((r.doc_id, len(ids), net))
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    for frame, expected in ((pseudo.pseudo_likelihood(table), want), (pseudo.score(table, model), alone)):
+        assert isinstance(frame, DataFrame)
+        got = order([(r.doc_id, r.n_tokens, r.log_likelihood) for r in frame.collect()])
+        for a, b in zip(got, order(expected), strict=True):
+            assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=2e-3, abs_tol=2e-2)
     got = pseudo.pseudo_likelihood(odd).collect()
-    assert len(got) == odd.count() and all(r.log_likelihood <= 0 and (r.n_tokens > 0 or r.log_likelihood == 0) for r in got)
+    assert len(got) == odd.count() and all(r.log_likelihood <= 0 and (r.n_tokens > 0 or (r.log_likelihood == 0 and r.mean_log_probability is None)) for r in got)
     assert pseudo.pseudo_likelihood(none).count() == 0
 
 
-def test_training_covers_every_token(spark):
-    for stride in (1, 2, 3, 16):
-        for n in range(1, 40):
-            assert {k for r in range(stride) for k in range(n)[pseudo.share(r, n, stride)]} == set(range(n))
-    for text in ("word", "two words", "one two three four five six seven eight"):  # short texts alone train a network too
-        theta, vocabulary = pseudo.train(spark.createDataFrame([(text,)] * 50, "text string"))
-        ids = vocabulary.ids(text.encode())
-        assert (pseudo.log_probability(theta, 256, ids) > pseudo.log_probability(pseudo.start(256), 256, ids) + 0.5).all()
-
-
-def test_each_word_has_its_own_probability(spark, docs):
-    theta, vocabulary = pseudo.train(docs)
-    n = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
-    size = Counter()
-    for w, k in n.items():
-        size[vocabulary[w]] += k
-    log_p = lambda w: math.log(n.get(w, 1) / (size[vocabulary[w]] + 1)) if vocabulary[w] >= vocabulary.first else 0.0
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "qqunseen zzunseen the qqunseen"), (-2, None)], "doc_id long, text string"))
-    classes = {r.doc_id: r.log_likelihood for r in pseudo.score(more, theta, vocabulary).collect()}
-    texts = {r.doc_id: r.text for r in more.collect()}
-    for held in (0, 200, 20_000):  # all words that have no symbol of their own joined, some, none
-        rows = pseudo.score(more, theta, vocabulary, counts=pseudo.count_words(docs), held=held).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            words = (texts[r.doc_id] or "").encode().lower().split()
-            assert r.n_tokens == len(words) and math.isclose(r.log_likelihood - classes[r.doc_id], sum(map(log_p, words)), rel_tol=1e-9, abs_tol=1e-6)
-
-
-def test_garbled_words_score_below_words_of_their_class(spark, docs):
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    scores = []
+    for n in (1, 8, 64):
+        rows = pseudo.pseudo_likelihood(docs.repartition(n)).collect()
+        scores.append({r.doc_id: r.log_likelihood for r in rows})
+    for other in scores[1:]:
+        assert all(math.isclose(scores[0][k], other[k], rel_tol=1e-5, abs_tol=1e-4) for k in scores[0])
+
+
+def test_many_blocks_pages_and_buckets_agree_with_few(spark, docs, monkeypatch):
+    few = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(docs.repartition(3)).collect()}
+    monkeypatch.setattr(pseudo, "PAGE", 3000)
+    monkeypatch.setattr(pseudo, "BUCKET", 1000)
+    many = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(docs.repartition(3)).collect()}
+    assert all(math.isclose(few[k], many[k], rel_tol=1e-5, abs_tol=1e-4) for k in few)
+
+
+def test_model_beats_word_frequencies_on_texts_it_has_not_seen(spark, sf):
+    big = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").dropDuplicates(["text"])
+    model = pseudo.train(big.where("doc_id % 5 <> 0"))
+    rest = big.where("doc_id % 5 = 0")
+    untrained = pseudo.Model(model.vocabulary, network.start(model.vocabulary.frequency))
+    mean = lambda m: (lambda r: r[0] / r[1])(pseudo.score(rest, m).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first())
+    vocabulary, frequency = model.vocabulary, np.log(model.vocabulary.frequency / model.vocabulary.frequency.sum())
+    words = [w for r in rest.collect() for w in (r.text or "").encode().lower().split()]
+    ids, logs, _ = vocabulary.read(words)
+    unigram = (frequency[ids] + logs).mean()
+    assert abs(mean(untrained) - unigram) < 0.1 and mean(model) > unigram + 0.3
+
+
+def test_copies_and_real_words_score_above(spark, docs):
     n = Counter(w for r in docs.collect() for w in (r.text or "").lower().split())
-    real = n.most_common(400)[-1][0]
-    garbled = next(w for w in (f"zq{k}" for k in range(10_000)) if zlib.crc32(w.encode()) % 95 == zlib.crc32(real.encode()) % 95)
-    more = spark.createDataFrame([(-1, f"{real} of the {real}"), (-2, f"{garbled} of the {garbled}")], "doc_id long, text string")
-    got = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(docs.select("doc_id", "text").unionByName(more)).where("doc_id < 0").collect()}
-    assert got[-2] < got[-1] - 1
+    real, rare = n.most_common(400)[-1][0], [w for w, k in n.items() if k == 1][:40]
+    made = " ".join(rare)
+    more = spark.createDataFrame([(-1, f"{real} of the {real}"), (-2, "qzxkvj of the qzxkvj"), (-3, made), (-4, made), (-5, " ".join(reversed(rare)))], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_probability for r in pseudo.pseudo_likelihood(docs.select("doc_id", "text").unionByName(more)).where("doc_id < 0").collect()}
+    assert got[-2] < got[-1] - 1 and math.isclose(got[-3], got[-4], rel_tol=1e-6) and got[-3] > got[-5] + 5
 
 
-def test_network_gradient():
-    theta, symbols = pseudo.start(8).astype(np.float64), 8
+def test_network_gradient_and_windows():
     rng = np.random.default_rng(5)
-    ids = rng.integers(1, 8, 40).astype(np.int32)
-    near = pseudo.windows(ids)
-    loss = lambda p: -pseudo.log_probability(p, symbols, ids).mean()
+    theta = network.start(rng.uniform(1, 9, network.SYMBOLS)).astype(np.float64)
+    target = rng.integers(0, 300, 60).astype(np.uint16)
+    near = rng.integers(0, 300, (4, 60)).astype(np.uint16)
+    loss = lambda p: -network.log_probability(p, near, target).mean()
+    assert all(math.isclose(network.log_probability(theta, near, target)[i], plain_log_p(theta, near[:, i], int(target[i])), rel_tol=1e-9) for i in range(60))
     moved, memory = theta.copy(), np.zeros_like(theta)
-    pseudo.step(moved, memory, symbols, near, ids, 0.0)
-    for k in rng.choice(len(theta), 25, replace=False):
+    with np.errstate(all="ignore"):
+        network.step(moved, memory, near, target, 0.0)
+    used = np.flatnonzero(memory > 1e-10)
+    for k in rng.choice(used, 40, replace=False):
         d = np.zeros_like(theta)
         d[k] = 1e-5
-        assert math.isclose(((loss(theta + d) - loss(theta - d)) / 2e-5) ** 2, memory[k], rel_tol=1e-3, abs_tol=1e-9)
+        assert math.isclose(((loss(theta + d) - loss(theta - d)) / 2e-5) ** 2, memory[k], rel_tol=1e-2, abs_tol=1e-9)
+    got = network.windows(np.array([5, 6, 7, 8], np.uint16), np.array([3, 0, 1]), 9)
+    assert got.T.tolist() == [[9, 9, 6, 7], [9, 5, 7, 9], [5, 6, 9, 9], [9, 9, 9, 9]]
 
 
 @pytest.mark.parametrize("name", ["near_duplicates", "keep_one"])

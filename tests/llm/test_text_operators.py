@@ -36,6 +36,22 @@ def test_memoised_ids_and_counts_equal_the_library():
         assert count(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_ids_equal_the_library_on_random_strings():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    encode = tokens.byte_ids(RANKS)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = st.sampled_from([" ", "  ", "\n", "\t", "'s", "'LL", "<|endoftext|>", "\x00", "\x1c", "é", "ſ", "日", "٣", "🙂", "\u200d", "\u0301", "\xa0", "word", "Word", "12", "!?"])
+
+    @settings(max_examples=1500, deadline=None, database=None)
+    @given(st.one_of(st.text(max_size=60), st.lists(parts, max_size=20).map("".join)))
+    def same(text):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+    same()
+
+
 def check_pieces(rows, source, limit=2048):
     texts = [r.text or "" for r in source]
     want = Counter()
