@@ -43,7 +43,7 @@ from loomlark.llm.shared import bounded_batches, discard, text_or_empty, written
 from loomlark.llm.spelling import LETTERS, SHAPES, Spelling, counts as spelled_counts
 
 OWN = network.SYMBOLS - SHAPES - 1
-PAGE, TOKENS, BUCKET = 1 << 21, 1 << 20, 1 << 23
+PAGE, TOKENS, BUCKET = 1 << 20, 1 << 20, 1 << 21
 DISCOUNT = 0.5
 _SYMBOL_BITS, _NAME_BITS, _UNIT = 12, 16, 128
 
@@ -62,7 +62,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 held.update(t.as_buffer().to_pybytes().lower().split())
-            if len(held) > 300_000:
+            if len(held) > 500_000:
                 yield out()
         if held:
             yield out()
@@ -70,6 +70,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, as sorted and small numbers then compress well, compressed."""
+    raw = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(blob: pa.Buffer, *kinds: type, n: int | None = None) -> list[np.ndarray]:
+    """What ``_pack`` took: arrays of these types and of one length, after ``n`` leading bytes that are returned first, if given."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd")
+    raw, head = (raw[n:], [np.frombuffer(raw[:n], np.uint8)]) if n is not None else (raw, [])
+    many, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, head
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, many * size, at).reshape(size, many).T).view(kind).ravel())
+        at += many * size
+    return out
+
+
 class Vocabulary:
     """Symbols in order of frequency: the edge of a text, the own words, the shapes."""
 
@@ -137,8 +155,8 @@ def vocabulary_of(words: DataFrame) -> Vocabulary:
 
 
 def pages(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
-    """keys, tokens, lengths (int32), words (float64: each text's sum of log p(word | symbol)), and of each token ids (symbols), names and
-    costs (-log p(word | symbol) in 128ths), all uint16: a page a row."""
+    """keys, tokens, lengths (int32), words (float64: each text's sum of log p(word | symbol)), and packed, of each token, ids (symbols), names
+    and costs (-log p(word | symbol) in 128ths), all uint16: a page a row."""
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,7 @@ def pages(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
         def out():
             keys = pa.concat_arrays([h[0] for h in held])
             blobs = [np.concatenate([h[k] for h in held]) for k in range(1, 6)]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(blobs[2])]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["keys", "tokens", "lengths", "words", "ids", "names", "costs"])
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([len(blobs[2])]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs[:2]), *(pa.array([_pack(x)], pa.binary()) for x in blobs[2:])], ["keys", "tokens", "lengths", "words", "ids", "names", "costs"])
 
         for batch in batches:
             texts = [t.as_buffer().to_pybytes().lower().split() for t in batch.column(1)]
@@ -168,7 +186,7 @@ def pages(docs: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
 
 
 def _arrays(lengths: pa.Scalar, *tokens: pa.Scalar) -> tuple[np.ndarray, ...]:
-    return np.frombuffer(lengths.as_buffer(), np.int32), *(np.frombuffer(x.as_buffer(), np.uint16) for x in tokens)
+    return np.frombuffer(lengths.as_buffer(), np.int32), *(_unpack(x.as_buffer(), np.uint16)[0] for x in tokens)
 
 
 def blocks(rows: DataFrame, tokens: int) -> DataFrame:
@@ -182,10 +200,10 @@ def blocks(rows: DataFrame, tokens: int) -> DataFrame:
 
         sent: set[bytes] = set()  # a text with many copies leaves a task once or so
         for batch in batches:
-            for lengths, ids in zip(batch.column(0), batch.column(1)):
+            for scalars in zip(batch.column(0), batch.column(1)):
                 own = {}
-                ends = 2 * np.cumsum(np.frombuffer(lengths.as_buffer(), np.int32), dtype=np.int64)
-                raw = ids.as_buffer().to_pybytes()
+                lengths, ids = _arrays(*scalars)
+                ends, raw = 2 * np.cumsum(lengths, dtype=np.int64), ids.tobytes()
                 for a, b in zip(chain((0,), ends[:-1].tolist()), ends.tolist()):
                     if a < b:
                         own.setdefault(xxh3_128_digest(raw[a:b]), raw[a:b])
@@ -198,7 +216,7 @@ def blocks(rows: DataFrame, tokens: int) -> DataFrame:
 
         def out():
             lengths = np.array([len(x) // 2 for x in held], np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lengths.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["shard", "lengths", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([lengths.tobytes()], pa.binary()), pa.array([_pack(np.frombuffer(b"".join(held), np.uint16))], pa.binary())], ["shard", "lengths", "ids"])
 
         for batch in batches:
             for s, x in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -258,8 +276,13 @@ def fit(rows: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float =
     return theta
 
 
+def _window_bits(bits: int) -> int:
+    """How many bits name a window within one of ``2 ** bits`` buckets: the fewer, the more buckets."""
+    return min(32, 64 - _NAME_BITS - bits)
+
+
 def window_keys(ids: np.ndarray, names: np.ndarray, lengths: np.ndarray, edge: int, bits: int) -> np.ndarray:
-    """One number for each token: a digest of its neighbours, of which the first ``bits`` name the bucket and 32 more the window within it,
+    """One number for each token: a digest of its neighbours, of which the first ``bits`` name the bucket and the others the window within it,
     then the token's name."""
     near = network.windows(ids, lengths, edge).astype(np.uint64)
     key = near[0]
@@ -268,38 +291,26 @@ def window_keys(ids: np.ndarray, names: np.ndarray, lengths: np.ndarray, edge: i
     for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
         key = key * np.uint64(odd)
         key ^= key >> np.uint64(32)
-    return key >> np.uint64(32 - bits) << np.uint64(_NAME_BITS) | names
-
-
-def _planes(*arrays: np.ndarray) -> bytes:
-    """Byte by byte: sorted and small numbers then compress well."""
-    return b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-
-
-def _unplanes(raw: bytes, n: int, *kinds: type) -> Iterator[np.ndarray]:
-    at = 0
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        yield np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
-        at += n * size
+    return key >> np.uint64(64 - bits - _window_bits(bits)) << np.uint64(_NAME_BITS) | names
 
 
 def asked(rows: DataFrame, edge: int, bits: int) -> DataFrame:
-    """page, bucket, n, request: the distinct keys of each page's windows with how often they occur in it."""
-    shift = np.uint64(32 + _NAME_BITS)
+    """page, bucket, request: the distinct keys of each page's windows with how often they occur in it."""
+    shift = np.uint64(_window_bits(bits) + _NAME_BITS)
+    inside = np.uint64((1 << _window_bits(bits)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, *scalars in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3))):
                 lengths, ids, names = _arrays(*scalars)
                 keys, n = np.unique(window_keys(ids, names, lengths, edge, bits), return_counts=True)
-                buckets, first = np.unique(keys >> shift, return_index=True)
-                ends = np.append(first[1:], len(keys))
-                window, name, n = (keys >> np.uint64(_NAME_BITS)).astype(np.uint32), keys.astype(np.uint16), n.astype(np.uint32)
-                blobs = [_planes(window[a:b], name[a:b], n[a:b]) for a, b in zip(first, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([page] * len(buckets), pa.int64()), pa.array(buckets.astype(np.int32)), pa.array(ends - first), pa.array(blobs, pa.binary())], ["page", "bucket", "n", "request"])
+                buckets = keys >> shift  # in order, as the keys are
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), buckets[1:] != buckets[:-1])))
+                window, name, n = (keys >> np.uint64(_NAME_BITS) & inside).astype(np.uint32), keys.astype(np.uint16), n.astype(np.uint32)
+                blobs = [_pack(window[a:b], name[a:b], n[a:b]) for a, b in zip(first, np.append(first[1:], len(keys)))]
+                yield pa.RecordBatch.from_arrays([pa.array([page] * len(first), pa.int64()), pa.array(buckets[first].astype(np.int32)), pa.array(blobs, pa.binary())], ["page", "bucket", "request"])
 
-    return rows.select("page", "lengths", "ids", "names").mapInArrow(run, "page long, bucket int, n long, request binary")
+    return rows.select("page", "lengths", "ids", "names").mapInArrow(run, "page long, bucket int, request binary")
 
 
 def answered(requests: DataFrame) -> DataFrame:
@@ -324,7 +335,7 @@ def answered(requests: DataFrame) -> DataFrame:
             if again.any():
                 at = at[again]
                 pages.append(page)
-                answers.append(np.packbits(again).tobytes() + _planes(*(x.astype(np.uint32) for x in (n[at], whole[run[at]], kinds[run[at]]))))
+                answers.append(_pack(np.packbits(again), *(x.astype(np.uint32) for x in (n[at], whole[run[at]], kinds[run[at]]))))
         return pages, answers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,12 +346,12 @@ def answered(requests: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array([bucket] * len(pages), pa.int32()), pa.array(answers, pa.binary())], ["page", "bucket", "answer"])
 
         for batch in batches:
-            for page, b, n, request in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            for page, b, request in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2)):
                 if b != bucket and held:
                     yield out()
                     held = []
                 bucket = b
-                window, name, times = _unplanes(request.as_buffer(), n, np.uint32, np.uint16, np.uint32)
+                window, name, times = _unpack(request.as_buffer(), np.uint32, np.uint16, np.uint32)
                 held.append((page, window.astype(np.uint64) << np.uint64(_NAME_BITS) | name, times.astype(np.int64)))
         if held:
             yield out()
@@ -348,18 +359,18 @@ def answered(requests: DataFrame) -> DataFrame:
     return requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "page long, bucket int, answer binary")
 
 
-def with_memory(log_p: np.ndarray, keys: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
+def with_memory(log_p: np.ndarray, keys: np.ndarray, answers: list[tuple[int, pa.Buffer]], bits: int) -> np.ndarray:
     """Log-probabilities of words with what the corpus holds elsewhere, each token's own occurrence taken off."""
     own, inverse = np.unique(keys, return_inverse=True)
-    shift = np.uint64(32 + _NAME_BITS)
-    n, whole, kinds = (np.zeros(len(own)) for _ in range(3))
+    shift = np.uint64(_window_bits(bits) + _NAME_BITS)
+    n, whole, kinds = (np.zeros(len(own), np.uint32) for _ in range(3))
     for bucket, raw in answers:
         a, b = np.searchsorted(own, [np.uint64(bucket) << shift, np.uint64(bucket + 1) << shift])
-        mask = (b - a + 7) // 8
-        at = a + np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, mask), count=b - a))
-        n[at], whole[at], kinds[at] = _unplanes(raw[mask:], len(at), np.uint32, np.uint32, np.uint32)
+        mask, *found = _unpack(raw, np.uint32, np.uint32, np.uint32, n=(b - a + 7) // 8)
+        at = a + np.flatnonzero(np.unpackbits(mask, count=b - a))
+        n[at], whole[at], kinds[at] = found
     at = np.flatnonzero(whole[inverse] > 1)
-    n, whole, kinds = (x[inverse[at]] for x in (n, whole, kinds))
+    n, whole, kinds = (x[inverse[at]].astype(float) for x in (n, whole, kinds))
     log_p = log_p.copy()
     log_p[at] = np.log((np.maximum(n - 1 - DISCOUNT, 0) + DISCOUNT * (kinds - (n == 1)) * np.exp(log_p[at])) / (whole - 1))
     return log_p
@@ -381,11 +392,11 @@ def _scored(rows: DataFrame, model: Model, key: str, bits: int = 0) -> DataFrame
             for i in range(batch.num_rows):
                 lengths, ids = _arrays(batch.column(1)[i], batch.column(2)[i])
                 log_p = network.log_probability(theta, network.windows(ids, lengths, edge), ids)
-                answers = [(a["bucket"], a["answer"]) for a in batch.column(6)[i].as_py() or []] if remembered else []
+                answers = [(a["bucket"].as_py(), a["answer"].as_buffer()) for a in batch.column(6)[i].values or []] if remembered else []
                 if answers:
                     _, names, costs = _arrays(*(batch.column(k)[i] for k in (1, 4, 5)))
                     word = log_p - costs / _UNIT
-                    log_p += with_memory(word, window_keys(ids, names, lengths, edge, bits), answers) - word
+                    log_p += with_memory(word, window_keys(ids, names, lengths, edge, bits), answers, bits) - word
                 ends, sums = np.cumsum(lengths, dtype=np.int64), np.concatenate(([0.0], np.cumsum(log_p)))
                 total = sums[ends] - sums[ends - lengths] + np.frombuffer(batch.column(3)[i].as_buffer())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i].values, pa.array(lengths.astype(np.int64)), pa.array(np.minimum(np.where(lengths > 0, total, 0.0), 0.0))], [key, "n_tokens", "log_likelihood"])
@@ -401,9 +412,9 @@ def _learnt(docs: DataFrame, key: str, **how) -> tuple[Model, DataFrame, int]:
     words = written(count_words(docs), "words")
     vocabulary = vocabulary_of(words)
     discard(words)
-    rows = written(pages(docs, vocabulary, key).withColumn("page", F.monotonically_increasing_id()), "pages", "zstd")
+    rows = written(pages(docs, vocabulary, key).withColumn("page", F.monotonically_increasing_id()), "pages")
     tokens = rows.agg(F.sum("tokens")).first()[0] or 0
-    dealt = written(blocks(rows, tokens), "blocks", "zstd")
+    dealt = written(blocks(rows, tokens), "blocks")
     theta = fit(dealt, vocabulary, **how)
     discard(dealt)
     return Model(vocabulary, theta), rows, tokens

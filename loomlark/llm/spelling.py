@@ -11,29 +11,29 @@ from __future__ import annotations
 import numpy as np
 
 LETTERS, SHAPES, SMOOTH = 64, 512, 4.0
-_CODE = np.array([27 + b % 37 for b in range(256)], np.int64)
+_CODE = np.array([27 + b % 37 for b in range(256)], np.int32)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[10] = 0  # words are joined by line feeds, which no word holds: the end of a word
 _POSSIBLE = np.array([b not in b" \t\n\x0b\x0c\r" and not 65 <= b <= 90 for b in range(256)])
 _SIZE = np.bincount(_CODE[_POSSIBLE], minlength=LETTERS)
-_SHAPE = (np.arange(LETTERS)[:, None] * 41 + np.arange(LETTERS)) % SHAPES
+_SHAPE = (np.arange(LETTERS**2) // LETTERS * 41 + np.arange(LETTERS**2) % LETTERS) % SHAPES
 
 
-def letters(words: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For all letters of all words and their ends: the two letters before, the letter, and the bytes; and where words end."""
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all letters of all words and their ends: the triple of the two letters before and this one, as one number, and the bytes; and where
+    words end."""
     line = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
-    z = _CODE[line]
-    y = np.concatenate(([0], z[:-1]))
-    x = np.concatenate(([0, 0], z[:-2]))[: len(z)]
-    x[y == 0] = 0
-    return x, y, z, line, np.flatnonzero(z == 0)
+    code = _CODE[line]
+    triple = code.copy()
+    triple[1:] += code[:-1] << 6
+    triple[2:] += np.where(code[1:-1] == 0, 0, code[:-2] << 12)  # a word's first letter has none before it
+    return triple, line, np.flatnonzero(code == 0)
 
 
 def counts(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of words that occur ``n`` times: how often each triple of letters, and each shape, occurs."""
-    x, y, z, _, ends = letters(words)
-    times = np.repeat(n, np.diff(ends, prepend=-1))
-    return np.bincount((x * LETTERS + y) * LETTERS + z, times, LETTERS**3), np.bincount(_SHAPE[x[ends], y[ends]], n, SHAPES)
+    triple, _, ends = letters(words)
+    return np.bincount(triple, np.repeat(n, np.diff(ends, prepend=-1)), LETTERS**3), np.bincount(_SHAPE[triple[ends] >> 6], n, SHAPES)
 
 
 class Spelling:
@@ -55,18 +55,18 @@ class Spelling:
             visits += now
         self.ends = visits * p[:, :, 0]
         with np.errstate(divide="ignore"):
-            self.log_p, self.log_byte = np.log(p), -np.log(np.maximum(_SIZE, 1))[_CODE]
+            self.log_p, self.log_byte = np.log(p).ravel(), -np.log(np.maximum(_SIZE, 1))[_CODE]
         self.log_byte[10] = 0.0
-        mass = np.bincount(_SHAPE.ravel(), self.ends.ravel(), SHAPES)
+        mass = np.bincount(_SHAPE, self.ends.ravel(), SHAPES)
         if own:
             shape, log_p = self._read(own)
             mass -= np.bincount(shape, np.exp(log_p), SHAPES)
         self.log_mass = np.log(np.maximum(mass, 1e-300))
 
     def _read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        x, y, z, line, ends = letters(words)
-        log_p = np.add.reduceat(self.log_p[x, y, z] + self.log_byte[line], np.concatenate(([0], ends[:-1] + 1)))
-        return _SHAPE[x[ends], y[ends]], log_p
+        triple, line, ends = letters(words)
+        log_p = np.add.reduceat(self.log_p[triple] + self.log_byte[line], np.concatenate(([0], ends[:-1] + 1)))
+        return _SHAPE[triple[ends] >> 6], log_p
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Shapes and log p(word | shape)."""
