@@ -62,7 +62,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 held.update(t.as_buffer().to_pybytes().lower().split())
-            if len(held) > 500_000:
+            if len(held) > 150_000:
                 yield out()
         if held:
             yield out()
@@ -114,7 +114,7 @@ class Vocabulary:
 class Coder(dict):
     """A task's memo: word -> its place in what ``Vocabulary.read`` gave. It starts anew beyond ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
         self.held = (np.empty(0, np.uint16), np.empty(0), np.empty(0, np.uint16))
