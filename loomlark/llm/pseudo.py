@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice, repeat
+from itertools import chain, count, repeat
 from math import ceil
 from zlib import crc32
 
@@ -112,26 +112,29 @@ class Vocabulary:
 
 
 class Coder(dict):
-    """A task's memo: word -> its place in what ``Vocabulary.read`` gave. It starts anew beyond ``most`` words."""
+    """A task's memo of what ``Vocabulary.read`` gave: word -> the number of the token that brought it. It starts anew beyond ``most`` words."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
-        self.held = (np.empty(0, np.uint16), np.empty(0), np.empty(0, np.uint16))
+        self._begin()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    def _begin(self) -> None:
+        self.clear()
+        self.held = (np.empty(0, np.uint16), np.empty(0), np.empty(0, np.uint16))
+        self.place = np.empty(0, np.int32)  # token's number -> its word's place in ``held``
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         if len(self) > self.most:
-            self.clear()
-            self.held = tuple(x[:0] for x in self.held)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        new = list(islice(self, len(self.held[0]), None))
-        if new:
-            self.held = tuple(map(np.concatenate, zip(self.held, self.vocabulary.read(new))))
-        return tuple(x[at] for x in self.held)
+            self._begin()
+        base = len(self.place)
+        at = np.fromiter(map(self.setdefault, words, count(base)), np.int64, len(words))
+        first = np.flatnonzero(at == np.arange(base, base + len(words)))
+        self.place = np.concatenate((self.place, np.zeros(len(words), np.int32)))
+        if len(first):
+            self.place[base + first] = len(self.held[0]) + np.arange(len(first))
+            self.held = tuple(map(np.concatenate, zip(self.held, self.vocabulary.read([words[k] for k in first.tolist()]))))
+        return tuple(x[self.place[at]] for x in self.held)
 
 
 def vocabulary_of(words: DataFrame) -> Vocabulary:
