@@ -133,8 +133,8 @@ def shell_reads(command: Column) -> Column:
 
 
 def percent_decoded(c: Column) -> Column:
-    """Percent escapes decoded, plus signs kept; a text with an invalid escape is returned as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """Percent escapes decoded, plus signs and invalid escapes kept as they are."""
+    return F.try_url_decode(F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def slug_to_path(slug: Column) -> Column:

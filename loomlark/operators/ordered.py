@@ -35,18 +35,10 @@ def changed(keys: list[str], order: list, value: Column) -> Column:
     return value.isNotNull() & ~value.eqNullSafe(latest_before(keys, order, value))
 
 
-def pair_calls(calls: DataFrame, results: DataFrame, session: str, call: str, order: str, keep: str = "drop") -> DataFrame:
-    """Each result with the latest earlier call of the same id; a call serves one result only.
-
-    Of the calls and results with one (session, call id), in order, a result takes the row just before
-    it if that is a call: an earlier call was superseded, and after a result none is open. So one window replaces the join and its
-    self-product. ``keep``: ``drop`` results without call, or ``keep`` them with null call columns."""
-    c = calls.select(session, call, F.col(order).alias("_at"), F.lit(True).alias("_is_call"), F.struct(*calls.columns).alias("_call"))
-    r = results.select(session, call, F.col(order).alias("_at"), F.lit(False).alias("_is_call"), F.struct(*results.columns).alias("result"))
-    rows = c.unionByName(r, allowMissingColumns=True)
-    w = over([session, call], ["_at", F.desc("_is_call")])
-    rows = rows.withColumn("call", F.lag("_call").over(w)).where(~F.col("_is_call"))
-    return rows.select(session, call, "call", "result") if keep == "keep" else rows.where(F.col("call").isNotNull()).select(session, call, "call", "result")
+def open_call(keys: list[str], order: list, is_call: Column, call: Column) -> Column:
+    """For each result among calls and results with the same keys: the call that it answers, else null. A result takes the row just before it if that is a
+    call: an earlier call was superseded, and after a result none is open. So one window replaces the join and its self-product."""
+    return F.lag(F.when(is_call, call)).over(over(keys, order))
 
 
 def islands(keys: list[str], order: list, is_break: Column) -> Column:

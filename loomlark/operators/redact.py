@@ -24,34 +24,66 @@ STEPS: tuple[tuple[str, str, str], ...] = (
     ("api_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[REDACTED AWS ACCESS KEY]"),
     ("api_key", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED SLACK TOKEN]"),
 )
-#: Literals of which any match of any step needs one, in lower case (fixed values).
-NEEDS = ("private key-----", "_key", "_token", "database_url", "bearer", "sk-ant-", "sk-proj-", "sk-live-", "sk-test-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "aiza", "akia", "asia", "xox")
+#: For each step, literals of which any of its matches holds one, in lower case (fixed values).
+NEEDS: tuple[tuple[str, ...], ...] = (
+    ("private key-----",),
+    ("_key", "_token", "database_url"),
+    ("bearer",),
+    ("sk-ant-",),
+    ("sk-proj-",),
+    ("sk-live-", "sk-test-"),
+    ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    ("github_pat_",),
+    ("aiza",),
+    ("akia", "asia"),
+    ("xox",),
+)
 KINDS = ("private_key", "env_assignment", "bearer_token", "api_key")
 
 
+def _java(pattern: str) -> str:
+    """Word boundaries, white space and case as Unicode has them, whatever the version of the JDK."""
+    return "(?U)" + pattern
+
+
+def _gate(low: Column, k: int) -> Column:
+    """Whether a text in lower case holds a literal that step ``k`` needs. What earlier steps put in place of their matches holds none, so that the
+    original text decides."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in NEEDS[k]])
+
+
 def suspect(text: Column) -> Column:
     """Whether a text holds any of the literals; one that holds none matches no pattern."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in NEEDS])
+    return reduce(lambda a, b: a | b, [_gate(F.lower(text), k) for k in range(len(STEPS))])
+
+
+def _steps() -> Column:
+    """The steps as a constant array. A plan that redacts many columns stays small, as each holds one loop and not eleven patterns."""
+    return F.array(*[F.struct(F.array(*map(F.lit, needs)).alias("needs"), F.lit(_java(pattern)).alias("pattern"), F.lit(replacement).alias("replacement")) for (_, pattern, replacement), needs in zip(STEPS, NEEDS)])
 
 
 def redacted(text: Column) -> Column:
-    """All steps in order. A text that is not suspect passes unchanged and meets no pattern."""
-    return F.when(suspect(text), reduce(lambda t, s: F.regexp_replace(t, s[1], s[2]), STEPS, text)).otherwise(text)
+    """All steps in order, of which a text meets those whose literals it holds; any other text passes unchanged."""
+    low = F.lower(text)
+    held = F.filter(_steps(), lambda s: F.exists(s["needs"], lambda n: F.contains(low, n)))
+    chain = F.aggregate(held, text, lambda t, s: F.regexp_replace(t, s["pattern"], s["replacement"]))
+    return F.when(suspect(text), chain).otherwise(text)
 
 
 def with_audit(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``redacted`` and one count per kind. Each stage counts in the output of the stages before it,
-    as a later pattern must not see what an earlier one replaced. A text that is not suspect enters the chain as null."""
-    rows = rows.withColumn("_t0", F.when(suspect(F.col(text)), F.col(text)))
+    """``rows`` with ``redacted`` and one count per kind. Each stage counts in the output of the stages before it, as a later pattern must not see
+    what an earlier one replaced. A stage whose literals a text lacks is skipped, and what a stage has not found it doesn't replace."""
+    low = F.lower(F.col(text))
+    rows = rows.withColumns({f"_g{k}": F.coalesce(_gate(low, k), F.lit(False)) for k in range(len(STEPS))}).withColumn("_t0", F.col(text))
     counts: dict[str, list[Column]] = {k: [] for k in KINDS}
     for k, (kind, pattern, replacement) in enumerate(STEPS):
-        rows = rows.withColumn(f"_n{k}", F.coalesce(F.regexp_count(F.col(f"_t{k}"), F.lit(pattern)), F.lit(0))).withColumn(f"_t{k + 1}", F.regexp_replace(F.col(f"_t{k}"), pattern, replacement))
+        found = F.when(F.col(f"_g{k}"), F.regexp_count(F.col(f"_t{k}"), F.lit(_java(pattern)))).otherwise(0)
+        rows = rows.withColumn(f"_n{k}", found).withColumn(f"_t{k + 1}", F.when(F.col(f"_n{k}") > 0, F.regexp_replace(F.col(f"_t{k}"), _java(pattern), replacement)).otherwise(F.col(f"_t{k}")))
         counts[kind].append(F.col(f"_n{k}"))
-    out = rows.withColumn("redacted", F.coalesce(F.col(f"_t{len(STEPS)}"), F.col(text)))
+    out = rows.withColumn("redacted", F.col(f"_t{len(STEPS)}"))
     for kind, parts in counts.items():
         out = out.withColumn(f"n_{kind}", reduce(lambda a, b: a + b, parts).cast("long"))
-    return out.drop(*[f"_t{k}" for k in range(len(STEPS) + 1)], *[f"_n{k}" for k in range(len(STEPS))])
+    return out.drop(*[f"_t{k}" for k in range(len(STEPS) + 1)], *[f"_{x}{k}" for k in range(len(STEPS)) for x in "gn"])
 
 
 def audit(rows: DataFrame, *by: str) -> DataFrame:
@@ -61,35 +93,81 @@ def audit(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS], kinds.alias("kinds"))
 
 
-def redact_json(text: Column) -> Column:
-    """Strings at any depth of a JSON text redacted; keys are left alone. A text that is no JSON becomes null."""
+def redact_json(text: Column, strict: bool = True) -> Column:
+    """Strings at any depth of a JSON text redacted; keys are left alone. A text that is no JSON becomes null, or, unless ``strict``, a
+    redacted JSON string."""
     ship(SparkSession.active())
-    return _json_udf()(text)
+    return _json_udf(strict)(F.array(text))[0]
 
 
-def _json_udf():
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        import json
-        import re
+def redact_json_array(texts: Column) -> Column:
+    """``redact_json`` of each text of an array, not strictly."""
+    ship(SparkSession.active())
+    return _json_udf(False)(texts)
+
 
-        steps = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", r)) for _, p, r in STEPS]
+def json_counts(text: Column) -> Column:
+    """struct of n_<kind>: what ``redact_json`` (not strict) replaces in a text."""
+    ship(SparkSession.active())
 
-        def walk(x):
-            if isinstance(x, str):
-                for pattern, replacement in steps:
-                    x = pattern.sub(replacement, x)
-                return x
-            if isinstance(x, list):
-                return [walk(v) for v in x]
-            return {k: walk(v) for k, v in x.items()} if isinstance(x, dict) else x
+    @F.pandas_udf(", ".join(f"n_{k} long" for k in KINDS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        walk, _ = _walker()
+        rows = []
+        for t in texts:
+            found = dict.fromkeys(KINDS, 0)
+            if t is not None:
+                walk(_parsed(t), found)
+            rows.append([found[k] for k in KINDS])
+        return pd.DataFrame(rows, columns=[f"n_{k}" for k in KINDS])
+
+    return run(text)
+
+
+def _parsed(text: str, strict: bool = False):
+    import json
+
+    try:
+        return json.loads(text)
+    except ValueError:
+        if strict:
+            raise
+        return text
+
+
+def _walker():
+    """A function that redacts all strings of a JSON value and counts by kind."""
+    import json
+    import re
+
+    steps = [(kind, re.compile(p), re.sub(r"\$(\d)", r"\\\1", r)) for kind, p, r in STEPS]
+
+    def walk(x, counts):
+        if isinstance(x, str):
+            low = x.lower()
+            for (kind, pattern, replacement), needs in zip(steps, NEEDS):
+                if any(n in low for n in needs):
+                    x, n = pattern.subn(replacement, x)
+                    counts[kind] += n
+            return x
+        if isinstance(x, list):
+            return [walk(v, counts) for v in x]
+        return {k: walk(v, counts) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return walk, lambda x: json.dumps(x, ensure_ascii=False)
+
+
+def _json_udf(strict: bool):
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        walk, shown = _walker()
 
         def one(t):
             try:
-                return None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False)
+                return None if t is None else shown(walk(_parsed(t, strict), dict.fromkeys(KINDS, 0)))
             except ValueError:
                 return None
 
-        return texts.map(one)
+        return texts.map(lambda ts: None if ts is None else [one(t) for t in ts])
 
     return run

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomlark.functions.digests import event_id
 from loomlark.functions.text import truncate_bytes
 from loomlark.operators.kinds import session_kind
+from loomlark.operators.ordered import changed, open_call
 
 ITEMS = (
     "path string, pos int, k int, ts timestamp, kind string, role string, text string, name string, call_id string, input string, failed boolean, "
@@ -128,9 +129,7 @@ def input_summary(name: Column, json: Column, style: str = "claude") -> Column:
 
 def paired(rows: DataFrame, rules: Rules) -> DataFrame:
     """Items whose results carry the name and input of the latest earlier call with the same id, which serves once."""
-    tool = F.col("kind").isin("tool_use", "call")
-    w = Window.partitionBy("path", "call_id").orderBy("pos", "k")
-    call = F.lag(F.when(tool, F.struct("name", "input"))).over(w)
+    call = open_call(["path", "call_id"], ["pos", "k"], F.col("kind").isin("tool_use", "call"), F.struct("name", "input"))
     result = F.col("kind") == "tool_result"
     rows = rows.withColumn("_call", F.when(result & F.col("call_id").isNotNull(), call))
     if rules.unmatched == "drop":
@@ -141,10 +140,8 @@ def paired(rows: DataFrame, rules: Rules) -> DataFrame:
 
 def models_changed(rows: DataFrame) -> DataFrame:
     """Items without model records that repeat the model before them."""
-    w = Window.partitionBy("path").orderBy("pos", "k")
     model = F.col("kind") == "model_change"
-    before = F.last(F.when(model, F.col("model")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", before).where(~model | ~F.col("model").eqNullSafe(F.col("_before"))).drop("_before")
+    return rows.withColumn("_new", changed(["path"], ["pos", "k"], F.when(model, F.col("model")))).where(~model | F.col("_new")).drop("_new")
 
 
 BLOCK = "struct<type:string,text:string,id:string,name:string,input:string,success:boolean,summary:string,model:string>"
@@ -168,7 +165,7 @@ def training_events(rows: DataFrame) -> DataFrame:
     """path, sequence, event_id and the fields of events, for items with an event kind; ``skip`` counts without an event."""
     seq = F.row_number().over(Window.partitionBy("path").orderBy("pos", "k"))
     out = rows.where(F.col("event_kind").isNotNull()).withColumn("sequence", seq).where(F.col("event_kind") != "skip")
-    return out.select("path", "sequence", event_id(F.col("sequence")).alias("event_id"), "ts", F.col("role").alias("role"), "event_kind", "model", F.col("text").alias("raw_text"), F.col("name").alias("tool_name"), F.col("call_id").alias("tool_call_id"), F.col("input").alias("tool_input_raw"), "usage", F.array(F.concat(F.lit("jsonl:"), F.col("pos").cast("string"))).alias("source_record_refs"))
+    return out.select("path", "sequence", event_id(F.col("sequence")).alias("event_id"), "ts", F.col("role").alias("role"), "event_kind", "model", F.when(F.col("event_kind") != "tool_result", F.col("text")).alias("raw_text"), F.col("name").alias("tool_name"), F.col("call_id").alias("tool_call_id"), F.col("input").alias("tool_input_raw"), F.when(F.col("event_kind") == "tool_result", F.col("text")).alias("tool_output_raw"), "usage", F.array(F.concat(F.lit("jsonl:"), F.col("pos").cast("string"))).alias("source_record_refs"))
 
 
 def statistics(rows: DataFrame, rules: Rules) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlark.functions.text import percent_decoded
 from loomlark.operators.index import changed, stale, upserted
 from loomlark.operators.metrics import buckets
 
@@ -15,7 +16,7 @@ from loomlark.operators.metrics import buckets
 def new_texts(spark: SparkSession, root: str, glob: str = "*", files_per_batch: int = 10_000) -> DataFrame:
     """A stream of path, modified, text of new files under ``root``."""
     files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", str(files_per_batch)).load(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+    return files.select(percent_decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
 
 
 def ingest(stream: DataFrame, normalise: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
