@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlark.functions.text import lines, scrub_paths, speaker_of_line, truncate_line
+from loomlark.functions.text import TOOL_SUFFIXES, lines, scrub_paths, speaker_of_line, truncate_line
 from loomlark.functions.timeutil import within
 from loomlark.operators.ordered import filled
 
@@ -58,18 +58,18 @@ class Options:
     semantic: bool = False
 
     def check(self) -> None:
-        """Combinations that contradict each other."""
+        """Combinations that contradict each other, and unknown tools."""
         rules = (
-            (self.semantic and self.regex, "semantic search takes no pattern"),
-            (self.semantic and self.case_sensitive, "semantic search folds no case"),
-            (self.semantic and self.context > 0, "semantic search gives no context"),
-            (self.semantic and (self.count or self.files_with_matches), "semantic search gives neither counts nor file lists"),
-            (self.semantic and self.oldest_first, "semantic results are ordered by score"),
-            (self.semantic and self.speaker is not None, "semantic search knows no speakers"),
             (self.count and self.files_with_matches, "counts and file lists exclude each other"),
-            (self.context > 0 and (self.count or self.files_with_matches), "context needs line output"),
-            (self.summaries_only and (self.speaker or self.tool or self.project) is not None, "summaries have no speaker, tool or project"),
-            (self.summaries_only and self.include_training, "summaries exclude training files"),
+            (self.semantic and self.regex, "semantic search takes no pattern"),
+            (self.tool is not None and self.tool.lower() not in TOOL_SUFFIXES, f"unknown tool: {self.tool}"),
+            (self.tool is not None and self.summaries_only, "summaries cover all tools"),
+            (self.project is not None and self.summaries_only, "summaries cover all projects"),
+            (self.project is not None and self.include_training, "training files name no project"),
+            (self.project is not None and self.semantic, "indexed chunks carry no project"),
+            (self.speaker is not None and self.summaries_only, "summaries have no speakers"),
+            (self.speaker is not None and self.include_training, "training files have no speakers"),
+            (self.speaker is not None and self.semantic, "indexed chunks carry no speaker"),
         )
         for broken, why in rules:
             if broken:
@@ -87,7 +87,7 @@ def in_scope(o: Options) -> Column:
     if o.summaries_only:
         ok = artifact.isin("monthly", "daily")
     elif o.tool is not None or o.project is not None or o.speaker is not None:
-        ok = artifact.isin(*(["session", "training"] if o.include_training and o.speaker is None else ["session"]))
+        ok = artifact.isin(*(["session", "training"] if o.include_training else ["session"]))
     else:
         ok = artifact.isin("monthly", "daily", "session", *(["training"] if o.include_training else []))
     ok = ok & within(F.col("month"), F.col("day"), o.start, o.end)
@@ -107,19 +107,22 @@ def context_lines(rows: DataFrame, key: str, hit: str, n: int) -> DataFrame:
 
 
 def search(rows: DataFrame, query: str, o: Options = Options()) -> DataFrame:
-    """``rows``: path, artifact, month, day, tool, project, pos, line. Line output has one row per hit with ``context``; ``count``
-    gives hits per path; ``files_with_matches`` gives paths. The limit is exact, and 0 gives nothing."""
-    o.check()
+    """``rows``: path, artifact, month, day, tool, project, pos, line. Line output has one row per hit with ``context``; its limit is checked
+    after each file, so that the hits of the file that reaches it are all there. ``count`` gives hits per path and
+    ``files_with_matches`` paths, at most ``limit`` files. A limit of 0 gives nothing, whatever the other options."""
+    if o.limit != 0:
+        o.check()
     scoped = rows.where(in_scope(o))
     hit = matches(F.col("line"), query, o.regex, o.case_sensitive)
     if o.speaker is not None:
         scoped = with_speaker(scoped, "path")
         hit = hit & (F.col("speaker") == o.speaker.lower())
     rank = F.array_position(F.array(*map(F.lit, ARTIFACTS)), F.col("artifact"))
-    newest = F.col("path").asc() if o.oldest_first else F.col("path").desc()
+    order = [F.col("rank"), F.col("path").asc() if o.oldest_first else F.col("path").desc()]
     if o.count or o.files_with_matches:
-        out = scoped.where(hit).groupBy("path", "artifact").agg(F.count("*").alias("hits")).orderBy(rank, newest)
+        out = scoped.where(hit).groupBy("path", rank.alias("rank")).agg(F.count("*").alias("hits")).orderBy(*order)
         out = out.select("path", "hits") if o.count else out.select("path")
+        out = out if o.limit is None else out.limit(o.limit)
     else:
         shown = F.col("line") if o.include_paths else scrub_paths(F.col("line"))
         if o.context > 0:
@@ -128,14 +131,18 @@ def search(rows: DataFrame, query: str, o: Options = Options()) -> DataFrame:
             hits = scoped.where("_hit").join(around, (F.col("path") == F.col("_p")) & (F.col("pos") == F.col("owner")), "left")
         else:
             hits = scoped.where(hit).withColumn("context", F.lit(None).cast("array<struct<pos:int,line:string>>"))
-        out = hits.withColumn("_rank", rank).orderBy("_rank", newest, "pos").select("path", "artifact", "pos", truncate_line(shown, 280).alias("line"), "context")
-    out = out if o.limit is None else out.limit(o.limit)
+        hits = hits.withColumn("rank", rank)
+        if o.limit is not None:
+            hits = file_limited(hits, o.limit, o.oldest_first)
+        out = hits.orderBy(*order, "pos").select("path", "artifact", "pos", truncate_line(shown, 280).alias("line"), "context")
     return out.select(F.to_json(F.struct("*")).alias("json")) if o.json else out
 
 
-def file_limited(hits: DataFrame, limit: int) -> DataFrame:
-    """The looser limit that is checked after each file: whole files until ``limit`` hits are passed. ``hits``: rank, path, pos."""
-    per = hits.groupBy("rank", "path").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("rank", F.desc("path")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def file_limited(hits: DataFrame, limit: int, oldest_first: bool = False) -> DataFrame:
+    """The limit that is checked after each file: whole files until ``limit`` hits are reached. ``hits``: rank, path, pos.
+    At most ``limit`` files can be needed, as each has a hit, so the running sum is over that many rows."""
+    order = [F.col("rank"), F.col("path").asc() if oldest_first else F.col("path").desc()]
+    per = hits.groupBy("rank", "path").agg(F.count("*").alias("_n")).orderBy(*order).limit(limit)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = per.withColumn("_before", before).where(F.col("_before") < limit).select("rank", "path")
     return hits.join(kept, ["rank", "path"], "left_semi")
