@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomlark.plans import ingest, lines, relations, sessions
+from loomlark.plans import dialects, ingest, lines, relations, sessions
 
-_PARTS = (sessions.R, lines.R, relations.R, ingest.R)
+_PARTS = (sessions.R, lines.R, relations.R, ingest.R, dialects.R)
 QUERIES = {k: f for r in _PARTS for k, f in r.queries.items()}
 ORACLE = {k: s for r in _PARTS for k, s in r.oracle.items()}

@@ -80,22 +80,51 @@ def search_context(spark, sf_dir):
     return search.context_lines(rows, "doc_id", "hit", 1).select("doc_id", "pos", "owner", "line")
 
 
-@R.add(f"WITH {_LINES} SELECT doc_id, count(*) AS hits FROM lines WHERE contains(lower(line), 'inth') GROUP BY doc_id")
+def _archive(spark, sf_dir):
+    """Lines as those of artifacts: months and tools by id, every seventh document a daily report, every eleventh a training file."""
+    i = F.col("doc_id")
+    artifact = F.when(i % 7 == 0, "daily").when(i % 11 == 0, "training").otherwise("session")
+    tool = F.element_at(F.array(*map(F.lit, ("claude", "codex", "pi"))), (i % 3 + 1).cast("int"))
+    month = F.format_string("2024-%02d", i % 12 + 1)
+    path = F.concat(month, F.lit("/"), F.lpad(i.cast("string"), 8, "0"))
+    return _lines(spark, sf_dir).select(path.alias("path"), artifact.alias("artifact"), month.alias("month"), F.concat(month, F.lit("-15")).alias("day"), F.when(artifact != "daily", tool).alias("tool"), F.when(artifact == "session", F.concat(F.lit("/work/"), "source")).alias("project"), "pos", "line")
+
+
+_ARCHIVE = _LINES + """,
+arch AS (SELECT printf('2024-%02d', doc_id % 12 + 1) || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, CASE WHEN doc_id % 7 = 0 THEN 'daily' WHEN doc_id % 11 = 0 THEN 'training' ELSE 'session' END AS artifact, printf('2024-%02d', doc_id % 12 + 1) AS month,
+  ['claude', 'codex', 'pi'][(doc_id % 3 + 1)::INT] AS tool, source, pos, line, contains(lower(line), 'inth') AS hit FROM lines)"""
+
+
+@R.add(f"WITH {_ARCHIVE} SELECT path, count(*) AS hits FROM arch WHERE hit AND artifact <> 'training' GROUP BY path")
 def search_count(spark, sf_dir):
-    return _lines(spark, sf_dir).where(search.matches(F.col("line"), "inth")).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return search.search(_archive(spark, sf_dir), "inth", search.Options(count=True, limit=None))
 
 
-@R.add(f"WITH {_LINES} SELECT DISTINCT doc_id, source FROM lines WHERE contains(lower(line), 'inth')")
+@R.add(f"WITH {_ARCHIVE} SELECT DISTINCT path FROM arch WHERE hit")
 def search_files(spark, sf_dir):
-    return _lines(spark, sf_dir).where(search.matches(F.col("line"), "inth")).select("doc_id", "source").distinct()
+    return search.search(_archive(spark, sf_dir), "inth", search.Options(files_with_matches=True, include_training=True, limit=None))
+
+
+@R.add(f"WITH {_ARCHIVE} SELECT path, pos FROM arch WHERE hit AND artifact = 'session' AND tool = 'codex' AND month BETWEEN '2024-02' AND '2024-09' AND contains(source, '1')")
+def search_scope(spark, sf_dir):
+    """Tool, project and dates: they leave sessions alone."""
+    return search.search(_archive(spark, sf_dir), "INTH", search.Options(tool="Codex", project="1", start="2024-02", end="2024-09-30", limit=None)).select("path", "pos")
+
+
+@R.add(f"WITH {_ARCHIVE} SELECT path, artifact, pos FROM arch WHERE hit AND artifact = 'daily'")
+def search_summaries(spark, sf_dir):
+    return search.search(_archive(spark, sf_dir), "inth", search.Options(summaries_only=True, limit=None)).select("path", "artifact", "pos")
 
 
 @R.add(f"""
-WITH {_LINES}, h AS (SELECT 'documents/' || lpad(doc_id::VARCHAR, 8, '0') AS path, pos, line FROM lines WHERE lang = 'en' AND contains(lower(line), 'inth') AND contains(lower(line), 'on'))
-SELECT path, pos, CASE WHEN length(line) > 280 THEN substr(line, 1, 280) || '...' ELSE line END AS line FROM h ORDER BY path DESC, pos LIMIT 40""")
+WITH {_ARCHIVE}, h AS (SELECT path, pos, line FROM arch WHERE hit AND artifact = 'session' AND tool = 'pi'), n AS (SELECT path, count(*) AS n FROM h GROUP BY path),
+c AS (SELECT path, coalesce(sum(n) OVER (ORDER BY path DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT path, pos, CASE WHEN length(line) > 280 THEN substr(line, 1, 280) || '...' ELSE line END AS line FROM h JOIN c USING (path) WHERE before < 40""")
 def search_limited(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where(F.col("lang") == "en").select(F.concat(F.lit("documents/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.lit("session").alias("artifact"), F.lit("2024-01").alias("month"), F.lit(None).cast("string").alias("day"), F.lit("claude").alias("tool"), F.lit("").alias("project"), "pos", "line")
-    return search.search(rows, "inth on", search.Options(limit=40, include_paths=True)).select("path", "pos", "line")
+    """The limit is checked after each file."""
+    rows = search.search(_archive(spark, sf_dir), "inth", search.Options(limit=40, tool="pi", include_paths=True, json=True))
+    hit = F.from_json("json", "path string, pos int, line string")
+    return rows.select(hit.alias("h")).select("h.path", "h.pos", "h.line")
 
 
 @R.add(f"""
@@ -259,7 +288,7 @@ def redact_audit(spark, sf_dir):
 
 
 @R.add("""
-SELECT page_id, url || '?a=x y+z%zz' AS broken, url || '?a=x y+z' AS decoded, regexp_replace(regexp_replace(lower(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g')), '^-+', ''), '-+$', '') AS slug FROM pages""")
+SELECT page_id, url || '?a=x y+z%zz%Aé/%' AS broken, url || '?a=x y+z' AS decoded, regexp_replace(regexp_replace(lower(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g')), '^-+', ''), '-+$', '') AS slug FROM pages""")
 def url_decode(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", text.percent_decoded(F.concat(u, F.lit("?a=x y+z%zz"))).alias("broken"), text.percent_decoded(F.concat(u, F.lit("?a=x%20y+z"))).alias("decoded"), text.slug(u).alias("slug"))
+    return table(spark, sf_dir, "pages").select("page_id", text.percent_decoded(F.concat(u, F.lit("?a=x%20y+z%zz%%41%C3%A9%2F%"))).alias("broken"), text.percent_decoded(F.concat(u, F.lit("?a=x%20y+z"))).alias("decoded"), text.slug(u).alias("slug"))

@@ -6,43 +6,37 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlark.functions import digests, timeutil
-from loomlark.operators import compact, evidence, names, ordered
+from loomlark.operators import calls, compact, evidence, names
 from loomlark.plans.lines import _PACK, _TRANSCRIPT, transcript_lines
 from loomlark.plans.registry import Registry, table
+from loomlark.sources import model, scan
+from loomlark.sources.artifacts import EVIDENCE
 
 R = Registry()
 
 
-@R.add("""
-WITH r AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS before, lag(event_id) OVER w AS call_id, lag(ts) OVER w AS call_ts FROM events WHERE event_type IN ('view', 'purchase')
-  WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, call_id, event_id AS result_id, date_diff('second', call_ts, ts) AS seconds FROM r WHERE event_type = 'purchase' AND before = 'view'""")
-def call_result_pairing(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("session", F.lit(0))
-    pairs = ordered.pair_calls(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "session", "user_id", "event_id")
-    seconds = F.unix_timestamp(F.col("result.ts")) - F.unix_timestamp(F.col("call.ts"))
-    return pairs.select("user_id", F.col("call.event_id").alias("call_id"), F.col("result.event_id").alias("result_id"), seconds.alias("seconds"))
+def _calls(spark, sf_dir):
+    """Events as items of sessions: views are calls, purchases results, all of one call id; clicks name a model."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    item = F.when(kind == "view", "call").when(kind == "purchase", "tool_result").when(kind == "click", "model_change").otherwise("other")
+    return e.select(F.col("user_id").alias("path"), F.col("event_id").alias("pos"), F.lit(0).alias("k"), item.alias("kind"), F.lit("c").alias("call_id"), F.when(kind == "view", F.col("event_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("input"), F.when(kind == "click", F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string"))).alias("model"))
 
 
 @R.add("""
-WITH r AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT user_id, event_id, event_type FROM r WHERE event_type IS DISTINCT FROM before""")
-def model_change(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.withColumn("c", ordered.changed(["user_id"], ["ts", "event_id"], F.col("event_type"))).where("c").select("user_id", "event_id", "event_type")
-
-
-@R.add("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
-def cumulative_last(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+WITH r AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lag(event_id) OVER w AS call_id FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, call_id, event_id AS result_id FROM r WHERE event_type = 'purchase' AND before = 'view'""")
+def call_result_pairing(spark, sf_dir):
+    """The pairing of the dialects: results without an open call go."""
+    rows = _calls(spark, sf_dir).where(F.col("kind").isin("call", "tool_result"))
+    return model.paired(rows, model.Rules("any")).where("kind = 'tool_result'").select(F.col("path").alias("user_id"), F.col("name").cast("long").alias("call_id"), F.col("pos").alias("result_id"))
 
 
 @R.add("""
-SELECT l_orderkey, sum(CASE WHEN l_linenumber % 2 = 0 THEN greatest(l_quantity - l_linenumber * 10, 0) ELSE l_quantity END)::BIGINT AS input_tokens, sum(l_linenumber * 10)::BIGINT AS cache_tokens FROM lineitem GROUP BY l_orderkey""")
-def conditional_tokens(spark, sf_dir):
-    cached = F.col("l_linenumber") * 10
-    included = F.when(F.col("l_linenumber") % 2 == 0, F.greatest(F.col("l_quantity") - cached, F.lit(0.0))).otherwise(F.col("l_quantity"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(included).cast("long").alias("input_tokens"), F.sum(cached).alias("cache_tokens"))
+WITH r AS (SELECT user_id, event_id, 'm' || event_id % 3 AS model, lag('m' || event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type = 'click')
+SELECT user_id, event_id, model FROM r WHERE model IS DISTINCT FROM before""")
+def model_change(spark, sf_dir):
+    """The change detection of the dialects, among other items."""
+    return model.models_changed(_calls(spark, sf_dir)).where("kind = 'model_change'").select(F.col("path").alias("user_id"), F.col("pos").alias("event_id"), "model")
 
 
 _MINUTES = "SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%dT%H-00-00') || '-' || CASE event_id % 2 WHEN 0 THEN 'claude' ELSE 'pi' END AS stem, 'in/' || lpad(event_id::VARCHAR, 7, '0') AS path FROM events"
@@ -110,29 +104,6 @@ def pending_months(spark, sf_dir):
     return compact.of_pending_months(_reports(spark, sf_dir)).select("month", "kind", "name")
 
 
-@R.add("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def semi_sessions(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@R.add("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def anti_legacy(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey")
-    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@R.add("""
-SELECT o_orderkey, string_agg(p_name, ' > ' ORDER BY l_linenumber, l_partkey, p_name) AS parts, count(l_linenumber) AS n, coalesce(sum(l_quantity), 0)::BIGINT AS quantity
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
-def three_way_fragments(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    rows = o.join(li.join(p, F.col("l_partkey") == F.col("p_partkey"), "left"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linenumber").isNotNull(), F.struct("l_linenumber", "l_partkey", "p_name")))), lambda s: s["p_name"])
-    return rows.groupBy("o_orderkey").agg(F.nullif(F.array_join(parts, " > "), F.lit("")).alias("parts"), F.count("l_linenumber").alias("n"), F.coalesce(F.sum("l_quantity"), F.lit(0)).cast("long").alias("quantity"))
-
-
 @R.add(f"""
 WITH {_TRANSCRIPT}, m AS (SELECT *, CASE WHEN starts_with(line, '👤') THEN 'u' WHEN starts_with(line, '🤖') THEN 'a' WHEN starts_with(line, '📋') THEN 'm' END AS mark FROM lines),
 i AS (SELECT *, count(mark) OVER (PARTITION BY conv_id ORDER BY pos) AS island, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos) AS o FROM m),
@@ -165,37 +136,37 @@ def evidence_agents(spark, sf_dir):
 
 
 _PARTS = """
-p AS (SELECT d.doc_id, source, lang, n_chars, lower(substr(text, 1, 12)) AS summary, quality, toxic,
-  CASE d.doc_id % 8 WHEN 0 THEN 'abandoned' WHEN 1 THEN 'deferred' WHEN 2 THEN 'hardening' WHEN 3 THEN 'rework' WHEN 4 THEN 'first_pass' WHEN 5 THEN 'autonomous_success' ELSE 'other' END AS result,
+p AS (SELECT d.doc_id, source, lang, n_chars, lower(text) AS quote, quality,
+  CASE d.doc_id % 8 WHEN 0 THEN 'abandoned' WHEN 1 THEN 'deferred' WHEN 2 THEN 'hardening' WHEN 3 THEN 'rework' WHEN 4 THEN 'first_pass' WHEN 5 THEN 'autonomous_success' ELSE 'unknown' END AS result,
   CASE d.doc_id % 8 WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS rank FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 def _parts(spark, sf_dir):
     k = F.col("doc_id") % 8
-    result = F.coalesce(*[F.when(k == n, F.lit(r)) for n, r in enumerate(("abandoned", "deferred", "hardening", "rework", "first_pass", "autonomous_success"))], F.lit("other"))
+    result = F.coalesce(*[F.when(k == n, F.lit(r)) for n, r in enumerate(("abandoned", "deferred", "hardening", "rework", "first_pass", "autonomous_success"))], F.lit("unknown"))
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 12).alias("summary"), F.lower(F.substring("text", 1, 60)).alias("quote"), "quality", "toxic", result.alias("result"))
+    return d.select("doc_id", "source", "lang", "n_chars", F.lower("text").alias("quote"), "quality", result.alias("result"))
 
 
-@R.add(f"WITH {_PARTS} SELECT lang, summary AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM p GROUP BY lang, summary")
+@R.add(f"WITH {_PARTS} SELECT lang, sha256(quote) AS key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM p GROUP BY lang, quote")
 def evidence_first_wins(spark, sf_dir):
-    return evidence.first_wins(_parts(spark, sf_dir), ["lang"], F.lower("summary"), ["doc_id"], ["doc_id", "source"])
+    rows = evidence.first_wins(_parts(spark, sf_dir), ["lang"], F.col("quote"), ["doc_id"], ["doc_id", "source"])
+    return rows.withColumn("key", F.sha2("key", 256))
 
 
 @R.add(f"""
-WITH {_PARTS} SELECT lang, source, arg_max(result, rank * 1000000000::BIGINT - doc_id) AS result, sum(n_chars)::BIGINT AS sessions, arg_min(CASE WHEN quality = 1 THEN summary END, doc_id) FILTER (quality = 1) AS notes FROM p GROUP BY lang, source""")
+WITH {_PARTS} SELECT lang, source, arg_max(result, rank * 1000000000::BIGINT - doc_id) AS result, sum(n_chars)::BIGINT AS sessions, sha256(arg_min(quote, doc_id) FILTER (quality = 1)) AS notes FROM p GROUP BY lang, source""")
 def evidence_worst_wins(spark, sf_dir):
-    rows = _parts(spark, sf_dir).withColumn("sessions", F.col("n_chars")).withColumn("notes", F.when(F.col("quality") == 1, F.lower("summary")))
-    return evidence.worst_wins(rows, ["lang"], "source", ["doc_id"])
+    rows = _parts(spark, sf_dir).withColumn("sessions", F.col("n_chars")).withColumn("notes", F.when(F.col("quality") == 1, F.col("quote")))
+    return evidence.worst_wins(rows, ["lang"], "source", ["doc_id"]).withColumn("notes", F.sha2("notes", 256))
 
 
-@R.add("""
-WITH p AS (SELECT lang, lower(substr(text, 1, 60)) AS quote, coalesce(quality = 0, false) AS c, doc_id FROM documents LEFT JOIN labels USING (doc_id)),
-o AS (SELECT lang, quote, min(CASE WHEN c THEN 0 ELSE 1000000000 END + doc_id) AS o FROM p WHERE trim(quote) <> '' GROUP BY lang, quote),
-n AS (SELECT lang, quote, row_number() OVER (PARTITION BY lang ORDER BY o, quote)::INT AS rank FROM o) SELECT * FROM n WHERE rank <= 10""")
+@R.add(f"""
+WITH {_PARTS}, q AS (SELECT lang, quote, bool_or(coalesce(quality = 0, false)) AS c, min(doc_id) AS o FROM p GROUP BY lang, quote),
+n AS (SELECT lang, quote, row_number() OVER (PARTITION BY lang ORDER BY c DESC, CASE WHEN c THEN quote END, o, quote)::INT AS rank FROM q) SELECT lang, sha256(quote) AS quote, rank FROM n WHERE rank <= 10""")
 def evidence_quotes(spark, sf_dir):
     rows = _parts(spark, sf_dir).withColumn("c", F.coalesce(F.col("quality") == 0, F.lit(False)))
-    return evidence.quotes(rows, ["lang"], "quote", "c", ["doc_id"])
+    return evidence.quotes(rows, ["lang"], "quote", "c", ["doc_id"]).withColumn("quote", F.sha2("quote", 256))
 
 
 @R.add("SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS tags FROM documents GROUP BY lang")
@@ -204,13 +175,81 @@ def evidence_union(spark, sf_dir):
     return evidence.string_union(rows, ["lang"], "tags").select("lang", F.array_join("tags", ",").alias("tags"))
 
 
+def _blocks(spark, sf_dir):
+    """Each event as an evidence block of its user's period."""
+    i, s = F.col("event_id"), lambda c: c.cast("string")
+    name = lambda mark, n, after="": F.concat(F.lit(mark), s(i % n), F.lit(after))
+    result = F.element_at(F.array(*map(F.lit, ("rework", "first_pass", "abandoned", "lost", "deferred", "unknown", "hardening"))), (i % 7 + 1).cast("int"))
+    kind = F.when(i % 5 == 0, "scope").otherwise("other")
+    fields = dict(
+        period=F.when(i % 13 == 0, " ").otherwise("2026-01-01"), period_kind=F.when(i % 17 == 0, "month").otherwise("day"), projects=F.array(F.col("event_type"), F.lit(" ")),
+        volume=F.struct(F.lit(1).alias("sessions"), F.when(i % 3 > 0, i % 5).alias("user_turns"), (i % 4).alias("corrections"), (i % 2).alias("decisions")),
+        agents_used=F.array(F.struct(F.col("event_type").alias("tool"), F.when(i % 4 > 0, name("m", 4)).alias("model"), F.lit(1).alias("sessions"), F.when(i % 6 > 0, i % 7).alias("tokens_in"), F.lit(None).alias("tokens_out"), F.lit(0.25).alias("cost_usd"))),
+        instruction_deltas=F.array(F.struct(name(" D", 9, " ").alias("summary"), s(i).alias("target"), F.lit(None).alias("quote"), F.lit(True).alias("codified"))),
+        corrections=F.when(i % 3 == 0, F.array(F.struct(kind.alias("type"), F.when(i % 11 == 0, " ").otherwise(name("q", 23)).alias("quote"), s(i).alias("context"), F.lit(None).alias("codified_into")))),
+        outcomes=F.array(F.struct(name("U", 3).alias("unit"), result.alias("result"), F.when(i % 2 == 0, F.lit(1)).alias("sessions"), F.when(i % 5 == 0, s(i)).alias("notes"))),
+        process_invocations=F.array(name("p", 2)), open_threads=F.array().cast("array<string>"),
+        case_study_quotes=F.array(name("z", 4), name("q", 23), name("z", 4)), metrics_ref=F.when(i % 10 == 0, "").when(i % 3 == 0, s(i)), notes=F.when(i % 200 == 0, s(i)),
+    )
+    e = F.struct(*[v.alias(k) for k, v in fields.items()])
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 5).alias("week"), F.from_json(F.to_json(e), EVIDENCE).alias("e"))
+
+
+@R.add("""
+WITH e AS (SELECT *, user_id % 5 AS week, CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 4 THEN 5 WHEN 6 THEN 4 ELSE 0 END AS sev, ['rework', 'first_pass', 'abandoned', 'lost', 'deferred', 'unknown', 'hardening'][(event_id % 7 + 1)::INT] AS result, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'q' || event_id % 23 END AS cq FROM events),
+v AS (SELECT week, count(*) AS sessions, sum(CASE WHEN event_id % 3 > 0 THEN event_id % 5 END)::BIGINT AS user_turns, sum(event_id % 2)::BIGINT AS decisions, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS projects, string_agg(DISTINCT 'p' || event_id % 2, ',' ORDER BY 'p' || event_id % 2) AS processes,
+  coalesce(min(event_id) FILTER (event_id % 3 = 0 AND event_id % 10 <> 0)::VARCHAR, '') AS metrics_ref, coalesce(string_agg(event_id::VARCHAR, ' | ' ORDER BY event_id) FILTER (event_id % 200 = 0), '') AS notes FROM e GROUP BY week),
+a AS (SELECT week, string_agg(t || '/' || m || ':' || n || ':' || i, ',' ORDER BY t, m) AS agents FROM (SELECT week, event_type AS t, CASE WHEN event_id % 4 > 0 THEN 'm' || event_id % 4 ELSE '' END AS m, count(*) AS n, sum(CASE WHEN event_id % 6 > 0 THEN event_id % 7 ELSE 0 END)::BIGINT AS i FROM e GROUP BY ALL) GROUP BY week),
+d AS (SELECT week, string_agg(s || ':' || t, ',' ORDER BY s) AS deltas FROM (SELECT week, 'd' || event_id % 9 AS s, min(event_id) AS t FROM e GROUP BY ALL) GROUP BY week),
+c AS (SELECT week, string_agg(q || ':' || x, ',' ORDER BY q) AS corrections, count(*) AS n_corrections FROM (SELECT week, cq AS q, min(event_id) AS x FROM e WHERE event_id % 3 = 0 GROUP BY ALL) GROUP BY week),
+o AS (SELECT week, string_agg(u || ':' || r || ':' || n || ':' || x, ',' ORDER BY u) AS outcomes FROM (SELECT week, 'U' || event_id % 3 AS u, arg_max(result, sev * 1000000000::BIGINT - event_id) AS r, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n, min(event_id) FILTER (event_id % 5 = 0) AS x FROM e GROUP BY ALL) GROUP BY week),
+q AS (SELECT week, quote, bool_or(c) AS c, min(o) AS o FROM (SELECT week, cq AS quote, true AS c, event_id * 10 AS o FROM e WHERE event_id % 3 = 0 UNION ALL SELECT week, 'z' || event_id % 4, false, event_id * 10 FROM e UNION ALL SELECT week, 'q' || event_id % 23, false, event_id * 10 + 1 FROM e) GROUP BY ALL),
+r AS (SELECT week, quote, row_number() OVER (PARTITION BY week ORDER BY c DESC, CASE WHEN c THEN quote END, o, quote) AS k FROM q),
+s AS (SELECT week, string_agg(quote, ',' ORDER BY k) AS quotes FROM r WHERE k <= 10 GROUP BY week)
+SELECT * FROM v JOIN a USING (week) JOIN d USING (week) JOIN c USING (week) JOIN o USING (week) JOIN s USING (week)""")
+def evidence_merge(spark, sf_dir):
+    m = evidence.merge(_blocks(spark, sf_dir), ["week"], "event_id")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    return m.select(
+        "week", "volume.sessions", "volume.user_turns", "volume.decisions", F.col("volume.corrections").alias("n_corrections"), F.array_join("projects", ",").alias("projects"), F.array_join("process_invocations", ",").alias("processes"), text(F.col("metrics_ref")).alias("metrics_ref"), text(F.col("notes")).alias("notes"),
+        joined("agents_used", lambda a: F.concat(a["tool"], F.lit("/"), text(a["model"]), F.lit(":"), text(a["sessions"]), F.lit(":"), zero(a["tokens_in"]))).alias("agents"),
+        joined("instruction_deltas", lambda d: F.concat(F.lower(F.trim(d["summary"])), F.lit(":"), d["target"])).alias("deltas"), joined("corrections", lambda c: F.concat(c["quote"], F.lit(":"), c["context"])).alias("corrections"),
+        joined("outcomes", lambda o: F.concat_ws(":", o["unit"], o["result"], zero(o["sessions"]), o["notes"])).alias("outcomes"), F.array_join("case_study_quotes", ",").alias("quotes"),
+    )
+
+
 @R.add("""
-WITH e AS (SELECT DISTINCT doc_id FROM documents), a AS (SELECT DISTINCT doc_id FROM labels),
-r AS (SELECT count(*) AS n_expected, count(*) FILTER (doc_id IN (SELECT doc_id FROM a)) AS n_kept FROM e)
-SELECT n_expected, n_kept, round(n_kept / n_expected, 6) AS ratio, n_kept / n_expected >= 0.8 AS passes FROM r""")
+WITH w AS (SELECT event_id, [CASE WHEN event_id % 13 = 0 THEN 'period is empty' END, CASE WHEN event_id % 17 = 0 THEN 'period_kind should be day|week, got month' END, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 1 THEN 'volume.corrections=' || event_id % 4 || ' disagrees with corrections.len()=1' END,
+  CASE WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 'unknown correction type: scope' END, CASE WHEN event_id % 3 = 0 AND event_id % 11 = 0 THEN 'correction with empty quote' END, CASE WHEN event_id % 7 = 3 THEN 'unknown outcome result: lost' END] AS w FROM events)
+SELECT event_id, array_to_string(list_filter(w, lambda x: x IS NOT NULL), '; ') AS warnings FROM w""")
+def evidence_warnings(spark, sf_dir):
+    return _blocks(spark, sf_dir).select("event_id", F.array_join(evidence.warnings(F.col("e")), "; ").alias("warnings"))
+
+
+@R.add("""
+WITH e AS (SELECT user_id, list(event_type ORDER BY event_id) AS q, list(' D' || event_id % 4 || ' ' ORDER BY event_id) AS d, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY user_id),
+a AS (SELECT *, list_filter(q, lambda x: NOT (x = 'error' AND user_id % 3 = 0)) AS q2, list_filter(d, lambda x: NOT (x = ' D3 ' AND user_id % 5 = 0)) AS d2, n + (user_id % 4 = 0)::INT AS n2 FROM e),
+r AS (SELECT *, list_filter(q, lambda x: NOT list_contains(q2, x)) AS mq, list_filter(d, lambda x: NOT list_contains(d2, x)) AS md FROM a)
+SELECT user_id, round(1 - len(mq) / len(q), 6) AS quote_retention, round(1 - len(md) / len(d), 6) AS delta_retention, len(mq) AS missing_quotes, array_to_string(md, ',') AS missing_deltas, n = n2 AS corrections_match, round(1 - len(mq) / len(q), 9) >= 0.8 AND len(md) = 0 AND n = n2 AS passes FROM r""")
 def loss_audit(spark, sf_dir):
-    out = evidence.retention(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    return out.select("n_expected", "n_kept", F.round("ratio", 6).alias("ratio"), evidence.passes(F.col("ratio"), F.lit(1.0), F.lit(True)).alias("passes"))
+    """Lists with repeated entries: what is lost counts as often as it was listed."""
+    gathered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    deltas = lambda x, fold: F.transform(x, lambda r: F.struct((F.lower if fold else F.upper)(F.concat(F.lit(" D"), (r["event_id"] % 4).cast("string"), F.lit(" "))).alias("summary")))
+    lost = lambda r: F.struct(F.lit("other").alias("type"), r["event_type"].alias("quote"))
+    errors = lambda x: F.transform(F.filter(x, lambda r: r["event_type"] == "error"), lost)
+
+    def block(x, d, c):
+        e = F.struct(F.transform(x, lambda r: r["event_type"]).alias("case_study_quotes"), d.alias("instruction_deltas"), c.alias("corrections"), F.struct(F.size(c).alias("corrections")).alias("volume"))
+        return gathered.select("user_id", e.alias("e"))
+
+    x, u = F.col("x"), F.col("user_id")
+    kept = F.filter(x, lambda r: ~((r["event_type"] == "error") & (u % 3 == 0)))
+    kept_deltas = F.filter(x, lambda r: ~((r["event_id"] % 4 == 3) & (u % 5 == 0)))
+    more = F.when(u % 4 == 0, F.concat(errors(x), F.array(F.struct(F.lit("other").alias("type"), F.lit("made up").alias("quote"))))).otherwise(errors(x))
+    out = evidence.loss_audit(block(x, deltas(x, False), errors(x)), block(kept, deltas(kept_deltas, True), more), "user_id")
+    return out.select("user_id", F.round("quote_retention", 6).alias("quote_retention"), F.round("delta_retention", 6).alias("delta_retention"), F.size("missing_quotes").cast("long").alias("missing_quotes"), F.array_join("missing_deltas", ",").alias("missing_deltas"), "corrections_match", "passes")
 
 
 @R.add("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -218,14 +257,6 @@ def loss_missing(spark, sf_dir):
     return evidence.missing(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-@R.add("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'period is empty' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 = 0 THEN '; ' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown outcome' ELSE '' END AS warnings FROM orders""")
-def evidence_warnings(spark, sf_dir):
-    k = F.col("o_orderkey")
-    found = evidence.warnings(F.when(k % 4 == 0, " ").otherwise("2026-01-01"), F.lit(1), F.array(F.lit("scope")), F.array(F.when(k % 3 == 0, "lost").otherwise("rework")), F.lit(1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "; ").alias("warnings"))
-
-
 @R.add("""
 SELECT event_id, to_timestamp(event_id * 1000)::TIMESTAMP AS u, ts AS rfc, ts AS epoch FROM events""")
 def timestamps(spark, sf_dir):
@@ -238,38 +269,42 @@ def timestamps(spark, sf_dir):
     return e.select("event_id", ntz(timeutil.uuid7_time(uuid)).alias("u"), ntz(timeutil.any_timestamp(rfc)).alias("rfc"), ntz(F.coalesce(timeutil.any_timestamp(F.lit("nonsense")), F.timestamp_micros((epoch * 1_000_000).cast("long")))).alias("epoch"))
 
 
-@R.add("""
-SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN 'text' WHEN event_id % 3 = 1 THEN 'k' || json_extract_string(props, '$.k') ELSE '' END AS content FROM events""")
-def json_path(spark, sf_dir):
-    """Content that is a string, an array of blocks, or broken: a bad text gives no value and no failure."""
-    k = F.get_json_object("props", "$.k")
-    m = F.col("event_id") % 3
-    raw = F.when(m == 0, F.lit('{"content": "text"}')).when(m == 1, F.concat(F.lit('{"content": [{"type": "text", "text": "k'), k, F.lit('"}]}'))).otherwise(F.lit('{"content": [broken'))
-    v = F.try_parse_json(raw)
-    content = F.coalesce(F.try_variant_get(v, "$.content[0].text", "string"), F.when(m == 0, F.try_variant_get(v, "$.content", "string")), F.lit(""))
-    return table(spark, sf_dir, "events").select("event_id", k.cast("long").alias("k"), content.alias("content"))
+@R.add("SELECT event_id, printf('evt-%06d', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS name, sha256('user' || user_id) AS user_hash FROM events")
+def event_ids(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", digests.event_id(n).alias("name"), digests.text_hash(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("user_hash"))
+
+
 
 
 @R.add("""
-SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels) EXCEPT SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')""")
+SELECT path FROM (SELECT 'd' || doc_id AS path FROM documents WHERE lang = 'en' UNION SELECT 'd' || doc_id FROM labels)""")
 def dedupe_sources(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.where("lang = 'en'").select("doc_id").union(table(spark, sf_dir, "labels").select("doc_id")).distinct().join(d.where(F.col("source").isin("src1", "src2")).select("doc_id"), "doc_id", "left_anti")
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path")
+    return scan.united(table(spark, sf_dir, "documents").where("lang = 'en'").select(path), table(spark, sf_dir, "labels").select(path))
 
 
-@R.add("SELECT event_id, printf('evt-%06d', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS name, sha256('user' || user_id) AS user_hash FROM events")
-def event_ids(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", digests.event_id(n).alias("name"), digests.text_hash(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("user_hash"))
+@R.add("""
+WITH i AS (SELECT source AS period, doc_id, strlen(text) AS n, strlen(text) + length('d' || lpad(doc_id::VARCHAR, 9, '0')) + 30 AS item, text FROM documents WHERE text <> '' AND n_chars < 900),
+s AS (SELECT period, sum(n) AS total, count(*) AS items FROM i GROUP BY period)
+SELECT period, items, (total + 106 > 4000) AS chunked, total::BIGINT AS bytes FROM s""")
+def assembled_inputs(spark, sf_dir):
+    """Inputs of a model, within the budget unless one item alone exceeds it: every item is in one of them, whole and once."""
+    d = table(spark, sf_dir, "documents").where("text <> '' AND n_chars < 900").select(F.col("source").alias("period"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "text")
+    made = calls.assembled(d, "period", "name", "text", "merge!", 4000)
+    within = F.when((F.octet_length("input") <= 4200) | (F.col("n") == 1), 0).otherwise(1)
+    rows = made.withColumn("n", F.regexp_count("input", F.lit(r"--- end of d\d{9} ---\n")))
+    rest = F.regexp_replace(F.regexp_replace("input", r"\n--- end of d\d{9} ---\n\n", ""), r"\Amerge!\n\n=== [^\n]* ===\n\n|=== end ===\n\z", "")
+    per = rows.withColumn("bytes", F.octet_length(rest)).groupBy("period").agg(F.sum("n").cast("long").alias("items"), (F.max("chunks") > 1).alias("chunked"), F.sum("bytes").alias("bytes"), F.sum(within).alias("beyond"))
+    return per.where("beyond = 0").drop("beyond")
 
 
 @R.add("""
-SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS first_day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, arg_max(event_type, event_id) AS last_type,
-  greatest(date_diff('second', min(ts), max(ts)), 0) AS duration, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id""")
-def session_stats(spark, sf_dir):
-    """Per-session statistics: counts, sets, last value, duration."""
-    seconds = F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"), F.max_by("event_type", "event_id").alias("last_type"),
-        F.greatest(seconds, F.lit(0)).alias("duration"), F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"),
-    )
+WITH r AS (SELECT source AS day, doc_id % 7 AS chunk, doc_id % 11 <> 0 AS ok FROM documents), c AS (SELECT day, chunk, bool_or(ok) AS done FROM r GROUP BY ALL)
+SELECT day, 7::BIGINT AS total_chunks, count(*) FILTER (done) AS completed_chunks, CASE WHEN count(*) FILTER (done) = 7 THEN 'complete' WHEN count(*) FILTER (NOT done) > 0 THEN 'failed' ELSE 'partial' END AS status, CASE WHEN count(*) FILTER (NOT done) > 0 THEN 'timeout' ELSE '' END AS failure FROM c GROUP BY day""")
+def compact_status(spark, sf_dir):
+    """Status of a period from the results of its chunks, of which some were tried again."""
+    d, ok = table(spark, sf_dir, "documents"), F.col("doc_id") % 11 != 0
+    event = F.struct(F.lit(0).alias("retry_count"), F.when(ok, "success").otherwise("failure").alias("outcome"), F.when(~ok, "timeout").alias("failure_class"), F.lit(None).cast("string").alias("detail"), F.lit(1).cast("long").alias("elapsed_ms"))
+    results = d.select(F.col("source").alias("day"), (F.col("doc_id") % 7).cast("int").alias("chunk"), F.lit(7).cast("long").alias("chunks"), F.when(ok, "text").alias("output"), F.array(event).alias("events"))
+    return calls.status(results, "day").select("day", "total_chunks", "completed_chunks", "status", F.coalesce("failure_class", F.lit("")).alias("failure"))

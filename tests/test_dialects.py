@@ -199,11 +199,18 @@ def test_detection_and_selectors(spark, tmp_path):
     from pyspark.sql import functions as F
 
     cases = {
-        ("/x/state.db", ""): "hermes", ("/x/rollout-1.jsonl", ""): "codex", ("/x/chat_history.jsonl", ""): "grok", ("/x/agents/a/wire.jsonl", ""): "kimi", ("/x/agent-transcripts/a.jsonl", ""): "cursor",
-        ("/x/a.jsonl", '{"type": "session_meta"}'): "codex", ("/x/a.jsonl", '{"type": "session", "id": "1", "cwd": "/"}'): "pi", ("/x/a.jsonl", "{}"): "claude", ("/x/e.zip", ""): "claude-chat",
+        ("/x/.hermes/state.db", ""): "hermes", ("/x/hermes/a.json", ""): "hermes", ("/x/rollout-1.jsonl", '{"sessionId":1}'): "codex", ("/x/.codex/a.txt", ""): "codex", ("/x/.grok/sessions/s/chat_history.jsonl", ""): "grok", ("/x/.kimi-code/agents/a/wire.jsonl", ""): "kimi", ("/x/agent-transcripts/a.jsonl", ""): "cursor",
+        ("/x/opencode/session/a.json", ""): "opencode", ("/x/.pi/agent/sessions/a.jsonl", ""): "pi", ("/x/local-agent-mode-sessions/a.json", ""): "claude",
+        ("/x/a.jsonl", '{"type":"session_meta"}'): "codex", ("/x/a.jsonl", '{"type":"response_item"}'): "codex", ("/x/a.jsonl", '{"type":"session","id":"1","cwd":"/"}'): "pi", ("/x/a.jsonl", '{"platform":"cli","model":"m"}'): "hermes", ("/x/a.jsonl", '{"role":"user","message":{}}'): "cursor",
+        ("/x/a.jsonl", '{"type":"metadata","protocol_version":1}'): "kimi", ("/x/a.jsonl", '{"type":"system"}'): "grok", ("/x/a.jsonl", '{"type":"assistant","tool_calls":[]}'): "grok", ("/x/a.jsonl", '{"type":"tool_result"}'): "grok", ("/x/a.jsonl", '{"type":"system","sessionId":"1"}'): "claude", ("/x/a.jsonl", "{}"): "claude", ("/x/a.jsonl", None): "claude",
+        ("/x/e.zip", ""): None, ("/x/state.db", ""): None, ("/x/notes.txt", '{"sessionId":1}'): None,
     }
     rows = spark.createDataFrame([(p, f, want) for (p, f), want in cases.items()], "p string, f string, want string")
-    assert rows.where(scan.detect(F.col("p"), F.col("f")) != F.col("want")).count() == 0
+    assert rows.where(~scan.detect(F.col("p"), F.col("f")).eqNullSafe(F.col("want"))).collect() == []
+    firsts = spark.createDataFrame([("\n  \n a b\nc", "a b"), ("x", "x"), ("", ""), (" \r\n", "")], "t string, want string")
+    assert firsts.where(scan.first_line(F.col("t")) != F.col("want")).collect() == []
+    tmp_path = tmp_path / "x.bak"  # only the file's own name counts
+    tmp_path.mkdir()
     for name, text in (("a.jsonl", "x\n\ny\n"), ("a.bak.jsonl", "x"), ("empty.jsonl", ""), ("b.txt", "x")):
         (tmp_path / name).write_text(text)
     files = scan.texts(spark, str(tmp_path), "claude")

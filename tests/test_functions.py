@@ -29,7 +29,7 @@ def table(spark, f, cases, kind="string"):
     (text.queue_summary, {"a <summary> s </summary>": "s", "x" * 120: "x" * 100, " short ": "short"}),
     (text.output_failed, {"Exit code: 0": False, "a\n  Exit code: 2": True, "last_exit_code: 127\n": True, "Exit code:": False, "exit": False}),
     (text.shell_reads, {"cat a.txt | head b": ["a.txt", "b"], "ls": [], "tail 'x y'": ["x"], "cat >o": []}),
-    (text.percent_decoded, {"a%20b+c": "a b+c", "%zz": "%zz", "%C3%A9": "é"}),
+    (text.percent_decoded, {"a%20b+c": "a b+c", "%zz": "%zz", "%C3%A9": "é", "%zz%20%": "%zz %", "%%41": "%A", "%4": "%4"}),
     (text.slug, {"--My Model/1_x--": "my-model-1_x", "é": ""}),
     (text.slug_to_path, {"a-b": "/a/b"}),
     (text.scrub_paths, {"see /Users/x/y now": "see now", "a=/tmp/b,c": "a=,c", "[t](http://x) z": "[t z", "(../q) x": "x", "k:~/z;w": "k:;w", "a](b": "a](b", "x/../y": "x/."}),
@@ -83,6 +83,10 @@ SECRETS = {
     "ghp_" + "c" * 36: "[REDACTED GITHUB TOKEN]",
     "AKIA" + "D" * 16: "[REDACTED AWS ACCESS KEY]",
     "xoxb-1234567890": "[REDACTED SLACK TOKEN]",
+    "éAKIA" + "D" * 16: "éAKIA" + "D" * 16,  # no boundary beside a letter of any script
+    "「AKIA" + "D" * 16 + "」": "「[REDACTED AWS ACCESS KEY]」",
+    "JWT_SECRET_KEY\u3000=\u2003abc": "JWT_SECRET_KEY\u3000=\u2003[REDACTED]",
+    "GH_TOKEN=sk-ant-" + "a" * 20 + " bearer AKIA" + "D" * 16: "GH_TOKEN=[REDACTED] bearer [REDACTED]",
     "plain": "plain",
 }
 
@@ -93,7 +97,14 @@ def test_redaction(spark):
     assert table(spark, redact.redacted, again) == {}  # a second pass changes nothing
     rows = spark.createDataFrame([(t,) for t in SECRETS], "t string")
     audit = redact.audit(redact.with_audit(rows, "t")).first()
-    assert (audit.n_private_key, audit.n_env_assignment, audit.n_bearer_token, audit.n_api_key, audit.kinds) == (1, 2, 1, 5, ["api_key", "bearer_token", "env_assignment", "private_key"])
+    assert (audit.n_private_key, audit.n_env_assignment, audit.n_bearer_token, audit.n_api_key, audit.kinds) == (1, 4, 2, 6, ["api_key", "bearer_token", "env_assignment", "private_key"])
+    counted = redact.with_audit(rows, "t").collect()
+    assert {r.t: r.redacted for r in counted} == SECRETS
+    again = rows.select("t", redact.redact_json(F.to_json(F.array("t")), strict=False).alias("j"), redact.json_counts(F.col("t")).alias("n")).collect()
+    import json as js
+
+    assert {r.t: js.loads(r.j)[0] for r in again} == SECRETS  # both engines of patterns agree
+    assert {r.t: tuple(r.n) for r in again} == {r.t: (r.n_private_key, r.n_env_assignment, r.n_bearer_token, r.n_api_key) for r in counted}
     json = '{"gh_token": "x", "a": ["AKIA' + "D" * 16 + '", {"b": 1}]}'
     got = spark.createDataFrame([(json,), ("{",), (None,)], "j string").select(redact.redact_json(F.col("j")).alias("r")).collect()
     assert got[0].r == '{"gh_token": "x", "a": ["[REDACTED AWS ACCESS KEY]", {"b": 1}]}' and got[1].r is None and got[2].r is None
