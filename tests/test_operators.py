@@ -219,7 +219,15 @@ def test_no_artifact_holds_a_key(spark, tmp_path):
     assert json.loads(plain.first().json)["sanitization"] == {"policy_version": "sanitization.v1", "redaction_count": 0, "redaction_kinds": [], "dropped_block_count": 0, "dropped_block_kinds": []}
 
 
-def test_ingest_from_folders_to_files(spark, tmp_path):
+@pytest.fixture
+def interpreted(spark):
+    """Plans of some two hundred stages on a handful of rows: compiling them takes longer than running them."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
+def test_ingest_from_folders_to_files(spark, tmp_path, interpreted):
     import sqlite3
 
     from loomlark.sources import ingest
