@@ -93,13 +93,14 @@ def scan(docs: DataFrame, key: str = "doc_id", ledger_path: str | None = None) -
 
 def redact(docs: DataFrame, key: str = "doc_id", mask: str = "[SECRET]", ledger_path: str | None = None) -> DataFrame:
     """``docs``, columns as they are, with every span of its texts replaced by ``mask``; ``n_chars`` follows where there is one.
-    Only contents with findings are joined; Spark broadcasts these where their table is small, and the texts then stay in place."""
+    Only contents with findings are joined; both sides are scans, so a hot content can be split."""
     own, other, spans = (unused(docs, n) for n in ("__own", "__digest", "__spans"))
     _, known = _ledger(docs, key, ledger_path)
     found = written(known.where(F.size("spans") > 0).select(F.col("digest").alias(other), F.col("spans").alias(spans)), "secrets")
     marked = docs.withColumn(own, F.unhex(F.sha2(text_or_empty(F.col("text")), 256)))
     hit = F.col(spans).isNotNull()
-    out = marked.join(found, F.col(own) == F.col(other), "left").withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
+    # a merge join by hint: whether Spark would broadcast follows the number of findings, which no bound holds
+    out = marked.join(found.hint("merge"), F.col(own) == F.col(other), "left").withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
