@@ -109,14 +109,14 @@ class Field:
         return np.array(states[::-1])
 
 
-def fit_field(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3, transitions: bool = True) -> Field:
-    """Maximum likelihood of a linear-chain field, from (features, states) of chains of lines, by gradient ascent (Adam), forward-backward over
-    all chains at once. Without ``transitions`` each line stands alone."""
-    field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    chains = [(x[s : s + CHAIN], y[s : s + CHAIN]) for x, y in chains for s in range(0, len(x), CHAIN)]
-    if len({int(v) for _, y in chains for v in np.unique(y)}) < 2:
-        field.weight[0, 0] = 1.0
-        return field
+def fit_field(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3, transitions: bool = True, start: Field | None = None) -> Field:
+    """Maximum likelihood of a linear-chain field, from (features, states) of chains of lines, by gradient ascent (Adam) from ``start``,
+    forward-backward over all chains at once. Without ``transitions`` each line stands alone."""
+    field = Field(start.weight.copy(), start.step.copy()) if start else Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
+    length = CHAIN if transitions else 1
+    chains = [(x[s : s + length], y[s : s + length]) for x, y in chains for s in range(0, len(x), length)]
+    if not chains or len(np.unique(np.concatenate([y for _, y in chains]))) < 2:
+        return Field(np.eye(N_FEATURES, 2) * [1.0, 0.0], np.zeros((2, 2)))
     chains.sort(key=lambda c: -len(c[0]))
     n = np.array([len(x) for x, _ in chains])
     T = n[0]
@@ -181,7 +181,7 @@ def fit_documents(docs: list[tuple[np.ndarray, np.ndarray, int]], share: float =
     for _ in range(rounds):
         found = [field.viterbi(x) for x, _, _ in docs]
         found = [y if (content_share(y, n) < share) == bool(bad) else w for y, w, (_, n, bad) in zip(found, weak, docs)]
-        field = fit_field([(x, y) for (x, _, _), y in zip(docs, found)])
+        field = fit_field([(x, y) for (x, _, _), y in zip(docs, found)], steps=60, start=field)
     return field
 
 
