@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomlark.functions import digests, timeutil
 from loomlark.operators import calls, compact, evidence, names
@@ -192,7 +193,7 @@ def _blocks(spark, sf_dir):
         case_study_quotes=F.array(name("z", 4), name("q", 23), name("z", 4)), metrics_ref=F.when(i % 10 == 0, "").when(i % 3 == 0, s(i)), notes=F.when(i % 200 == 0, s(i)),
     )
     e = F.struct(*[v.alias(k) for k, v in fields.items()])
-    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 5).alias("week"), F.from_json(F.to_json(e), EVIDENCE).alias("e"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 5).alias("week"), e.cast(StructType.fromDDL(EVIDENCE)).alias("e"))
 
 
 @R.add("""
