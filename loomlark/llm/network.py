@@ -12,7 +12,7 @@ import numpy as np
 SIDE, WIDTH = 2, 16  # of the hidden units, the last is always 1 and carries the biases
 GROUPS, EACH = 64, 64
 SYMBOLS = GROUPS * EACH  # 12 bits: a symbol and its four neighbours fit in one 64-bit key
-BLOCK = 1 << 13
+BLOCK = 1 << 14
 _SHAPES = ((2 * SIDE, SYMBOLS, WIDTH), (WIDTH, GROUPS), (GROUPS, WIDTH, EACH))
 _ENDS = np.cumsum([np.prod(s) for s in _SHAPES])
 
