@@ -77,12 +77,26 @@ def kept(t: Tables, project: str | None = None) -> Tables:
     return Tables(sessions, t.messages.join(own, "path", "left_semi"), t.events.join(own, "path", "left_semi"))
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], project: str | None = None) -> Tables:
-    """``roots``: dialect -> folder. Lazy; ``sinks.artifacts`` writes what it gives."""
+def stored(t: Tables, root: str) -> Tables:
+    """The three tables written under ``root`` and read again."""
+    spark = t.sessions.sparkSession
+
+    def again(name: str) -> DataFrame:
+        df = getattr(t, name)
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return Tables(again("sessions"), again("messages"), again("events"))
+
+
+def ingest(spark: SparkSession, roots: dict[str, str], project: str | None = None, store: str | None = None) -> Tables:
+    """``roots``: dialect -> folder. Lazy; ``sinks.artifacts`` writes what it gives. With ``store``, a folder that all executors see, each dialect's tables
+    are written there first: logs are then read once for all that follows, and plans over many dialects stay small."""
     unknown = roots.keys() - READERS.keys()
     if unknown or not roots:
         raise ValueError(f"unknown dialects: {sorted(unknown)}" if unknown else "no folders")
-    return kept(union([READERS[d](spark, root) for d, root in roots.items()]), project)
+    read = {d: READERS[d](spark, root) for d, root in roots.items()}
+    return kept(union([stored(t, f"{store}/{d}") if store else t for d, t in read.items()]), project)
 
 
 def dialect_of(spark: SparkSession, path: str) -> str:

@@ -219,15 +219,7 @@ def test_no_artifact_holds_a_key(spark, tmp_path):
     assert json.loads(plain.first().json)["sanitization"] == {"policy_version": "sanitization.v1", "redaction_count": 0, "redaction_kinds": [], "dropped_block_count": 0, "dropped_block_kinds": []}
 
 
-@pytest.fixture
-def interpreted(spark):
-    """Plans of some two hundred stages on a handful of rows: compiling them takes longer than running them."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")
-
-
-def test_ingest_from_folders_to_files(spark, tmp_path, interpreted):
+def test_ingest_from_folders_to_files(spark, tmp_path):
     import sqlite3
 
     from loomlark.sources import ingest
@@ -257,17 +249,18 @@ def test_ingest_from_folders_to_files(spark, tmp_path, interpreted):
     write(logs / "codex" / "rollout-1.jsonl", {"type": "session_meta", "timestamp": "2026-01-02T03:04:05Z", "payload": {"id": "C", "cwd": "/w"}}, {"type": "event_msg", "timestamp": "2026-01-02T03:04:06Z", "payload": {"type": "user_message", "message": "hi"}})
     write(logs / "pi" / "1.jsonl", {"type": "session", "timestamp": "2026-01-02T03:04:05Z", "id": "P", "cwd": "/other"}, {"type": "message", "timestamp": "2026-01-02T03:04:06Z", "message": {"role": "user", "content": [{"type": "text", "text": "hi"}]}})
     roots = {d: str(logs / (d if d != "claude-chat" else "chat")) for d in ingest.READERS}
-    t = ingest.ingest(spark, roots)
+    t = ingest.ingest(spark, roots, store=str(tmp_path / "store"))
     got = sorted((r.tool, r.session_id, r.user_messages) for r in t.sessions.collect())
     assert got == [("claude", "s1", 1), ("claude-chat", "u1", 1), ("codex", "C", 1), ("cursor", "x", 1), ("grok", "0190a000-0000-7000-8000-000000000001", 1), ("grok", "0190a000-0000-7000-8000-000000000002", 1), ("hermes", "L", 1), ("hermes", "h", 1), ("kimi", "S", 1), ("opencode", "s", 1), ("pi", "P", 1)]
     assert sinks.write_files(sinks.artifacts(t), f"file://{tmp_path}/out") == 11
     names = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.md"))
     grok = [n for n in names if n.endswith("-grok.md")]
     assert len(names) == 11 and len(grok) == 2 and sorted(map(len, grok))[1] == sorted(map(len, grok))[0] + 9
-    some = {d: roots[d] for d in ("claude", "pi", "grok")}
-    of = ingest.ingest(spark, some, project="/w")
-    assert {r.session_id for r in of.sessions.collect()} == {"s1", "0190a000-0000-7000-8000-000000000001", "0190a000-0000-7000-8000-000000000002"}
-    assert sinks.write_files(sinks.artifacts(of), f"file://{tmp_path}/out") == 3  # a rerun gives the same names
+    of = ingest.kept(t, "/w")
+    assert {r.session_id for r in of.sessions.collect()} == {"s1", "C", "x", "S", "s", "0190a000-0000-7000-8000-000000000001", "0190a000-0000-7000-8000-000000000002"}
+    assert sinks.write_files(sinks.artifacts(of), f"file://{tmp_path}/out") == 7  # a rerun gives the same names
+    lazy = ingest.ingest(spark, {d: roots[d] for d in ("claude", "pi")}, project="/other")
+    assert [r.session_id for r in lazy.sessions.collect()] == ["P"]
     assert len(list((tmp_path / "out").rglob("*.md"))) == 11 and not list((tmp_path / "out").rglob(".*"))
     assert ingest.dialect_of(spark, str(logs / "pi" / "1.jsonl")) == "claude" and ingest.dialect_of(spark, str(logs / "codex" / "rollout-1.jsonl")) == "codex"  # a space after a colon is no mark of pi's
     for bad in ({"emacs": "/x"}, {}):
