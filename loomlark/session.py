@@ -45,8 +45,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scanned table for work that is heavy per row, dealt over the cluster's cores where its files give tasks for a quarter of
-    them at most: one file of one row group is one task however many cores wait. A table of many files passes unchanged, so at
-    scale nothing is shuffled."""
+    """A scanned table for work that is heavy per row, dealt over the cluster's cores where it has files for a quarter of them at most and
+    splits for no more than all: a file of one row group is one task's work, however many splits Spark makes of it. A table of many files or
+    splits passes unchanged, so at scale nothing is shuffled."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 4 * scan.rdd.getNumPartitions() <= cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() <= cores and 4 * len(scan.inputFiles()) <= cores else scan

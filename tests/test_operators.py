@@ -429,7 +429,7 @@ def test_spread_and_audit_of_harmless_texts(spark, tmp_path):
     spark.range(0, 10, 1, 4).write.parquet(str(tmp_path / "four"))
     one = spark.read.parquet(str(tmp_path / "one"))
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 10
-    many = spark.range(0, 10, 1, 4)
+    many = spark.read.parquet(str(tmp_path / "four"))
     assert spread(many) is many
     texts = spark.createDataFrame([("plain text",), (None,), ("",), ("x sk-live-0123456789abcdef y",)], "text string")
     assert [(r.redacted, r.n_api_key) for r in redact.with_audit(texts, "text").collect()] == [("plain text", 0), (None, 0), ("", 0), ("x [REDACTED API TOKEN] y", 1)]
