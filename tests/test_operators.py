@@ -433,3 +433,17 @@ def test_spread_and_audit_of_harmless_texts(spark, tmp_path):
     assert spread(many) is many
     texts = spark.createDataFrame([("plain text",), (None,), ("",), ("x sk-live-0123456789abcdef y",)], "text string")
     assert [(r.redacted, r.n_api_key) for r in redact.with_audit(texts, "text").collect()] == [("plain text", 0), (None, 0), ("", 0), ("x [REDACTED API TOKEN] y", 1)]
+
+
+def test_gated_steps_equal_the_plain_chain(spark):
+    from functools import reduce
+
+    from loomlark.operators import redact
+
+    texts = [None, "", "x" * 9, f"A {KEY}", f"GH_TOKEN='a b' {KEY}", 'database_URL: "q\\n"', "Authorization: Bearer " + "a1." * 9, "é" + KEY, "ghp_" + "a" * 36, "AKIA" + "A" * 16, "xoxb-1234567890ab", "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "sk-live-" + "0" * 20 + " sk-proj-" + "z" * 20, "İ" + "AIza" + "b" * 35]
+    rows = spark.createDataFrame([(x, [x, x]) for x in texts], "x string, xs array<string>")
+    plain = reduce(lambda c, s: F.regexp_replace(c, redact._java(s[1]), s[2]), redact.STEPS, F.col("x"))
+    got = rows.select(redact.redacted(F.col("x")).alias("a"), plain.alias("b"), F.transform("xs", redact.redacted).alias("c")).collect()
+    assert [(r.a, r.c) for r in got] == [(r.b, [r.b, r.b]) for r in got]
+    whole = {None, "", "x" * 9} | {x for x in texts if x and x[0] in "éİ"}  # a letter of any script before a key is no word boundary
+    assert [x for x, r in zip(texts, got) if "REDACTED" not in (r.a or "")] == [x for x in texts if x in whole]
